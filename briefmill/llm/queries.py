@@ -16,7 +16,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents")
+    return dedup_lines(docs.select("doc_id", "text"), counts=True)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
 

@@ -38,3 +38,14 @@ def discard(*tables: DataFrame | None) -> None:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a few longs that may be broadcast: about 100 MB as a hash table in each executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a settled table of fixed-width rows, with a broadcast hint if it has at most ``rows`` rows; else Spark shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
