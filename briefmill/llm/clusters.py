@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm.scratch import discard, settle
@@ -55,46 +55,50 @@ def shared_buckets(bands: DataFrame, one_shuffle: bool = False) -> DataFrame:
     return bands.join(many, "key", "left_semi")
 
 
+def jaccard_at_least(x: str, y: str, percent: int) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    return common * 100 >= (F.size(x) + F.size(y) - common) * percent
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose ``sets`` (id, items) have 100 * intersection >= percent * union."""
     held = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return held.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """(id, component) of all ids that have a confirmed link; ``buckets`` is a settled table (key, id).
 
-    ``confirm`` takes distinct pairs (a, b) and returns those that are links.
+    ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``across`` takes the rows (key, id, c) of
+    the buckets that still hold several components c after the pivots' rounds, and returns all links across components.
     """
     edges: DataFrame | None = None
     found: DataFrame | None = None
 
-    def labelled() -> DataFrame:
-        if found is None:
-            return buckets.withColumn("c", F.col("id"))
-        return buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-
-    def settled_edges(pairs: DataFrame) -> tuple[DataFrame, bool]:
-        new = settle(confirm(pairs))
-        return (new if edges is None else edges.unionByName(new)), not new.isEmpty()
+    def add(new: DataFrame) -> None:
+        nonlocal edges, found
+        new = settle(new)
+        if edges is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            found = settle(components(edges)) if not new.isEmpty() else found
 
     for n in range(rounds + 1):
-        rows = labelled() if found is None else settle(labelled())
+        rows = buckets.withColumn("c", F.col("id")) if found is None else settle(buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
         mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(n)), "id", "c")).alias("p")).where("lo <> hi")
         if n < rounds:
             pairs = rows.join(mixed.select("key", F.col("p.id").alias("q"), F.col("p.c").alias("qc")), "key").where("c <> qc")
-            pairs = pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
-        else:  # every pair across components that is left
-            open_rows = rows.join(mixed.select("key"), "key", "left_semi")
-            other = open_rows.select("key", F.col("id").alias("q"), F.col("c").alias("qc"))
-            pairs = open_rows.join(other, "key").where("c < qc").select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
-        before = edges
-        edges, any_new = settled_edges(pairs)
-        if any_new:
-            found = settle(components(edges))
-        elif before is not None:
-            edges = before
+            add(confirm(pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()))
+        else:
+            add(across(rows.join(mixed.select("key"), "key", "left_semi")))
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found
+
+
+def crossing(rows: DataFrame, about: DataFrame, linked: Callable[[str, str], Column]) -> DataFrame:
+    """The distinct pairs (a, b) of ``rows`` (key, id, c) in one bucket and in different components for which ``linked``
+    holds of their columns of ``about`` (id, x); the condition is part of the join, which makes no other pairs."""
+    held = rows.join(about, "id")
+    left, right = held.select("key", F.col("id").alias("a"), F.col("c").alias("ac"), F.col("x").alias("u")), held.select("key", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("x").alias("v"))
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & linked("u", "v"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

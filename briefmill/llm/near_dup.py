@@ -2,23 +2,27 @@
 
 Each document's set of word shingles gets 128 minima. Their low bits, two of each, are packed in bit planes; bands of
 six minima make the candidates; the bit counts of the planes estimate the similarity, corrected for chance collisions;
-and what the estimate does not rule out is confirmed on the full sets. Documents with equal sets are one class from the
+and what the estimate does not rule out is confirmed on the full sets. Where buckets still hold several components
+after the pivots' rounds, signatures of 1024 one-bit minima decide in the join itself which pairs are confirmed. Documents with equal sets are one class from the
 start, found by a grouping with partial aggregation, so a set that a third of all rows share costs no more than others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm import clusters, textvec
 from briefmill.llm.scratch import discard, settle
 
 MINIMA, BAND_ROWS, BITS = 128, 6, 2
+#: one-bit minima for pairs that the pivots leave open, which need a finer estimate
+LONG = 1024
 _rng = np.random.default_rng(20240607)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -97,19 +101,33 @@ def _full_sets(width: int):
     return run
 
 
-def estimate(x: str, y: str) -> F.Column:
+def estimate(x: str, y: str, minima: int = MINIMA, bits: int = BITS) -> Column:
     """The similarity that two arrays of planes suggest: equal positions, less those that are equal by chance."""
-    words = MINIMA // 64
-    differ = sum(F.bit_count(_any([F.get(x, F.lit(w + b * words)).bitwiseXOR(F.get(y, F.lit(w + b * words))) for b in range(BITS)])) for w in range(words))
-    chance = 0.5**BITS
-    return (1 - differ / MINIMA - chance) / (1 - chance)
+    words = minima // 64
+    planes = lambda w: [F.get(x, F.lit(w + b * words)).bitwiseXOR(F.get(y, F.lit(w + b * words))) for b in range(bits)]
+    differ = reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, planes(w))) for w in range(words)])
+    return (1 - differ / minima - 0.5**bits) / (1 - 0.5**bits)
 
 
-def _any(parts: list[F.Column]) -> F.Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
+def floor_of(percent: int, minima: int, bits: int) -> float:
+    """Five standard errors of the estimate below the threshold: what is less similar by the bits is no link."""
+    p = 0.5**bits + (1 - 0.5**bits) * percent / 100
+    return percent / 100 - 5 * (p * (1 - p) / minima) ** 0.5 / (1 - 0.5**bits)
+
+
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, x): the lowest bits of ``LONG`` minima of each set, packed."""
+    r = np.random.default_rng(99)
+    masks, factors = r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32), r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32) | np.uint32(1)
+    for batch in batches:
+        items, out = batch.column(1), np.zeros((batch.num_rows, LONG // 64), np.uint64)
+        for i in range(batch.num_rows):
+            short = (items[i].values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+            least = np.full(LONG, np.uint32(0xFFFFFFFF))
+            for a in range(0, len(short), 1024):
+                np.minimum(least, ((short[None, a : a + 1024] ^ masks) * factors).min(1), out=least)
+            out[i] = np.packbits(least & np.uint32(1), bitorder="little").view(np.uint64)
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, LONG // 64, dtype=np.int32), _signed(out).ravel())], names=["id", "x"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -129,16 +147,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = buckets.select("id").distinct()
     sets = settle(texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>").dropDuplicates(["id"]))
     planes = reps.join(ids, "id", "left_semi").select("id", "planes")
-    # six standard errors of the estimate below the threshold: what is less similar by the bits is no link
-    chance = 0.5**BITS
-    p = chance + (1 - chance) * percent / 100
-    floor = percent / 100 - 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(planes.select(F.col("id").alias("a"), F.col("planes").alias("u")), "a").join(planes.select(F.col("id").alias("b"), F.col("planes").alias("v")), "b")
-        return clusters.similar(near.where(estimate("u", "v") >= floor).select("a", "b"), sets, percent)
+        return clusters.similar(near.where(estimate("u", "v") >= floor_of(percent, MINIMA, BITS)).select("a", "b"), sets, percent)
+
+    def across(rows: DataFrame) -> DataFrame:
+        rows = settle(rows)
+        long = settle(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_long_signatures, "id long, x array<long>"))
+        near = clusters.crossing(rows, long, lambda u, v: estimate(u, v, LONG, 1) >= floor_of(percent, LONG, 1))
+        return clusters.similar(near, sets, percent)
 
-    linked = clusters.link(buckets, confirm)
+    linked = clusters.link(buckets, confirm, across)
     top = members.join(linked, members["rep"] == linked["id"], "left").select(members["id"], F.coalesce("component", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = sig.select("id", "n_shingles").join(top, "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
