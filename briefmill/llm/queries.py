@@ -23,6 +23,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text"), counts=True)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.mixing import probabilities
+
+    return probabilities(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.toxicity import toxicity
 
@@ -31,6 +43,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_mixing": op3_mixing,
+    "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
@@ -52,6 +66,37 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m.top, n.doc_id) AS compone
 FROM n LEFT JOIN c ON n.k = c.k AND n.n = c.n LEFT JOIN m ON m.id = c.rep
 """
 
+
+
+def _op3_sql() -> str:
+    from briefmill.llm import mixing
+
+    topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS) + f" ELSE '{mixing.OTHER_TOPIC}' END"
+    parts = [
+        f"d AS (SELECT doc_id, source, lang, {topic} AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents)",
+        "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+        "w0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM c) AS w FROM c)",
+    ]
+    for dim, power in mixing.TEMPERATURES.items():
+        parts.append(f"g_{dim} AS MATERIALIZED (SELECT {dim} AS k, p / sum(p) OVER () AS goal FROM (SELECT {dim}, pow(sum(w), {power}) AS p FROM w0 GROUP BY {dim}))")
+    n = 0
+    for _ in range(mixing.ITERATIONS):
+        for dim in mixing.DIMENSIONS:
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, coalesce(w * goal / nullif(sum(w) OVER (PARTITION BY {dim}), 0), 0) AS w FROM w{n} JOIN g_{dim} ON {dim} IS NOT DISTINCT FROM k)")
+            n += 1
+    parts += [
+        f"f AS (SELECT source, lang, topic, tokens, coalesce(w / nullif(tokens, 0), 0) AS f FROM w{n})",
+        "o AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(tokens * f) OVER (ORDER BY f DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f WHERE f > 0)",
+        "s AS (SELECT arg_max(s, f) AS s FROM (SELECT f, (0.5 * (SELECT sum(tokens) FROM c) - full_) / rest AS s FROM o) WHERE s * f <= 1)",
+        "p AS (SELECT source, lang, topic, least(1.0, f * coalesce((SELECT s FROM s), 1 / (SELECT min(f) FROM o))) AS p FROM f)",
+    ]
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(p, 6) AS probability,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < p AS kept
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
+
+
 ORACLE = {
+    "op3_mixing": _op3_sql(),
     "op10_near_dedup": _OP10_SQL,
 }
