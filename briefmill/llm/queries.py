@@ -29,12 +29,40 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm import ogg
+
+    back = ogg.examine(ogg.store(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.toxicity import toxicity
 
@@ -44,9 +72,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op7_ogg": op7_ogg,
     "op8_toxicity": op8_toxicity,
     "op10_near_dedup": op10_near_dedup,
+    "pipeline": pipeline,
 }
 
 _OP10_SQL = r"""
