@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm import textvec
-from briefmill.llm.scratch import discard, settle
+from briefmill.llm.scratch import settle
 
 ROWS, DIM, NONZERO, REACH, HIDDEN = 1 << 13, 32, 4, 2, 24
 _rng = np.random.default_rng(11)

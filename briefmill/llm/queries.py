@@ -16,6 +16,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.line_dedup import dedup_lines
 
@@ -41,6 +47,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.site_style import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm import ogg
 
@@ -70,12 +88,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_topk": op6_topk,
     "op7_ogg": op7_ogg,
     "op8_toxicity": op8_toxicity,
+    "op9_html": op9_html,
     "op10_near_dedup": op10_near_dedup,
     "pipeline": pipeline,
 }
@@ -127,7 +148,15 @@ SELECT doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens, round(p, 6
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
 
 
+_OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
 ORACLE = {
+    "op6_topk": _OP6_SQL,
     "op3_mixing": _op3_sql(),
     "op10_near_dedup": _OP10_SQL,
 }
