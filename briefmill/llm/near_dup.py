@@ -3,7 +3,7 @@
 Each document's set of word shingles gets 128 minima. Their low bits, two of each, are packed in bit planes; bands of
 six minima make the candidates; the bit counts of the planes estimate the similarity, corrected for chance collisions;
 and what the estimate does not rule out is confirmed on the full sets. Where buckets still hold several components
-after the pivots' rounds, signatures of 1024 one-bit minima decide in the join itself which pairs are confirmed. Documents with equal sets are one class from the
+after the pivots' rounds, signatures of 4096 one-bit minima decide in the join itself which pairs are confirmed. Documents with equal sets are one class from the
 start, found by a grouping with partial aggregation, so a set that a third of all rows share costs no more than others.
 """
 
@@ -22,7 +22,7 @@ from briefmill.llm.scratch import discard, settle
 
 MINIMA, BAND_ROWS, BITS = 128, 6, 2
 #: one-bit minima for pairs that the pivots leave open, which need a finer estimate
-LONG = 1024
+LONG = 4096
 _rng = np.random.default_rng(20240607)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -124,8 +124,8 @@ def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for i in range(batch.num_rows):
             short = (items[i].values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
             least = np.full(LONG, np.uint32(0xFFFFFFFF))
-            for a in range(0, len(short), 1024):
-                np.minimum(least, ((short[None, a : a + 1024] ^ masks) * factors).min(1), out=least)
+            for a in range(0, len(short), 256):
+                np.minimum(least, ((short[None, a : a + 256] ^ masks) * factors).min(1), out=least)
             out[i] = np.packbits(least & np.uint32(1), bitorder="little").view(np.uint64)
         yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, LONG // 64, dtype=np.int32), _signed(out).ravel())], names=["id", "x"])
 
