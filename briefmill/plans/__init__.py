@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-TOPICS = ("retrieval", "joins")
+TOPICS = ("retrieval", "joins", "analytics")
 
 
 def _topics() -> list:
