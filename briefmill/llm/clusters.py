@@ -66,30 +66,46 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def crossings(rows: DataFrame) -> tuple[int, int]:
+    """Rows of ``rows`` (key, id, c) in buckets of several components, and their pairs across components, by counts alone."""
+    each = rows.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    got = each.where("s * s > q").agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], rounds: int = 2, most: int = 8) -> DataFrame:
     """(id, component) of all ids that have a confirmed link; ``buckets`` is a settled table (key, id).
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``across`` takes the rows (key, id, c) of
     the buckets that still hold several components c after the pivots' rounds, and returns all links across components.
+    After ``rounds`` rounds of pivots there are more, up to ``most``, while the pairs across components are many more
+    than the rows and the last round still found a link for one row in a hundred; ``across`` is exact whenever it comes.
     """
     edges: DataFrame | None = None
     found: DataFrame | None = None
 
-    def add(new: DataFrame) -> None:
+    def add(new: DataFrame) -> int:
         nonlocal edges, found
         new = settle(new)
-        if edges is None or not new.isEmpty():
+        n_new = new.count()
+        if edges is None or n_new:
             edges = new if edges is None else edges.unionByName(new)
-            found = settle(components(edges)) if not new.isEmpty() else found
+            found = settle(components(edges)) if n_new else found
+        return n_new
 
-    for n in range(rounds + 1):
+    n, last = 0, 0
+    while True:
         rows = buckets.withColumn("c", F.col("id")) if found is None else settle(buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+        if n >= rounds:
+            held, pairs = crossings(rows) if n < most else (0, 0)
+            if pairs <= 8 * held or last * 100 < held:
+                break
         mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(n)), "id", "c")).alias("p")).where("lo <> hi")
-        if n < rounds:
-            pairs = rows.join(mixed.select("key", F.col("p.id").alias("q"), F.col("p.c").alias("qc")), "key").where("c <> qc")
-            add(confirm(pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()))
-        else:
-            add(across(rows.join(mixed.select("key"), "key", "left_semi")))
+        met = rows.join(mixed.select("key", F.col("p.id").alias("q"), F.col("p.c").alias("qc")), "key").where("c <> qc")
+        last = add(confirm(met.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()))
+        n += 1
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    add(across(rows.join(mixed, "key", "left_semi")))
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found
