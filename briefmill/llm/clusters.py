@@ -113,8 +113,15 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], across:
 
 def crossing(rows: DataFrame, about: DataFrame, linked: Callable[[str, str], Column]) -> DataFrame:
     """The distinct pairs (a, b) of ``rows`` (key, id, c) in one bucket and in different components for which ``linked``
-    holds of their columns of ``about`` (id, x); the condition is part of the join, which makes no other pairs."""
-    held = rows.join(about, "id")
-    left, right = held.select("key", F.col("id").alias("a"), F.col("c").alias("ac"), F.col("x").alias("u")), held.select("key", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("x").alias("v"))
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & linked("u", "v"))
+    holds of their columns of ``about`` (id, x); the condition is part of the join, which makes no other pairs.
+
+    A pair that shares several buckets is made in the first of them only: each row knows all keys of its id, at most as
+    many as there are bands, and those that a pair across components shares are all in ``rows``.
+    """
+    own = rows.groupBy("id", "c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    held = own.join(about, "id").select(F.explode("keys").alias("key"), "keys", "id", "c", "x")
+    left = held.select("key", F.col("keys").alias("ka"), F.col("id").alias("a"), F.col("c").alias("ac"), F.col("x").alias("u"))
+    right = held.select("key", F.col("keys").alias("kb"), F.col("id").alias("b"), F.col("c").alias("bc"), F.col("x").alias("v"))
+    first = F.get(F.array_intersect("ka", "kb"), F.lit(0)) == left["key"]
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & linked("u", "v") & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
