@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: quality of a page's text by class (fixed values)
@@ -48,13 +48,12 @@ def replacement_ratio(text: Column) -> Column:
     return F.regexp_count(text, F.lit("�")) / F.greatest(F.length(text), F.lit(1))
 
 
-def bigram_entropy(text: Column) -> Column:
-    """Entropy in bits of the pairs of neighbouring letters a-z; 0 without pairs. Letters are taken once from the text
-    and pairs counted in an array, so it is linear in the text but for the at most 676 pairs."""
-    letters = F.regexp_extract_all(F.lower(text), F.lit("(?=([a-z][a-z]))"), F.lit(1))
-    ordered = F.array_sort(letters)
-    # sizes of the runs in sorted order: positions at which a run ends
-    ends = F.filter(F.transform(ordered, lambda x, i: F.when((i == F.size(ordered) - 1) | (x != F.get(ordered, i + 1)), i + 1)), lambda e: e.isNotNull())
-    sizes = F.transform(ends, lambda e, i: (e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))).cast("double"))
-    n = F.size(letters)
-    return F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(sizes, F.lit(0.0), lambda s, c: s + c * F.log2(c)) / n).otherwise(0.0)
+def bigram_entropies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, entropy): entropy in bits of the pairs of neighbouring letters a-z of each text; texts without pairs have no row.
+
+    The pairs are exploded and counted by a grouping with partial aggregation, at most 676 counts a document.
+    """
+    pairs = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("(?=([a-z][a-z]))"), F.lit(1))).alias("pair"))
+    k = F.col("k").cast("double")
+    each = pairs.groupBy(id_col, "pair").agg(F.count("*").alias("k"))
+    return each.groupBy(id_col).agg((F.log2(F.sum(k)) - F.sum(k * F.log2(k)) / F.sum(k)).alias("entropy"))

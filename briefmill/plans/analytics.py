@@ -94,7 +94,7 @@ def rate_window_10s(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_limit_60s(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("s", F.unix_micros("ts"))
+    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-60_000_000, 0)
     return e.select("event_id", F.count("*").over(w).alias("recent"), (F.count("*").over(w) >= 3).alias("limited"))
 
@@ -177,7 +177,7 @@ def selection_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_format(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").where("l_orderkey < 3000")
+    x = table(spark, d, "lineitem")
     kind = F.when(F.col("l_returnflag") == "N", "CR").when(F.col("l_returnflag") == "R", "RR").otherwise("Rec.")
     c = t.citation(kind, F.col("l_linenumber"), F.col("l_orderkey") % 3, F.col("l_quantity").cast("int"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey") % 25 + 1), F.col("l_suppkey") % 25 + 1, F.col("l_orderkey") % 14)
     return x.select("l_orderkey", "l_linenumber", c.alias("citation"))
@@ -233,8 +233,10 @@ def token_bloat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glyph_metrics(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("n_chars < 3000")
-    return x.select("doc_id", F.round(readiness.replacement_ratio(F.col("text")), 6).alias("replaced"), F.round(readiness.bigram_entropy(F.col("text")), 6).alias("entropy"))
+    x = table(spark, d, "documents")
+    entropy = readiness.bigram_entropies(x, "doc_id", "text")
+    replaced = x.select("doc_id", F.round(readiness.replacement_ratio(F.col("text")), 6).alias("replaced"))
+    return replaced.join(entropy, "doc_id", "left").select("doc_id", "replaced", F.round(F.coalesce("entropy", F.lit(0.0)), 6).alias("entropy"))
 
 
 def readiness_score(spark: SparkSession, d: str) -> DataFrame:
@@ -324,8 +326,8 @@ ORACLE = {
     "selection_state": "SELECT l_orderkey, CASE count(*) FILTER (l_returnflag = 'N') WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM lineitem GROUP BY 1",
     "citation_format": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 14 = 0 THEN '' WHEN l_orderkey % 14 = 1 THEN 'Supp. ' ELSE (l_orderkey % 14) || CASE WHEN l_orderkey % 14 IN (2, 3) THEN 'd' ELSE 'th' END || ' Supp. ' END
         || CASE WHEN l_orderkey % 3 > 1 THEN l_linenumber || ' ' ELSE '' END || CASE l_returnflag WHEN 'N' THEN 'CR' WHEN 'R' THEN 'RR' ELSE 'Rec.' END || ' ' || floor(l_quantity)::INTEGER
-        || CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 25 = l_suppkey % 25 THEN ':' || (l_partkey % 25 + 1) ELSE ':' || (l_partkey % 25 + 1) || '-' || (l_suppkey % 25 + 1) END AS citation FROM lineitem WHERE l_orderkey < 3000""",
-    "truncate_and_snippet": "WITH x AS (SELECT doc_id, text, instr(lower(text), 'license') AS at FROM documents) SELECT doc_id, CASE WHEN length(text) <= 105 THEN text ELSE substr(text, 1, 50) || ' ... ' || right(text, 50) END AS short, CASE WHEN at > 0 THEN substr(text, greatest(1, at - 60), at - greatest(1, at - 60) + 140) END AS snippet FROM x",
+        || CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 25 = l_suppkey % 25 THEN ':' || (l_partkey % 25 + 1) ELSE ':' || (l_partkey % 25 + 1) || '-' || (l_suppkey % 25 + 1) END AS citation FROM lineitem""",
+    "truncate_and_snippet": "WITH x AS (SELECT doc_id, text, instr(lower(text), 'license') AS pos FROM documents) SELECT doc_id, CASE WHEN length(text) <= 105 THEN text ELSE substr(text, 1, 50) || ' ... ' || right(text, 50) END AS short, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 60), pos - greatest(1, pos - 60) + 140) END AS snippet FROM x",
     "line_tests": f"WITH {_PASSAGES} SELECT id, length(text) <= 120 AND (regexp_matches(text, '^[A-Z][A-Z0-9 ,.''&-]{{3,}}$') OR regexp_matches(text, '^(?:[IVXLC]+|[A-Z]|\\d{{1,3}})\\.\\s+\\S')) AS heading, length(text)::INTEGER AS n FROM p",
     "draft_detection": "SELECT doc_id, round(greatest(0.0, least(1.0, CASE WHEN regexp_matches(text, '(?i)\\bdraft\\b') THEN 0.5 ELSE 0 END + least(0.3, 0.1 * len(regexp_extract_all(text, '_{4,}|\\[[^\\]]{0,40}\\]|(?i:\\btbd\\b)'))) + CASE WHEN regexp_matches(text, '(?i)\\b(?:filed|received|e-filed)\\b') THEN -0.4 ELSE 0.1 END + CASE WHEN regexp_matches(source, '(?i)final|filed') THEN -0.2 ELSE 0 END)), 6)::DOUBLE AS draft FROM documents",
     "name_keys": "SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower('Hon. ' || c_name || ' Jr.'), '[^a-z ]', ' ', 'g'), '\\b(?:mr|mrs|ms|dr|hon|jr|sr|esq|judge|justice|[a-z])\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM customer",
@@ -333,7 +335,7 @@ ORACLE = {
     "quote_verification": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "repeated_lines": f"WITH {_PASSAGES} SELECT md5(text) AS line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM p WHERE trim(text) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3",
     "token_bloat": f"SELECT doc_id, len(regexp_extract_all(text, {_W}))::INTEGER AS words, round(length(text) / greatest(len(regexp_extract_all(text, {_W})), 1), 4) AS per_word, len(regexp_extract_all(text, {_W})) > 4000 AS bloat FROM documents",
-    "glyph_metrics": "WITH c AS (SELECT doc_id, text, unnest(range(1, length(text))) AS i FROM documents WHERE n_chars < 3000), g AS (SELECT doc_id, lower(substr(text, i, 2)) AS g FROM c), n AS (SELECT doc_id, g, count(*)::DOUBLE AS k FROM g WHERE regexp_full_match(g, '[a-z][a-z]') GROUP BY ALL), e AS (SELECT doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM n GROUP BY 1) SELECT d.doc_id, round((length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1), 6) AS replaced, round(coalesce(e, 0), 6) AS entropy FROM documents d LEFT JOIN e USING (doc_id) WHERE n_chars < 3000",
+    "glyph_metrics": "WITH c AS (SELECT doc_id, text, unnest(range(1, length(text))) AS i FROM documents), g AS (SELECT doc_id, lower(substr(text, i, 2)) AS g FROM c), n AS (SELECT doc_id, g, count(*)::DOUBLE AS k FROM g WHERE regexp_full_match(g, '[a-z][a-z]') GROUP BY ALL), e AS (SELECT doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM n GROUP BY 1) SELECT d.doc_id, round((length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1), 6) AS replaced, round(coalesce(e, 0), 6) AS entropy FROM documents d LEFT JOIN e USING (doc_id)",
     "readiness_score": f"""WITH {_PASSAGES}, c AS (SELECT doc_id, text, length(text) AS n, CASE WHEN idx % 3 = 1 THEN (length(text) % 100) / CASE WHEN idx % 2 = 0 THEN 100.0::DOUBLE ELSE 1 END END AS f FROM p),
         k AS (SELECT *, CASE WHEN f <= 1 THEN f * 100 ELSE f END AS q FROM c),
         s AS (SELECT doc_id, text, n, CASE WHEN contains(text, '%%%') THEN 0 WHEN f IS NULL AND n = 0 THEN 0 WHEN f IS NULL AND n < 150 THEN 70 WHEN f IS NULL THEN 95 WHEN q >= 85 THEN 80 WHEN q >= 60 THEN 70 ELSE 50 END AS s FROM k),
