@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash (operator 2), in DataFrame operations alone.
 
-A line's shingles are the strings of up to nine characters that start at its words. Twenty-four minima of the
-shingles' hashes are taken by one hash aggregation over the exploded shingles, which at the same time finds equal lines.
+A line's shingles are the strings of nine characters at each of its positions; a shorter line is its own one shingle.
+Twenty-four minima of the shingles' hashes are taken by one hash aggregation over the exploded shingles, which at the same time finds equal lines.
 They are banded by fours twice over, as neighbours and at a stride of six, so that the bands of one kind share at most
 one minimum with those of the other: twelve bands, of which a pair shares one with probability 0.991 at similarity 0.8, 0.998 at 0.85 and 0.9998 at 0.9.
 Candidates are confirmed on the full shingle sets, and a distributed union-find makes components, each of which keeps
@@ -22,23 +22,43 @@ MASKS = [(0x9E3779B9 * (i + 1)) % (1 << 32) - (1 << 31) for i in range(24)]
 _BANDS = [[4 * b + r for r in range(4)] for b in range(6)] + [[b + 6 * r for r in range(4)] for b in range(6)]
 
 
+#: a line is cut in pieces of so many positions, so that a shingle is never looked up far from its piece's start
+_PIECE = 32
+
+
+def _pieces(line: Column) -> Column:
+    """The strings in which the shingles of ``_PIECE`` positions each lie, piece after piece."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{_PIECE + WIDTH - 1}}})).{{1,{_PIECE}}}"), F.lit(1))
+
+
+def _starts(piece: Column, at: Column) -> Column:
+    """Where in the ``at``-th piece, from 0, shingles start, from 1."""
+    n = F.least(F.length(piece) - (WIDTH - 1), F.lit(_PIECE))
+    n = F.when(at == 0, F.greatest(n, F.lit(1))).otherwise(n)
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{WIDTH}}}))\\S+\\s*"), F.lit(1))
+    """The 64-bit hashes of a line's distinct shingles."""
+    of = lambda piece, at: F.transform(_starts(piece, at), lambda i: F.xxhash64(F.substring(piece, i, F.lit(WIDTH))))
+    return F.array_distinct(F.flatten(F.transform(_pieces(line), of)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, n, line, k1, k2): document, hash of its text, line number from 0, trimmed line and the line's two hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("n", "raw"))
-    rows = rows.select("d", "t", "n", F.trim("raw").alias("line")).where("line <> ''")
+    rows = rows.select("d", "t", "n", F.trim("raw").alias("line")).where("line rlike '\\\\S'")
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """A settled table (k1, k2, comp, keeper) of the lines that have an equal or a near line; ``keeper`` is the document that keeps its first."""
     lines = _lines(docs, id_col, text_col)
-    each = lines.select("d", "k1", "k2", F.posexplode(shingles(F.col("line"))).alias("pos", "s")).select("d", "k1", "k2", "pos", F.hash("s").alias("h"))
+    pieces = lines.select("d", "k1", "k2", F.posexplode(_pieces(F.col("line"))).alias("piece", "part"))
+    each = pieces.select("d", "k1", "k2", "piece", "part", F.explode(_starts(F.col("part"), F.col("piece"))).alias("at"))
+    each = each.select("d", "k1", "k2", ((F.col("piece") == 0) & (F.col("at") == 1)).alias("head"), F.hash(F.substring("part", F.col("at"), F.lit(WIDTH))).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(MASKS)]
-    known = settle(each.groupBy("k1", "k2").agg(F.min("d").alias("first"), F.count_if(F.col("pos") == 0).alias("times"), *minima))
+    known = settle(each.groupBy("k1", "k2").agg(F.min("d").alias("first"), F.count_if("head").alias("times"), *minima))
 
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(_BANDS)])
     bands = known.select(F.explode(keys).alias("key"), F.col("k1").alias("id"))
@@ -46,7 +66,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = settle(bands.join(broadcast_if_small(many), "key", "left_semi"))
     ids = settle(buckets.select("id").distinct())
     texts = lines.select(F.col("k1").alias("id"), "line").join(broadcast_if_small(ids), "id", "left_semi")
-    sets = settle(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("items")))
+    sets = settle(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("items")))
     linked = clusters.link(
         buckets,
         lambda pairs: clusters.similar(pairs, sets, percent),
@@ -68,7 +88,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, counts: bool = False) -> DataFrame:
     """``docs`` with the repeated and near-repeated lines of ``text_col`` taken out; with ``counts`` also ``n_lines`` and ``n_kept``.
 
-    Lines are compared without spaces at their ends. Lines of white space alone have no shingles and stay. Each
+    Lines are compared without spaces at their ends. Lines of white space alone stay. Each
     component of lines with 100 * intersection >= ``percent`` * union of their shingles, directly or through others,
     keeps its first line in the order of document id and line number. No row is dropped: a document that loses all its
     lines has an empty text; a null text stays null. Rows that repeat a document id with the same text are one document
