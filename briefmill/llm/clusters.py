@@ -123,5 +123,5 @@ def crossing(rows: DataFrame, about: DataFrame, linked: Callable[[str, str], Col
     left = held.select("key", F.col("keys").alias("ka"), F.col("id").alias("a"), F.col("c").alias("ac"), F.col("x").alias("u"))
     right = held.select("key", F.col("keys").alias("kb"), F.col("id").alias("b"), F.col("c").alias("bc"), F.col("x").alias("v"))
     first = F.get(F.array_intersect("ka", "kb"), F.lit(0)) == left["key"]
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & linked("u", "v") & first)
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & first & linked("u", "v"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

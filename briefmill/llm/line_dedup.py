@@ -3,13 +3,15 @@
 A line's shingles are the strings of nine characters at each of its positions; a shorter line is its own one shingle.
 Twenty-four minima of the shingles' hashes are taken by one hash aggregation over the exploded shingles, which at the same time finds equal lines.
 They are banded by fours twice over, as neighbours and at a stride of six, so that the bands of one kind share at most
-one minimum with those of the other: twelve bands, of which a pair shares one with probability 0.991 at similarity 0.8, 0.998 at 0.85 and 0.9998 at 0.9.
+one minimum with those of the other: twelve bands, of which a pair of any size shares one with probability 0.99 at similarity 0.8.
 Candidates are confirmed on the full shingle sets, and a distributed union-find makes components, each of which keeps
 the one line that comes first by document id and line number.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from briefmill.llm import clusters
 from briefmill.llm.scratch import broadcast_if_small, discard, settle
 
 WIDTH = 9
-#: masks that turn one 32-bit hash into as many orders: multiples of the golden ratio's fraction
-MASKS = [(0x9E3779B9 * (i + 1)) % (1 << 32) - (1 << 31) for i in range(24)]
+#: each makes an order of one 32-bit hash: a mask, and an odd factor for what it gives, of which the low 31 bits count
+_rng = random.Random(20240608)
+ORDERS = [(_rng.getrandbits(32), _rng.getrandbits(31) | 1) for _ in range(24)]
 _BANDS = [[4 * b + r for r in range(4)] for b in range(6)] + [[b + 6 * r for r in range(4)] for b in range(6)]
 
 
@@ -44,6 +47,13 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(_pieces(line), of)))
 
 
+def _near(u: str, v: str, percent: int) -> Column:
+    """Whether two structures (line, n), n the number of shingles, are near; a pair's sets are built from its lines, which are an eighth of them in size."""
+    common = F.size(F.array_intersect(shingles(F.col(u)["line"]), shingles(F.col(v)["line"])))
+    m, n = F.col(u)["n"], F.col(v)["n"]
+    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, common * F.lit(100 + percent) >= (m + n) * percent).otherwise(False)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, n, line, k1, k2): document, hash of its text, line number from 0, trimmed line and the line's two hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("n", "raw"))
@@ -56,8 +66,9 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = _lines(docs, id_col, text_col)
     pieces = lines.select("d", "k1", "k2", F.posexplode(_pieces(F.col("line"))).alias("piece", "part"))
     each = pieces.select("d", "k1", "k2", "piece", "part", F.explode(_starts(F.col("part"), F.col("piece"))).alias("at"))
-    each = each.select("d", "k1", "k2", ((F.col("piece") == 0) & (F.col("at") == 1)).alias("head"), F.hash(F.substring("part", F.col("at"), F.lit(WIDTH))).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(MASKS)]
+    each = each.select("d", "k1", "k2", ((F.col("piece") == 0) & (F.col("at") == 1)).alias("head"), F.hash(F.substring("part", F.col("at"), F.lit(WIDTH))).cast("long").bitwiseAND(F.lit((1 << 32) - 1)).alias("h"))
+    order = lambda mask, factor: (F.col("h").bitwiseXOR(F.lit(mask)) * F.lit(factor)).bitwiseAND(F.lit((1 << 31) - 1))
+    minima = [F.min(order(*o)).cast("int").alias(f"m{i}") for i, o in enumerate(ORDERS)]
     known = settle(each.groupBy("k1", "k2").agg(F.min("d").alias("first"), F.count_if("head").alias("times"), *minima))
 
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(_BANDS)])
@@ -66,11 +77,12 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = settle(bands.join(broadcast_if_small(many), "key", "left_semi"))
     ids = settle(buckets.select("id").distinct())
     texts = lines.select(F.col("k1").alias("id"), "line").join(broadcast_if_small(ids), "id", "left_semi")
-    sets = settle(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", shingles(F.col("line")).alias("items")))
+    sets = settle(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", F.struct("line", F.size(shingles(F.col("line"))).cast("long").alias("n")).alias("x")))
+    held = lambda end, to: sets.select(F.col("id").alias(end), F.col("x").alias(to))
     linked = clusters.link(
         buckets,
-        lambda pairs: clusters.similar(pairs, sets, percent),
-        lambda rows: clusters.crossing(rows, sets.select("id", F.col("items").alias("x")), lambda u, v: clusters.jaccard_at_least(u, v, percent)),
+        lambda pairs: pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(_near("u", "v", percent)).select("a", "b"),
+        lambda rows: clusters.crossing(rows, sets, lambda u, v: _near(u, v, percent)),
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")

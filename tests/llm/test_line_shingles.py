@@ -56,3 +56,16 @@ def test_lines_that_differ_after_nine_characters(spark):
         + [long_word, long_word[:9] + long_word[40:][::-1], long_word[:-3] + "xyz", cjk, cjk[:9] + cjk[::-1], cjk[:-1] + "終"]
         + ["short", "shorts", "ninechars", "ninechars", "tencharsss"],
     )
+
+
+def test_recall_at_the_threshold_does_not_fall_with_the_size(spark):
+    rng = random.Random(4)
+    for size in (5, 10, 20, 50):
+        common, rows = size * 4 // 5, []
+        for i in range(600):
+            line = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(size + 8))
+            assert 100 * len(sliced(line[: common + 8]) & sliced(line)) == 80 * len(sliced(line))
+            rows += [(2 * i, line[: common + 8]), (2 * i + 1, line)]
+        got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1 and text = ''").count()
+        print(size, got / 600)
+        assert got >= 0.974 * 600, (size, got)
