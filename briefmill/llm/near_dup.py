@@ -3,7 +3,8 @@
 Each document's set of word shingles gets 128 minima. Their low bits, two of each, are packed in bit planes; bands of
 six minima make the candidates; the bit counts of the planes estimate the similarity, corrected for chance collisions;
 and what the estimate does not rule out is confirmed on the full sets. Where buckets still hold several components
-after the pivots' rounds, signatures of 4096 one-bit minima decide in the join itself which pairs are confirmed. Documents with equal sets are one class from the
+after the pivots' rounds, the join itself decides which pairs are confirmed: for small sets by an upper bound of their
+intersection from maps of 4096 bits, which loses no link, for others by signatures of 4096 one-bit minima. Documents with equal sets are one class from the
 start, found by a grouping with partial aggregation, so a set that a third of all rows share costs no more than others.
 """
 
@@ -21,8 +22,10 @@ from briefmill.llm import clusters, textvec
 from briefmill.llm.scratch import discard, settle
 
 MINIMA, BAND_ROWS, BITS = 128, 6, 2
-#: one-bit minima for pairs that the pivots leave open, which need a finer estimate
+#: one-bit minima, and bits of a small set's map, for pairs that the pivots leave open, which need a finer estimate
 LONG = 4096
+#: pairs with a set of fewer shingles are not estimated: minima on few shingles repeat their errors
+SMALL = 300
 _rng = np.random.default_rng(20240607)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -115,19 +118,48 @@ def floor_of(percent: int, minima: int, bits: int) -> float:
     return percent / 100 - 5 * (p * (1 - p) / minima) ** 0.5 / (1 - 0.5**bits)
 
 
-def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, x): the lowest bits of ``LONG`` minima of each set, packed."""
+def _long_signatures(mapped_below: int):
+    """(id, x): x has each set's size n; if n < ``mapped_below`` the map of its shingles; if n >= ``SMALL`` the packed bits of ``LONG`` minima."""
     r = np.random.default_rng(99)
     masks, factors = r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32), r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32) | np.uint32(1)
-    for batch in batches:
-        items, out = batch.column(1), np.zeros((batch.num_rows, LONG // 64), np.uint64)
-        for i in range(batch.num_rows):
-            short = (items[i].values.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-            least = np.full(LONG, np.uint32(0xFFFFFFFF))
-            for a in range(0, len(short), 256):
-                np.minimum(least, ((short[None, a : a + 256] ^ masks) * factors).min(1), out=least)
-            out[i] = np.packbits(least & np.uint32(1), bitorder="little").view(np.uint64)
-        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, LONG // 64, dtype=np.int32), _signed(out).ravel())], names=["id", "x"])
+
+    def minima(short: np.ndarray) -> np.ndarray:
+        least = np.full(LONG, np.uint32(0xFFFFFFFF))
+        for a in range(0, len(short), 256):
+            np.minimum(least, ((short[None, a : a + 256] ^ masks) * factors).min(1), out=least)
+        # the top bit of one more product depends on all of a minimum, and so on its order; the lowest is the shingle's own
+        return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), bitorder="little").view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for items in batch.column(1):
+                value = items.values.to_numpy().view(np.uint64)
+                bits = None
+                if len(value) < mapped_below:
+                    bits = np.zeros(LONG, np.uint8)
+                    bits[value % np.uint64(LONG)] = 1
+                    bits = _signed(np.packbits(bits, bitorder="little").view(np.uint64))
+                signature = _signed(minima((value >> np.uint64(32)).astype(np.uint32))) if len(value) >= SMALL else None
+                rows.append({"n": len(value), "bits": bits, "minima": signature})
+            kind = pa.struct([("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("minima", pa.list_(pa.int64()))])
+            yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["id", "x"])
+
+    return run
+
+
+def _may_link(u: str, v: str, percent: int) -> Column:
+    """What ``_long_signatures`` leaves possible; of a small set and one without a map, the sizes alone say no.
+
+    A set has at least as many shingles outside the other as bits outside the other's map, whatever the hashes.
+    """
+    m, n = F.col(f"{u}.n"), F.col(f"{v}.n")
+    outside = lambda x, y: reduce(Column.__add__, [F.bit_count(F.get(f"{x}.bits", F.lit(w)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(w))))) for w in range(LONG // 64)])
+    most = F.least(m - outside(u, v), n - outside(v, u))
+    mapped = F.col(f"{u}.bits").isNotNull() & F.col(f"{v}.bits").isNotNull()
+    estimated = F.col(f"{u}.minima").isNotNull() & F.col(f"{v}.minima").isNotNull()
+    by = F.when(mapped, most * (100 + percent) >= (m + n) * percent).when(estimated, estimate(f"{u}.minima", f"{v}.minima", LONG, 1) >= floor_of(percent, LONG, 1)).otherwise(False)
+    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, by).otherwise(False)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -154,8 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def across(rows: DataFrame) -> DataFrame:
         rows = settle(rows)
-        long = settle(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_long_signatures, "id long, x array<long>"))
-        near = clusters.crossing(rows, long, lambda u, v: estimate(u, v, LONG, 1) >= floor_of(percent, LONG, 1))
+        # with a set of fewer than SMALL shingles only smaller sets than this can be linked
+        below = max(SMALL, SMALL * 100 // percent + 1)
+        long = settle(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_long_signatures(below), "id long, x struct<n: long, bits: array<long>, minima: array<long>>"))
+        near = clusters.crossing(rows, long, lambda u, v: _may_link(u, v, percent))
         return clusters.similar(near, sets, percent)
 
     linked = clusters.link(buckets, confirm, across)
