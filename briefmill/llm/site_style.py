@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm.scratch import settle
@@ -149,6 +149,10 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+
+
 _SEEN = "host string, path long, kind int, feature long, pages long"
 
 
@@ -182,12 +186,15 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def path_importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, m, importance) of the merged trees: m pages have the path; importance from 0 to 1, 1 where m is 1.
+    """(host, path, m, importance) of the merged trees: m distinct pages have the path; importance from 0 to 1, 1 where m is 1.
 
     A presentation's part is the entropy, to base m, of the presentations; a content's importance falls with the share
     of the pages that hold it: one less the mean of log(its pages) / log(m) over the path's distinct contents.
     """
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_observe, _SEEN)
+    rows = pages.select(F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    # copies of a page on its host are one page, else the article of a page that is often repeated looks like a menu
+    one = rows.withColumns({"h1": F.xxhash64(_host("url"), "html"), "h2": F.xxhash64(F.lit(1), _host("url"), "html")}).dropDuplicates(["h1", "h2"])
+    seen = one.select("url", "html").mapInArrow(_observe, _SEEN)
     each = seen.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k"))
     m = F.max(F.when(F.col("kind") == 0, F.col("k")))
     total = F.sum(F.when(F.col("kind") == 1, F.col("k")))
@@ -203,15 +210,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, ``text`` (blocks joined by line ends, empty if none) and ``n_chars``.
 
     A null html counts as empty; pages without a host in their url form one host. Repeated rows are extracted each, and
-    count as pages of their host each. Other columns are ignored, whatever their names.
+    count as one page of their host. Other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     low = path_importance(rows).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LOW))
     low = settle(low.groupBy("host").agg(F.collect_list("path").alias("low")))
     size = low.agg(F.sum(F.size("low")), F.count("*")).first()
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     small = (size[0] or 0) + size[1] <= 500_000
-    joined = rows.withColumn("h", host).join(F.broadcast(low) if small else low, F.col("h") == F.col("host"), "left").select("id", "url", "html", "low")
+    joined = rows.withColumn("h", _host("url")).join(F.broadcast(low) if small else low, F.col("h") == F.col("host"), "left").select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
