@@ -1,8 +1,9 @@
 """Groups of near-equal sets: band buckets, exact confirmation and a distributed union-find, all in DataFrame operations.
 
 Within a bucket no pairs are enumerated: its members meet one pivot a round, and only members that are still in other
-components than the pivot. Random pivots over many buckets join a family after a few rounds; what remains are buckets
-that hold several components, and there all pairs across components are confirmed, so that no link is lost.
+components than the pivot. Random pivots over many buckets join a family after a few rounds. What remains are buckets
+that hold several components. The members of small ones meet each other; those of all others go through an exact
+similarity join by their rarest items, which loses no link and whose work does not grow with the bucket's size squared.
 """
 
 from __future__ import annotations
@@ -12,20 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.scratch import discard, settle
+from briefmill.llm.scratch import broadcast_if_small, discard, settle
+
+#: buckets of up to so many rows are compared in full
+FEW = 12
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star steps; each is a group-by with partial aggregation over a settled edge table,
-    and the driver only sees a count and a checksum of the edges.
+    until every edge leads to an end that no edge leaves and every id has one edge.
     """
-    def mark(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -35,8 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = settle(small)
         discard(now, large)
-        now, before, last = small, last, mark(small)
-        if last == before:
+        now = small
+        ends = now.groupBy(F.col("b").alias("a")).agg(F.lit(2).alias("n"))
+        if now.groupBy("a").agg(F.count("*").alias("n")).unionByName(ends).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1 and n <> 2").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
@@ -66,62 +67,79 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def crossings(rows: DataFrame) -> tuple[int, int]:
-    """Rows of ``rows`` (key, id, c) in buckets of several components, and their pairs across components, by counts alone."""
-    each = rows.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    got = each.where("s * s > q").agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-    return int(got[0] or 0), int(got[1] or 0)
-
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, known: DataFrame | None = None) -> DataFrame:
+    """A settled table (id, component) of all ids that have a link; ``buckets`` is a settled table (key, id).
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], rounds: int = 2, most: int = 8) -> DataFrame:
-    """(id, component) of all ids that have a confirmed link; ``buckets`` is a settled table (key, id).
-
-    ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``across`` takes the rows (key, id, c) of
-    the buckets that still hold several components c after the pivots' rounds, and returns all links across components.
-    After ``rounds`` rounds of pivots there are more, up to ``most``, while the pairs across components are many more
-    than the rows and the last round still found a link for one row in a hundred; ``across`` is exact whenever it comes.
+    ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``items`` takes a table (id) and
+    returns (id, items) with the sets of its ids. ``known`` are links (a, b) that need no confirmation. Pivots meet
+    first in the buckets, then in the finer keys of those that still hold several components; there, at last, all pairs
+    across components are decided.
     """
-    edges: DataFrame | None = None
+    edges: list[DataFrame] = []
     found: DataFrame | None = None
 
-    def add(new: DataFrame) -> int:
-        nonlocal edges, found
+    def add(new: DataFrame) -> None:
+        nonlocal found
         new = settle(new)
-        n_new = new.count()
-        if edges is None or n_new:
-            edges = new if edges is None else edges.unionByName(new)
-            found = settle(components(edges)) if n_new else found
-        return n_new
-
-    n, last = 0, 0
-    while True:
-        rows = buckets.withColumn("c", F.col("id")) if found is None else settle(buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
-        if n >= rounds:
-            held, pairs = crossings(rows) if n < most else (0, 0)
-            if pairs <= 8 * held or last * 100 < held:
-                break
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(n)), "id", "c")).alias("p")).where("lo <> hi")
-        met = rows.join(mixed.select("key", F.col("p.id").alias("q"), F.col("p.c").alias("qc")), "key").where("c <> qc")
-        last = add(confirm(met.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()))
-        n += 1
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    add(across(rows.join(mixed, "key", "left_semi")))
-    if found is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        if new.isEmpty() and found is not None:
+            return
+        edges.append(new)
+        before, every = found, edges[0]
+        for e in edges[1:]:
+            every = every.unionByName(e)
+        found = settle(components(every))
+        discard(before)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """The ``rows`` of keys with several components, with the component ``c`` of each."""
+        told = rows.withColumn("c", F.col("id")) if found is None else rows.join(broadcast_if_small(found), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        told = settle(told)
+        mixed = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        return told.join(mixed, "key", "left_semi")
+
+    def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        right = right.select("key", *[F.col(c).alias(f"_{c}") for c in right.columns if c != "key"])
+        met = left.join(right, (left["key"] == right["key"]) & more)
+        return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+    def meet_pivots(rows: DataFrame, fits: Column, times: int) -> None:
+        for n in range(times):
+            told = labelled(rows)
+            every = F.struct(*[c for c in told.columns if c != "key"])
+            pivots = told.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
+            add(confirm(pairs(told, pivots, (F.col("c") != F.col("_c")) & fits)))
+
+    if known is not None:
+        add(known)
+    meet_pivots(buckets, F.lit(True), rounds)
+    finer = settle(finer_keys(labelled(buckets), items, percent))
+    most = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    fits = F.coalesce(most * (100 + percent) >= (F.col("size") + F.col("_size")) * percent, F.lit(True))
+    meet_pivots(finer, fits, rounds)
+    last = labelled(finer)
+    add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits)))
+    discard(finer, *edges)
     return found
 
 
-def crossing(rows: DataFrame, about: DataFrame, linked: Callable[[str, str], Column]) -> DataFrame:
-    """The distinct pairs (a, b) of ``rows`` (key, id, c) in one bucket and in different components for which ``linked``
-    holds of their columns of ``about`` (id, x); the condition is part of the join, which makes no other pairs.
+def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(key, id, size, at): keys of which two ids of ``rows`` (key, id, c) share one if they share a key there and are linked.
 
-    A pair that shares several buckets is made in the first of them only: each row knows all keys of its id, at most as
-    many as there are bands, and those that a pair across components shares are all in ``rows``.
+    Rows of keys with up to ``FEW`` rows stay as they are, without size. The ids of the other rows are keyed by items:
+    these are ordered by their number of sets, and of two similar sets each has a common item among its first
+    n - ceil(n * percent / 100) + 1. So sets meet by those alone, and ``at`` bounds how similar they can be: what is
+    left behind the common item. Long common passages lie behind, and bring no sets together.
     """
-    own = rows.groupBy("id", "c").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    held = own.join(about, "id").select(F.explode("keys").alias("key"), "keys", "id", "c", "x")
-    left = held.select("key", F.col("keys").alias("ka"), F.col("id").alias("a"), F.col("c").alias("ac"), F.col("x").alias("u"))
-    right = held.select("key", F.col("keys").alias("kb"), F.col("id").alias("b"), F.col("c").alias("bc"), F.col("x").alias("v"))
-    first = F.get(F.array_intersect("ka", "kb"), F.lit(0)) == left["key"]
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ac") < F.col("bc")) & first & linked("u", "v"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    told = settle(rows.join(sizes, "key"))
+    few = told.where(F.col("n") <= FEW).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"))
+    many = settle(told.where(F.col("n") > FEW).select("id").distinct())
+    if many.isEmpty():
+        return few
+    sets = settle(items(many))
+    each = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
+    often = broadcast_if_small(settle(each.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")))
+    ordered = each.join(often, "item", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"))
+    first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
+    rare = ordered.select("id", "size", F.posexplode(first).alias("at", "x")).where("x.k > 1")
+    return few.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at"))

@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash (operator 2), in DataFrame operations alone.
 
 A line's shingles are the strings of nine characters at each of its positions; a shorter line is its own one shingle.
-Twenty-four minima of the shingles' hashes are taken by one hash aggregation over the exploded shingles, which at the same time finds equal lines.
-They are banded by fours twice over, as neighbours and at a stride of six, so that the bands of one kind share at most
-one minimum with those of the other: twelve bands, of which a pair of any size shares one with probability 0.99 at similarity 0.8.
+Twelve minima of the shingles' hashes are taken by one hash aggregation over the exploded positions, which at the same
+time finds equal lines. Each minimum is in three of the twelve bands of three, and two bands share at most one minimum:
+a pair of similarity 0.8 shares a band with probability 0.994, whatever the size of its sets.
 Candidates are confirmed on the full shingle sets, and a distributed union-find makes components, each of which keeps
 the one line that comes first by document id and line number.
 """
@@ -21,30 +21,31 @@ from briefmill.llm.scratch import broadcast_if_small, discard, settle
 WIDTH = 9
 #: each makes an order of one 32-bit hash: a mask, and an odd factor for what it gives, of which the low 31 bits count
 _rng = random.Random(20240608)
-ORDERS = [(_rng.getrandbits(32), _rng.getrandbits(31) | 1) for _ in range(24)]
-_BANDS = [[4 * b + r for r in range(4)] for b in range(6)] + [[b + 6 * r for r in range(4)] for b in range(6)]
+ORDERS = [(_rng.getrandbits(32), _rng.getrandbits(31) | 1) for _ in range(12)]
+#: any two bands share at most one minimum
+BANDS = [[(b + r) % 12 for r in (0, 1, 3)] for b in range(12)]
+#: positions that one exploded row takes
+_STEP = 4
 
 
-#: a line is cut in pieces of so many positions, so that a shingle is never looked up far from its piece's start
-_PIECE = 32
+def _codes(line: Column) -> Column:
+    """Four bytes a character, so that each character is found without reading those before it."""
+    return F.encode(line, "UTF-32")
 
 
-def _pieces(line: Column) -> Column:
-    """The strings in which the shingles of ``_PIECE`` positions each lie, piece after piece."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{1,{_PIECE + WIDTH - 1}}})).{{1,{_PIECE}}}"), F.lit(1))
+def _last(codes: Column) -> Column:
+    """The position, from 0, of the last shingle."""
+    return F.greatest((F.octet_length(codes) / 4).cast("int") - WIDTH, F.lit(0))
 
 
-def _starts(piece: Column, at: Column) -> Column:
-    """Where in the ``at``-th piece, from 0, shingles start, from 1."""
-    n = F.least(F.length(piece) - (WIDTH - 1), F.lit(_PIECE))
-    n = F.when(at == 0, F.greatest(n, F.lit(1))).otherwise(n)
-    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def _shingle(codes: Column, at: Column) -> Column:
+    return F.substring(codes, at * 4 + 1, F.lit(4 * WIDTH))
 
 
 def shingles(line: Column) -> Column:
     """The 64-bit hashes of a line's distinct shingles."""
-    of = lambda piece, at: F.transform(_starts(piece, at), lambda i: F.xxhash64(F.substring(piece, i, F.lit(WIDTH))))
-    return F.array_distinct(F.flatten(F.transform(_pieces(line), of)))
+    of = lambda codes: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(codes)), lambda i: F.xxhash64(_shingle(codes, i))))
+    return F.get(F.transform(F.array(_codes(line)), of), F.lit(0))  # the codes are made once
 
 
 def _near(u: str, v: str, percent: int) -> Column:
@@ -64,14 +65,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """A settled table (k1, k2, comp, keeper) of the lines that have an equal or a near line; ``keeper`` is the document that keeps its first."""
     lines = _lines(docs, id_col, text_col)
-    pieces = lines.select("d", "k1", "k2", F.posexplode(_pieces(F.col("line"))).alias("piece", "part"))
-    each = pieces.select("d", "k1", "k2", "piece", "part", F.explode(_starts(F.col("part"), F.col("piece"))).alias("at"))
-    each = each.select("d", "k1", "k2", ((F.col("piece") == 0) & (F.col("at") == 1)).alias("head"), F.hash(F.substring("part", F.col("at"), F.lit(WIDTH))).cast("long").bitwiseAND(F.lit((1 << 32) - 1)).alias("h"))
-    order = lambda mask, factor: (F.col("h").bitwiseXOR(F.lit(mask)) * F.lit(factor)).bitwiseAND(F.lit((1 << 31) - 1))
-    minima = [F.min(order(*o)).cast("int").alias(f"m{i}") for i, o in enumerate(ORDERS)]
+    codes = lines.select("d", "k1", "k2", _codes(F.col("line")).alias("codes")).withColumn("last", _last(F.col("codes")))
+    each = codes.select("d", "k1", "k2", "codes", "last", F.explode(F.sequence(F.lit(0), F.expr(f"cast(last div {_STEP} as int)"))).alias("at"))
+    # positions beyond the last are the last once more, which changes no minimum
+    hashes = [F.hash(_shingle(F.col("codes"), F.least(F.col("at") * _STEP + j, F.col("last")))).cast("long").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"h{j}") for j in range(_STEP)]
+    each = each.select("d", "k1", "k2", (F.col("at") == 0).alias("head"), *hashes)
+    order = lambda h, mask, factor: (F.col(h).bitwiseXOR(F.lit(mask)) * F.lit(factor)).bitwiseAND(F.lit((1 << 31) - 1))
+    minima = [F.min(F.least(*[order(f"h{j}", *o) for j in range(_STEP)])).cast("int").alias(f"m{i}") for i, o in enumerate(ORDERS)]
     known = settle(each.groupBy("k1", "k2").agg(F.min("d").alias("first"), F.count_if("head").alias("times"), *minima))
 
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(_BANDS)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
     bands = known.select(F.explode(keys).alias("key"), F.col("k1").alias("id"))
     many = settle(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
     buckets = settle(bands.join(broadcast_if_small(many), "key", "left_semi"))
@@ -82,7 +85,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = clusters.link(
         buckets,
         lambda pairs: pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(_near("u", "v", percent)).select("a", "b"),
-        lambda rows: clusters.crossing(rows, sets, lambda u, v: _near(u, v, percent)),
+        lambda some: sets.join(broadcast_if_small(some.select("id")), "id", "left_semi").select("id", shingles(F.col("x.line")).alias("items")),
+        percent,
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")
@@ -107,11 +111,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and get the same result; a null id orders last. Other columns are passed on as they are, whatever their names.
     """
     lines = _lines(docs, id_col, text_col).select("d", "t", "n", "k1", "k2")
-    at = lines.join(line_components(docs, id_col, text_col, percent), ["k1", "k2"]).select("d", "t", "n", "comp", "keeper")
-    elsewhere = at.where(~F.col("d").eqNullSafe(F.col("keeper"))).select("d", "t", "n")
-    rank = F.rank().over(Window.partitionBy("comp", "d").orderBy("t", "n"))
-    later = at.where(F.col("d").eqNullSafe(F.col("keeper"))).withColumn("r", rank).where("r > 1").select("d", "t", "n")
-    drops = settle(elsewhere.unionByName(later).groupBy("d", "t").agg(F.collect_set("n").alias("gone")))
+    parts = line_components(docs, id_col, text_col, percent)
+    at = lines.join(broadcast_if_small(parts), ["k1", "k2"]).withColumn("r", F.rank().over(Window.partitionBy("comp", "d").orderBy("t", "n")))
+    drops = settle(at.where(~F.col("d").eqNullSafe(F.col("keeper")) | (F.col("r") > 1)).groupBy("d", "t").agg(F.collect_set("n").alias("gone")))
+    discard(parts)
     size = drops.agg(F.sum(F.size("gone"))).first()[0] or 0
     drops = drops.select(F.col("d").alias("_bm_d"), F.col("t").alias("_bm_t"), F.col("gone").alias("_bm_gone"))
     text = F.col(text_col)

@@ -2,9 +2,7 @@
 
 Each document's set of word shingles gets 128 minima. Their low bits, two of each, are packed in bit planes; bands of
 six minima make the candidates; the bit counts of the planes estimate the similarity, corrected for chance collisions;
-and what the estimate does not rule out is confirmed on the full sets. Where buckets still hold several components
-after the pivots' rounds, the join itself decides which pairs are confirmed: for small sets by an upper bound of their
-intersection from maps of 4096 bits, which loses no link, for others by signatures of 4096 one-bit minima. Documents with equal sets are one class from the
+and what the estimate does not rule out is confirmed on the full sets. Documents with equal sets are one class from the
 start, found by a grouping with partial aggregation, so a set that a third of all rows share costs no more than others.
 """
 
@@ -19,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm import clusters, textvec
-from briefmill.llm.scratch import discard, settle
+from briefmill.llm.scratch import broadcast_if_small, discard, settle
 
 MINIMA, BAND_ROWS, BITS = 128, 6, 2
-#: one-bit minima, and bits of a small set's map, for pairs that the pivots leave open, which need a finer estimate
-LONG = 4096
-#: pairs with a set of fewer shingles are not estimated: minima on few shingles repeat their errors
+#: pairs with a smaller set are confirmed without an estimate
 SMALL = 300
 _rng = np.random.default_rng(20240607)
 _MASKS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -61,7 +57,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SIGNATURE = "id long, n_shingles long, k1 long, k2 long, planes array<long>, bands array<long>"
+_SIGNATURE = "id long, n_shingles long, node long, planes array<long>, bands array<long>"
+
+
+def _nodes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set, 0 for an empty one; equal sets are one node."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if len(full):
+        at = first[:-1][full]
+        sums = [np.add.reduceat(textvec.mix(value ^ np.uint64(salt)), at) for salt in (0x243F6A8885A308D3, 0xA5A5A5A55A5A5A5A)]
+        out[full] = textvec.mix(textvec.mix(sums[0]) * np.uint64(0xC2B2AE3D27D4EB4F) + sums[1] + n[full].astype(np.uint64))
+    return out
 
 
 def _signatures(width: int):
@@ -71,17 +79,16 @@ def _signatures(width: int):
                 value, first = shingle_sets(data, offsets, width)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                k1, k2 = (np.zeros(hi - lo, np.uint64) for _ in range(2))
                 planes = np.zeros((hi - lo, MINIMA // 64 * BITS), np.uint64)
                 bands = np.zeros((hi - lo, MINIMA // BAND_ROWS), np.uint64)
                 if len(full):
                     at = first[:-1][full]
-                    k1[full] = np.add.reduceat(value, at)
-                    k2[full] = np.add.reduceat(textvec.mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
                     short = (value >> np.uint64(32)).astype(np.uint32)
                     least = np.stack([np.minimum.reduceat((short ^ m) * f, at) for m, f in zip(_MASKS, _FACTORS, strict=True)], axis=1)
+                    # the top bits of one more product depend on all of a minimum, and so on its order; its own lowest are the shingle's
+                    low = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
                     for bit in range(BITS):
-                        packed = np.packbits((least >> np.uint32(bit)) & np.uint32(1), axis=1, bitorder="little")
+                        packed = np.packbits((low >> np.uint32(bit)) & np.uint32(1), axis=1, bitorder="little")
                         planes[full, bit * MINIMA // 64 : (bit + 1) * MINIMA // 64] = packed.view(np.uint64)
                     for b in range(bands.shape[1]):
                         key = np.full(len(full), b + 1, np.uint64)
@@ -89,7 +96,7 @@ def _signatures(width: int):
                             key = textvec.mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, b * BAND_ROWS + c])
                         bands[full, b] = key
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), _signed(x).ravel())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(k1)), pa.array(_signed(k2)), lists(planes), lists(bands)], names=["id", "n_shingles", "k1", "k2", "planes", "bands"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(_nodes(value, first))), lists(planes), lists(bands)], names=["id", "n_shingles", "node", "planes", "bands"])
 
     return run
 
@@ -97,9 +104,9 @@ def _signatures(width: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in textvec.byte_chunks(batch.column(1)):
+            for _, _, data, offsets in textvec.byte_chunks(batch.column(1)):
                 value, first = shingle_sets(data, offsets, width)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.ListArray.from_arrays(first.astype(np.int32), _signed(value))], names=["id", "items"])
+                yield pa.record_batch([pa.array(_signed(_nodes(value, first))), pa.ListArray.from_arrays(first.astype(np.int32), _signed(value))], names=["id", "items"])
 
     return run
 
@@ -118,83 +125,43 @@ def floor_of(percent: int, minima: int, bits: int) -> float:
     return percent / 100 - 5 * (p * (1 - p) / minima) ** 0.5 / (1 - 0.5**bits)
 
 
-def _long_signatures(mapped_below: int):
-    """(id, x): x has each set's size n; if n < ``mapped_below`` the map of its shingles; if n >= ``SMALL`` the packed bits of ``LONG`` minima."""
-    r = np.random.default_rng(99)
-    masks, factors = r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32), r.integers(0, 1 << 32, (LONG, 1), dtype=np.uint32) | np.uint32(1)
-
-    def minima(short: np.ndarray) -> np.ndarray:
-        least = np.full(LONG, np.uint32(0xFFFFFFFF))
-        for a in range(0, len(short), 256):
-            np.minimum(least, ((short[None, a : a + 256] ^ masks) * factors).min(1), out=least)
-        # the top bit of one more product depends on all of a minimum, and so on its order; the lowest is the shingle's own
-        return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), bitorder="little").view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for items in batch.column(1):
-                value = items.values.to_numpy().view(np.uint64)
-                bits = None
-                if len(value) < mapped_below:
-                    bits = np.zeros(LONG, np.uint8)
-                    bits[value % np.uint64(LONG)] = 1
-                    bits = _signed(np.packbits(bits, bitorder="little").view(np.uint64))
-                signature = _signed(minima((value >> np.uint64(32)).astype(np.uint32))) if len(value) >= SMALL else None
-                rows.append({"n": len(value), "bits": bits, "minima": signature})
-            kind = pa.struct([("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("minima", pa.list_(pa.int64()))])
-            yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["id", "x"])
-
-    return run
-
-
-def _may_link(u: str, v: str, percent: int) -> Column:
-    """What ``_long_signatures`` leaves possible; of a small set and one without a map, the sizes alone say no.
-
-    A set has at least as many shingles outside the other as bits outside the other's map, whatever the hashes.
-    """
-    m, n = F.col(f"{u}.n"), F.col(f"{v}.n")
-    outside = lambda x, y: reduce(Column.__add__, [F.bit_count(F.get(f"{x}.bits", F.lit(w)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(w))))) for w in range(LONG // 64)])
-    most = F.least(m - outside(u, v), n - outside(v, u))
-    mapped = F.col(f"{u}.bits").isNotNull() & F.col(f"{v}.bits").isNotNull()
-    estimated = F.col(f"{u}.minima").isNotNull() & F.col(f"{v}.minima").isNotNull()
-    by = F.when(mapped, most * (100 + percent) >= (m + n) * percent).when(estimated, estimate(f"{u}.minima", f"{v}.minima", LONG, 1) >= floor_of(percent, LONG, 1)).otherwise(False)
-    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, by).otherwise(False)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: its id, ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept``.
 
     Linked are documents with 100 * intersection >= percent * union of their sets of ``width``-word shingles. Null and
-    empty texts have no shingles and no links. Rows that repeat an id are one document each with the same component;
-    a null id has a null component and is kept. Other columns are ignored, whatever their names.
+    empty texts have no shingles and no links. Rows that repeat an id are one document, also where their texts differ:
+    each has its own ``n_shingles``, and all have the same component. A null id has a null component and is kept. Other
+    columns are ignored, whatever their names.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = settle(texts.mapInArrow(_signatures(width), _SIGNATURE))
-    sets_of = ["k1", "k2", "n_shingles"]
-    classes = sig.where("n_shingles > 0 and id is not null").groupBy(*sets_of).agg(F.min("id").alias("rep"))
-    members = settle(sig.where("n_shingles > 0 and id is not null").select("id", *sets_of).join(classes, sets_of).select("id", "rep"))
-    reps = settle(sig.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "planes", "bands").dropDuplicates(["id"]))
-    buckets = settle(clusters.shared_buckets(reps.select("id", F.explode("bands").alias("key")).select("key", "id")))
-    ids = buckets.select("id").distinct()
-    sets = settle(texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>").dropDuplicates(["id"]))
-    planes = reps.join(ids, "id", "left_semi").select("id", "planes")
+    full = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = sig.where(full).select("id", "node")
+    classes = settle(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("node", "rep"))
+    reps = sig.where(full).join(broadcast_if_small(classes), "node", "left").where("rep is null or rep = id").select(F.col("node").alias("id"), F.col("id").alias("rep"), "n_shingles", "planes", "bands")
+    buckets = settle(clusters.shared_buckets(reps.select(F.explode("bands").alias("key"), "id")))
+    nodes = settle(buckets.select("id").distinct())
+    about = settle(reps.join(broadcast_if_small(nodes), "id", "left_semi").select("id", "rep", "n_shingles", "planes").dropDuplicates(["id"]))
+    texts_of = settle(about.select(F.col("rep").alias("id")).distinct())
+    sets = texts.join(broadcast_if_small(texts_of), "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
+    sets = settle(sets.join(broadcast_if_small(nodes), "id", "left_semi").dropDuplicates(["id"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(planes.select(F.col("id").alias("a"), F.col("planes").alias("u")), "a").join(planes.select(F.col("id").alias("b"), F.col("planes").alias("v")), "b")
-        return clusters.similar(near.where(estimate("u", "v") >= floor_of(percent, MINIMA, BITS)).select("a", "b"), sets, percent)
-
-    def across(rows: DataFrame) -> DataFrame:
-        rows = settle(rows)
-        # with a set of fewer than SMALL shingles only smaller sets than this can be linked
-        below = max(SMALL, SMALL * 100 // percent + 1)
-        long = settle(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_long_signatures(below), "id long, x struct<n: long, bits: array<long>, minima: array<long>>"))
-        near = clusters.crossing(rows, long, lambda u, v: _may_link(u, v, percent))
-        return clusters.similar(near, sets, percent)
-
-    linked = clusters.link(buckets, confirm, across)
-    top = members.join(linked, members["rep"] == linked["id"], "left").select(members["id"], F.coalesce("component", "rep").alias("component_id")).groupBy("id").agg(F.min("component_id").alias("component_id"))
-    out = sig.select("id", "n_shingles").join(top, "id", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    discard(reps, buckets, sets)
+        held = lambda end, to: about.select(F.col("id").alias(end), F.struct("n_shingles", "planes").alias(to))
+        m, n = F.col("u.n_shingles"), F.col("v.n_shingles")
+        likely = (F.least(m, n) < SMALL) | (estimate("u.planes", "v.planes") >= floor_of(percent, MINIMA, BITS))
+        near = pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where((F.least(m, n) * 100 >= F.greatest(m, n) * percent) & likely)
+        return clusters.similar(near.select("a", "b"), sets, percent)
+
+    # rows of one id are one document, whatever their texts
+    ends = settle(rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a"))
+    again = rows.join(broadcast_if_small(ends), "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    items = lambda some: sets.join(broadcast_if_small(some), "id", "left_semi")
+    linked = clusters.link(buckets, confirm, items, percent, known=again)
+
+    links = broadcast_if_small(linked.withColumnRenamed("id", "node"))
+    told = sig.select("id", "n_shingles", "node").join(links, "node", "left").select("id", "n_shingles", F.when(full, F.coalesce("component", "node")).alias("label"))
+    least = settle(told.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("label", "component_id"))
+    out = told.join(broadcast_if_small(least), "label", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    discard(buckets, nodes, about, texts_of, sets, classes, ends)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

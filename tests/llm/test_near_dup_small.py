@@ -1,49 +1,72 @@
-"""Short documents in buckets of several components: no pair may be lost by an estimate."""
+"""Sets of all sizes in one hot bucket: no link may be lost, whatever the bucket's size."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from briefmill.llm import near_dup
+from briefmill.llm import clusters
+from briefmill.llm.near_dup import near_duplicates
+from briefmill.llm.scratch import settle
+from tests.llm.test_near_dup import brute
+
+
+def joined(sets, percent):
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in ids}
 
 
 @pytest.mark.parametrize("percent", [85, 80])
-def test_small_sets_are_not_lost_in_hot_buckets(spark, percent, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_links_of_one_hot_bucket(spark, percent, rounds):
     rng = random.Random(percent)
-    sets, n = {}, 0
-    for size in (5, 7, 10, 14, 20, 40, 290, 330, 400):
-        for _ in range(60 if size < 100 else 4):
-            union = [rng.getrandbits(64) - (1 << 63) for _ in range(size)]
-            gone = size * (100 - percent) // 100
-            sets[n], sets[n + 1] = union, union[gone:]
-            n += 2
-    items = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
-    captured = {}
-
-    def link(buckets, confirm, across):
-        captured["across"] = across
-        return spark.createDataFrame([], "id long, component long")
-
-    # the join across components as near_duplicates builds it, on one bucket that holds all sets, each its own component
-    monkeypatch.setattr(near_dup.clusters, "link", link)
-    monkeypatch.setattr(near_dup, "_full_sets", lambda width: lambda batches: (b for b in batches))
-    real = near_dup.settle
-    taken = []
-
-    def settle(df):
-        out = items if df.columns == ["id", "items"] else df if "bands" in df.columns or "k1" in df.columns or df.columns == ["key", "id"] or df.columns == ["id", "rep"] else real(df)
-        taken.append(df.columns)
-        return out
-
-    monkeypatch.setattr(near_dup, "settle", settle)
-    near_dup.near_duplicates(spark.createDataFrame([(0, "a")], "doc_id long, text string"), percent=percent)
-    rows = items.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("c"))
-    got = {tuple(r) for r in captured["across"](rows).collect()}
-    ids, want = sorted(sets), set()
-    as_sets = {i: set(x) for i, x in sets.items()}
-    for i in ids[::2]:
-        common = len(as_sets[i] & as_sets[i + 1])
-        if 100 * common >= percent * len(as_sets[i] | as_sets[i + 1]):
-            want.add((i, i + 1))
-    assert len(want) > 300 and got == want
+    passage, sets = [rng.getrandbits(63) for _ in range(12)], {}
+    for size in (5, 7, 10, 14, 20, 40, 290):
+        for _ in range(12 if size < 100 else 3):
+            union = [rng.getrandbits(63) for _ in range(size)] + (passage if rng.random() < 0.5 else [])
+            for gone in (0, len(union) * (100 - percent) // 100, len(union) * (100 - percent) // 100 + 1):
+                sets[len(sets)] = set(union[gone:])
+    family = [rng.getrandbits(63) for _ in range(60)]
+    for _ in range(80):  # copies that differ near the threshold
+        sets[len(sets)] = {x for x in family if rng.random() > 0.08} | {rng.getrandbits(63) for _ in range(4)}
+    items = settle(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, items array<long>"))
+    buckets = settle(items.select(F.lit(1).cast("long").alias("key"), "id"))
+    got = clusters.link(buckets, lambda pairs: clusters.similar(pairs, items, percent), lambda some: items.join(some, "id", "left_semi"), percent, rounds)
+    label = {i: i for i in sets} | {r["id"]: r["component"] for r in got.collect()}
+    assert label == joined(sets, percent)
+
+
+def test_repeated_ids_null_ids_and_ties(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(words[::-1])
+    rows = [(7, a), (7, a), (3, b), (5, c), (7, c), (9, "other words entirely here"), (None, a), (None, None), (11, ""), (11, None)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()), key=str)
+    # 7 has two texts, which join the components of both
+    want = [(7, 38, 3, False), (7, 38, 3, False), (3, 38, 3, True), (5, 38, 3, False), (7, 38, 3, False), (9, 2, 9, True), (None, 38, None, True), (None, 0, None, True), (11, 0, 11, True), (11, 0, 11, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_group_of_many_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(200)}" for _ in range(60)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(60)] = f"w{rng.randrange(200)}"
+        rows.append((i, " ".join(t)))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
