@@ -9,6 +9,7 @@ similarity join by their rarest items, which loses no link and whose work does n
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,8 +114,7 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
         add(known)
     meet_pivots(buckets, F.lit(True), rounds)
     finer = settle(finer_keys(labelled(buckets), items, percent))
-    most = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
-    fits = F.coalesce(most * (100 + percent) >= (F.col("size") + F.col("_size")) * percent, F.lit(True))
+    fits = _may_be_near(percent)
     meet_pivots(finer, fits, rounds)
     last = labelled(finer)
     add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits)))
@@ -122,24 +122,43 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
     return found
 
 
+#: words of 64 bits in a set's map
+MAP_WORDS = 8
+
+
+def _may_be_near(percent: int) -> Column:
+    """What the common item's places and the maps of two rows of ``finer_keys`` leave possible; rows without a size pass.
+
+    A set has at least as many items outside the other as bits outside the other's map, whatever the hashes.
+    """
+    behind = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    outside = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in range(MAP_WORDS)])
+    common = F.least(behind, F.col("size") - outside("map", "_map"), F.col("_size") - outside("_map", "map"))
+    return F.coalesce(common * (100 + percent) >= (F.col("size") + F.col("_size")) * percent, F.lit(True))
+
+
 def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(key, id, size, at): keys of which two ids of ``rows`` (key, id, c) share one if they share a key there and are linked.
+    """(key, id, size, at, map0, ...): keys of which two ids of ``rows`` (key, id, c) share one if they share a key there and are linked.
 
     Rows of keys with up to ``FEW`` rows stay as they are, without size. The ids of the other rows are keyed by items:
     these are ordered by their number of sets, and of two similar sets each has a common item among its first
     n - ceil(n * percent / 100) + 1. So sets meet by those alone, and ``at`` bounds how similar they can be: what is
-    left behind the common item. Long common passages lie behind, and bring no sets together.
+    left behind the common item; so does the map of all its items. Long common passages lie behind, and bring no sets together.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     told = settle(rows.join(sizes, "key"))
-    few = told.where(F.col("n") <= FEW).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"))
+    few = told.where(F.col("n") <= FEW).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"), *[F.lit(None).cast("long").alias(f"map{w}") for w in range(MAP_WORDS)])
     many = settle(told.where(F.col("n") > FEW).select("id").distinct())
     if many.isEmpty():
         return few
     sets = settle(items(many))
     each = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
     often = broadcast_if_small(settle(each.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")))
-    ordered = each.join(often, "item", "left").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"))
+    place = F.pmod(F.xxhash64("item"), F.lit(64 * MAP_WORDS)).cast("int")
+    maps = [F.bit_or(F.when(F.expr(f"place div 64 = {w}"), F.expr("shiftleft(1L, place % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"map{w}") for w in range(MAP_WORDS)]
+    by_id = each.withColumn("place", place).join(often, "item", "left").groupBy("id", "size")
+    ordered = by_id.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"), *maps)
     first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
-    rare = ordered.select("id", "size", F.posexplode(first).alias("at", "x")).where("x.k > 1")
-    return few.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at"))
+    names = [f"map{w}" for w in range(MAP_WORDS)]
+    rare = ordered.select("id", "size", *names, F.posexplode(first).alias("at", "x")).where("x.k > 1")
+    return few.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at", *names))

@@ -141,22 +141,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sig.where(full).join(broadcast_if_small(classes), "node", "left").where("rep is null or rep = id").select(F.col("node").alias("id"), F.col("id").alias("rep"), "n_shingles", "planes", "bands")
     buckets = settle(clusters.shared_buckets(reps.select(F.explode("bands").alias("key"), "id")))
     nodes = settle(buckets.select("id").distinct())
-    about = settle(reps.join(broadcast_if_small(nodes), "id", "left_semi").select("id", "rep", "n_shingles", "planes").dropDuplicates(["id"]))
+    about = settle(reps.join(broadcast_if_small(nodes), "id", "left_semi").select("id", "rep", "planes").dropDuplicates(["id"]))
     texts_of = settle(about.select(F.col("rep").alias("id")).distinct())
     sets = texts.join(broadcast_if_small(texts_of), "id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
-    sets = settle(sets.join(broadcast_if_small(nodes), "id", "left_semi").dropDuplicates(["id"]))
+    sets = settle(sets.join(about.select("id", "planes"), "id").dropDuplicates(["id"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        held = lambda end, to: about.select(F.col("id").alias(end), F.struct("n_shingles", "planes").alias(to))
-        m, n = F.col("u.n_shingles"), F.col("v.n_shingles")
-        likely = (F.least(m, n) < SMALL) | (estimate("u.planes", "v.planes") >= floor_of(percent, MINIMA, BITS))
-        near = pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where((F.least(m, n) * 100 >= F.greatest(m, n) * percent) & likely)
-        return clusters.similar(near.select("a", "b"), sets, percent)
+        held = lambda end, to: sets.select(F.col("id").alias(end), F.struct(F.size("items").alias("n"), "items", "planes").alias(to))
+        least, most = F.least(F.col("u.n"), F.col("v.n")), F.greatest(F.col("u.n"), F.col("v.n"))
+        likely = (least < SMALL) | (estimate("u.planes", "v.planes") >= floor_of(percent, MINIMA, BITS))
+        near = F.when((least * 100 >= most * percent) & likely, clusters.jaccard_at_least("u.items", "v.items", percent)).otherwise(False)
+        return pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(near).select("a", "b")
 
     # rows of one id are one document, whatever their texts
     ends = settle(rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a"))
     again = rows.join(broadcast_if_small(ends), "id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    items = lambda some: sets.join(broadcast_if_small(some), "id", "left_semi")
+    items = lambda some: sets.join(broadcast_if_small(some), "id", "left_semi").select("id", "items")
     linked = clusters.link(buckets, confirm, items, percent, known=again)
 
     links = broadcast_if_small(linked.withColumnRenamed("id", "node"))
