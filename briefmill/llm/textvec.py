@@ -29,7 +29,7 @@ class Powers:
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
+            size = max(n, 2 * CHUNK_BYTES + 2)
             self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _ODD)])
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.inverse)])
         return self.up, self.down
@@ -71,7 +71,28 @@ def run_bounds(inside: np.ndarray, offsets: np.ndarray, classes: np.ndarray | No
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, the same wherever the run stands."""
+    """A 64-bit hash of each run of bytes, the same wherever the run stands; runs in order, about ``CHUNK_BYTES`` of data at a time."""
+    if len(data) <= 2 * CHUNK_BYTES or not len(starts):
+        return _run_hashes(data, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+        a, b = starts[i], ends[j - 1]
+        if b - a <= 2 * CHUNK_BYTES:
+            out[i:j] = _run_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a)
+        else:  # one run longer than a chunk: the parts' sums, each times the power of its place
+            total, up = np.zeros(1, np.uint64), _POWERS.of(CHUNK_BYTES + 1)[0]
+            for part in range(int(a), int(b), CHUNK_BYTES):
+                codes = _BYTE_CODES[data[part : min(part + CHUNK_BYTES, b)]]
+                place = np.uint64(pow(int(_ODD), part - int(a), 1 << 64))
+                total += (codes * up[: len(codes)]).sum(dtype=np.uint64) * place
+            out[i:j] = mix(total + np.uint64(b - a))
+        i = j
+    return out
+
+
+def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _POWERS.of(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0

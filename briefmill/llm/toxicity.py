@@ -2,8 +2,8 @@
 
 A word's input is the sum of a word vector (hashed to ``WORDS`` rows) and the mean of the vectors of its byte trigrams
 (hashed to ``CHARS`` rows). A network runs over overlapping windows of ``WINDOW`` words that cover the whole text; a
-document's score is that of its worst window. Fitting sees a bounded sample of labelled rows (``max_train`` documents of
-at most ``MAX_TRAIN_CHARS`` characters each) in one task; scoring is a map over the documents without any shuffle.
+document's score is that of its worst window. Fitting sees a bounded sample of labelled rows (``max_train`` documents,
+whole) in one task; scoring is a map over the documents without any shuffle.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm import textvec
+from briefmill.llm.scratch import discard, settle
 
 WINDOW, STRIDE = 64, 48
 WORDS, CHARS, DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 12, 16, 8, 8
-MAX_TRAIN_CHARS = 20_000
 _TRIGRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -33,6 +33,7 @@ class Words:
         h, starts, ends = h[word], starts[word], ends[word]
         self.first = np.searchsorted(starts, offsets)
         distinct, at, self.ids = np.unique(h, return_index=True, return_inverse=True)
+        self.hash = distinct
         self.bucket = (distinct % np.uint64(WORDS)).astype(np.int64)
         low = textvec._LOWER[data].astype(np.uint64)
         s, e = starts[at], ends[at]
@@ -163,9 +164,25 @@ def gradients(p: dict[str, np.ndarray], words: Words, k: dict, d_logit: np.ndarr
 
 
 def _joined(texts: list[str]) -> Words:
-    raw = [t.encode() for t in texts]
-    offsets = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
-    return Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    """The words of all ``texts``, made a chunk of bytes at a time, so that only word numbers are held of each text."""
+    firsts, ids, hashes, parts, n = [np.zeros(1, np.int64)], [], [], [], 0
+    for _, _, data, offsets in textvec.byte_chunks(pa.array(texts, pa.string())):
+        w = Words(data, offsets)
+        firsts.append(w.first[1:] + firsts[-1][-1])
+        ids.append(w.ids + n)
+        n += len(w.hash)
+        hashes.append(w.hash)
+        parts.append(w)
+    out = Words.__new__(Words)
+    distinct, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    out.hash, out.first, out.ids = distinct, np.concatenate(firsts), inverse[np.concatenate(ids)]
+    out.bucket = np.concatenate([w.bucket for w in parts])[at]
+    tri_n = np.concatenate([w.tri_n for w in parts])
+    starts = np.cumsum(tri_n) - tri_n
+    out.tri_n = tri_n[at]
+    out.tri = np.concatenate([w.tri for w in parts])[textvec.spread(starts[at], starts[at] + out.tri_n)]
+    out.tri_at = np.cumsum(out.tri_n) - out.tri_n
+    return out
 
 
 def _worst(p: dict, words: Words, n_docs: int, top: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +199,13 @@ def _worst(p: dict, words: Words, n_docs: int, top: int = 1) -> tuple[np.ndarray
 
 
 def fit(texts: list[str], labels: np.ndarray, threshold: float, epochs: int = 7, seed: int = 7) -> tuple[dict[str, np.ndarray], float, float]:
-    """Parameters, and slope and shift that calibrate a logit; the sample's order decides the validation fifth.
+    """Parameters of the epoch with the best F1, and slope and shift that calibrate a logit; the sample's order decides
+    the validation fifth.
 
     Word vectors start from the words' log-odds, so that the first windows picked already tell the classes apart; each
     epoch picks the windows with the highest logits of each document and trains on them by Adam. The shift puts the
-    cut with the best F1 on the validation fifth at ``threshold``.
+    cut with the best F1 on the validation fifth at ``threshold``, and of the slopes through that point the one with the
+    least log loss there is taken.
     """
     p = new_parameters(seed)
     y = labels.astype(np.float32)
@@ -214,7 +233,7 @@ def fit(texts: list[str], labels: np.ndarray, threshold: float, epochs: int = 7,
     for epoch in range(epochs + 1):
         top, start, end, doc = _worst(p, words, len(texts), top=2)
         score = _best_f1(top[val], y[val])[0]
-        if score >= best[0]:
+        if epoch and score >= best[0]:
             best = (score, {k: x.copy() for k, x in p.items()})
         if epoch == epochs:
             break
@@ -243,8 +262,11 @@ def fit(texts: list[str], labels: np.ndarray, threshold: float, epochs: int = 7,
                 p[k][rows] -= rate * (m1[k][rows] / (1 - 0.9**t)) / (np.sqrt(m2[k][rows] / (1 - 0.99**t)) + 1e-6)
     p = best[1]
     top = _worst(p, words, len(texts))[0]
-    cut = _best_f1(top[val], y[val])[1]
-    return p, 1.0, float(np.log(threshold / (1 - threshold)) - cut)
+    cut, base = _best_f1(top[val], y[val])[1], np.log(threshold / (1 - threshold))
+    z, t = np.maximum(top[val], -60) - cut, y[val] > 0
+    loss = lambda slope: np.logaddexp(0, np.where(t, -1, 1) * (slope * z + base)).sum()
+    slope = float(min(2.0 ** np.arange(-3, 3.25, 0.25), key=loss))
+    return p, slope, float(base - slope * cut)
 
 
 def _best_f1(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -283,18 +305,22 @@ def held_out(id_col, mod: int, is_: int):
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, max_train: int = 6000) -> bytes:
-    """The model, fitted in one task on at most ``max_train`` labelled rows, chosen by a hash of their ids."""
+    """The model, fitted in one task on at most ``max_train`` labelled ids, chosen by a hash; an id without a document is none."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id", 4, 2))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
-    chosen = known.select("id", "y", F.xxhash64("id").alias("o")).join(texts, "id")
-    sample = chosen.orderBy("o", "id").limit(max_train)
+    # ids and labels are chosen before any text is read
+    chosen = settle(known.groupBy("id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("id")).orderBy("o", "id").limit(max_train))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("o", "id", "y").agg(F.min("text").alias("text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["o"], r["id"], r["text"], r["y"]) for b in batches for r in b.to_pylist())
+        if not rows:
+            return
         model = fit([r[2] for r in rows], np.array([r[3] for r in rows]), threshold)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     got = sample.select("o", "id", "text", "y").coalesce(1).mapInArrow(train, "model binary").first()
+    discard(chosen)
     return bytes(got["model"]) if got else pickle.dumps((new_parameters(), 1.0, 0.0))
 
 
@@ -308,8 +334,10 @@ def score_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` from 0 to 1 and ``predicted`` (score >= threshold).
 
-    Labels are read only of rows that are not held out. Without labelled rows of both classes the parameters stay as
-    drawn: the scores are defined, but carry no information.
+    Labels are read only of rows that are not held out; an id that is labelled twice counts as toxic if either row says
+    so. Without labelled rows of both classes the parameters stay as drawn: the scores are defined, but carry no
+    information. Null, empty and wordless texts score 0. Rows that repeat an id are scored each by its own text; a null
+    id stays null. Other columns are ignored, whatever their names.
     """
     scored = score_documents(docs, fit_model(docs, labels, id_col, text_col, threshold=threshold), id_col, text_col)
     return scored.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -65,3 +65,46 @@ def test_query_covers_all_documents(spark):
     out = op8_toxicity(spark, SF)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_scores_are_those_of_a_slow_network():
+    rng = np.random.default_rng(3)
+    p = {k: rng.normal(0, 0.4, x.shape).astype(np.float32) for k, x in tox.new_parameters().items()}
+    text = " ".join(f"word{i % 37}x" for i in range(150)) + " café a bb !! 12"
+    words = tox._joined([text, "", "lone"])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def slow(start, end):
+        xs = []
+        for i in words.ids[start:end]:
+            tri = words.tri[words.tri_at[i] : words.tri_at[i] + words.tri_n[i]]
+            xs.append(p["word"][words.bucket[i]] + sum(p["char"][t] for t in tri) / len(tri))
+        states = []
+        for way, seq in (("f", xs), ("b", xs[::-1])):
+            h, out = np.zeros(tox.HIDDEN), []
+            for x in seq:
+                a, g = x @ p[f"W{way}"] + p[f"c{way}"], h @ p[f"U{way}"]
+                z, r = sig(a[:8] + g[:8]), sig(a[8:16] + g[8:16])
+                h = h + (1 - z) * (np.tanh(a[16:] + r * g[16:]) - h)
+                out.append(h)
+            states.append(out if way == "f" else out[::-1])
+        hs = [np.r_[f, b] for f, b in zip(*states)]
+        e = np.array([np.exp(np.tanh(h @ p["A"]) @ p["v"]) for h in hs])
+        return sum(w * h for w, h in zip(e / e.sum(), hs)) @ p["w"] + p["b"][0]
+
+    n = words.first[1]
+    cuts = [(a, min(a + tox.WINDOW, n)) for a in range(0, n - tox.WINDOW + tox.STRIDE, tox.STRIDE)]
+    best = tox._worst(p, words, 3)[0]
+    assert abs(best[0] - max(slow(a, b) for a, b in cuts)) < 1e-3
+    assert best[1] == -np.inf and abs(best[2] - slow(words.first[2], words.first[3])) < 1e-4
+
+
+def test_a_long_text_is_hashed_in_parts(monkeypatch):
+    from briefmill.llm import textvec
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.choice([1, 5, 9, 700]))) for _ in range(300)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = textvec.words(data, offsets)[0]
+    monkeypatch.setattr(textvec, "CHUNK_BYTES", 256)
+    assert (textvec.words(data, offsets)[0] == whole).all()
