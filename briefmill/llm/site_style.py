@@ -1,9 +1,12 @@
 """HTML extraction by site style trees (operator 9).
 
 The DOMs of a host's pages are merged by the paths of their elements (tag and class). For each path, the presentations
-(sequences of child elements) and the contents (texts) of all its pages are counted; their entropies make the path's
-importance: contents that differ from page to page are important, contents that repeat on every page are not. From each
-page the branches of low importance go, and so do those whose element, role or class name says that they are no article.
+(sequences of child elements) and the contents (texts anywhere in its branch) of all its pages are counted; their
+entropies make the branch's importance: contents that differ from page to page are important, contents that repeat on
+every page are not. From each page the branches of low importance go, unless they hold over three quarters of its text: then it
+is the article that repeats, in near copies of the page. Before that, fixed lists of tags, roles and class names decide what a
+tree cannot tell: adverts and reader comments differ from page to page as the article does. Where a page has articles,
+and at least a quarter of its text is in them, only what is in them counts.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from briefmill.llm.scratch import settle
 #: weight of the contents against the presentation in a path's importance, and what counts as low
 CONTENT_WEIGHT, LOW = 0.9, 0.3
 #: a host with fewer pages on a path tells nothing about it
-LEAST_PAGES = 8
+LEAST_PAGES = 4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: a quote counts only where a value begins, so that an odd one elsewhere does not swallow the tag's end
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -38,6 +42,8 @@ _NAMES = re.compile(
     r"|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|search|form|widgets?|pagination|pager|toolbar|skip|copyright|disclaimer)(?=$|[\s_\d-])",
     re.I,
 )
+#: within an article a class counts only if it is made of such names and of these words: 'comment-list', but not 'related-work'
+_PLAIN = re.compile(r"list|items?|box|block|section|area|container|wrap(?:per)?|inner|outer|main|links?|bar|buttons?|posts?|content|slot|unit|top|bottom|left|right|form|[a-z]?\d*", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_\d-])", re.I)
 
 
@@ -114,6 +120,7 @@ class Page:
         self.children[up].append(kind)
         named = f"{words.get('class', '')} {words.get('id', '')}"
         inside = self.in_article[up]
+        by_name = bool(named.strip()) and bool(_NAMES.search(named)) and (not inside or any(_wholly_named(w) for w in named.split()))
         gone = (
             self.dropped[up]
             or name in _NEVER
@@ -121,7 +128,7 @@ class Page:
             or "hidden" in words
             or words.get("aria-hidden") == "true"
             or "display:none" in words.get("style", "").replace(" ", "").lower()
-            or (name not in ("html", "body", "main") and bool(named.strip()) and bool(_NAMES.search(named)))
+            or (name not in ("html", "body", "main") and by_name)
             or (not inside and (name == "header" or (name not in ("html", "body", "main") and bool(_HEADER.search(named)))))
         )
         self.dropped.append(gone)
@@ -131,11 +138,35 @@ class Page:
         if name not in _VOID:
             stack.append(n)
 
+    def keys(self) -> list[int]:
+        """The hash of each element's path."""
+        known: dict[str, int] = {}
+        for path in self.path:
+            if path not in known:
+                known[path] = path_key(path)
+        return [known[p] for p in self.path]
+
     def text(self, low: frozenset[int] = frozenset()) -> str:
-        """The blocks that are not dropped and on no path of ``low`` importance, one a line; within articles, if there are any."""
+        """The blocks that are in no dropped branch and in none of ``low`` importance, one a line."""
         kept = [(n, t) for n, t in self.blocks if not self.dropped[n]]
+        if low:
+            gone, keys = [False], self.keys()
+            for n in range(1, len(self.parent)):
+                gone.append(gone[self.parent[n]] or keys[n] in low)
+            left = [(n, t) for n, t in kept if not gone[n]]
+            if 4 * _size(left) >= _size(kept):
+                kept = left
         inside = [(n, t) for n, t in kept if self.in_article[n]]
-        return "\n".join(t for n, t in (inside or kept) if path_key(self.path[n]) not in low)
+        return "\n".join(t for _, t in (inside if 4 * _size(inside) >= _size(kept) else kept))
+
+
+def _size(blocks: list[tuple[int, str]]) -> int:
+    return sum(len(t) for _, t in blocks)
+
+
+def _wholly_named(word: str) -> bool:
+    parts = [p for p in re.split(r"[_-]+", word) if p]
+    return any(_NAMES.fullmatch(p) for p in parts) and all(_NAMES.fullmatch(p) or _PLAIN.fullmatch(p) for p in parts)
 
 
 def path_key(path: str) -> int:
@@ -169,15 +200,16 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page, host, seen = Page(source or ""), host_of(url), set()
-            for n in range(1, len(page.path)):
-                if not page.dropped[n]:
-                    key = path_key(page.path[n])
-                    seen.add((host, key, 0, 0))
-                    # runs of equal children are one: lists of any length look alike
-                    seen.add((host, key, 1, path_key(" ".join(c for i, c in enumerate(page.children[n]) if i == 0 or page.children[n][i - 1] != c))))
+            keys = page.keys()
+            for n in range(1, len(keys)):
+                seen.add((host, keys[n], 0, 0))
+                # runs of equal children are one: lists of any length look alike
+                seen.add((host, keys[n], 1, path_key(" ".join(c for i, c in enumerate(page.children[n]) if i == 0 or page.children[n][i - 1] != c))))
             for n, text in page.blocks:
-                if not page.dropped[n]:
-                    seen.add((host, path_key(page.path[n]), 2, path_key(text)))
+                of = path_key(text)
+                while n > 0:  # a branch is as important as what is in it
+                    seen.add((host, keys[n], 2, of))
+                    n = page.parent[n]
             count.update(seen)
             if len(count) > 200_000:
                 yield batch_of()
@@ -189,7 +221,7 @@ def path_importance(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     """(host, path, m, importance) of the merged trees: m distinct pages have the path; importance from 0 to 1, 1 where m is 1.
 
     A presentation's part is the entropy, to base m, of the presentations; a content's importance falls with the share
-    of the pages that hold it: one less the mean of log(its pages) / log(m) over the path's distinct contents.
+    of the pages that hold it: one less the mean of log(its pages) / log(m) over the contents of all the branch's pages.
     """
     rows = pages.select(F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     # copies of a page on its host are one page, else the article of a page that is often repeated looks like a menu
@@ -199,7 +231,7 @@ def path_importance(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     m = F.max(F.when(F.col("kind") == 0, F.col("k")))
     total = F.sum(F.when(F.col("kind") == 1, F.col("k")))
     shown = F.sum(F.when(F.col("kind") == 1, F.col("k") * F.log("k")))
-    repeat = F.avg(F.when(F.col("kind") == 2, F.log("k")))
+    repeat = F.sum(F.when(F.col("kind") == 2, F.col("k") * F.log("k"))) / F.sum(F.when(F.col("kind") == 2, F.col("k")))
     by = each.groupBy("host", "path").agg(m.alias("m"), total.alias("n"), shown.alias("s"), repeat.alias("r"))
     presentation = F.when(F.col("m") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("m")).otherwise(1.0)
     content = F.when(F.col("m") > 1, 1 - F.coalesce(F.col("r"), F.lit(0.0)) / F.log("m")).otherwise(1.0)
@@ -210,7 +242,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, ``text`` (blocks joined by line ends, empty if none) and ``n_chars``.
 
     A null html counts as empty; pages without a host in their url form one host. Repeated rows are extracted each, and
-    count as one page of their host. Other columns are ignored, whatever their names.
+    count as one page of their host. Of a host with fewer than ``LEAST_PAGES`` distinct pages on a path nothing is known
+    there, and only the lists decide. Other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     low = path_importance(rows).where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LOW))
