@@ -1,9 +1,10 @@
 """Media columns in Ogg (operator 7): pages with checksums, lacing, multiplexed logical streams and granule positions.
 
 A payload of 8-bit samples is stored as two logical streams of one physical stream: packets of ``SAMPLES`` samples go to
-them in turn, each after a header packet, and the granule position of a page is the number of samples up to the end of
-the last packet that ends on it. Reading verifies every page's checksum, reassembles packets from the lacing values,
-demultiplexes the streams by serial number and orders the packets of both by their granule positions.
+them in turn, each after a header packet and with pages of its own; the granule position of a page on which a packet
+ends is the number of samples, of both streams, up to that end. Reading verifies every page's checksum, reassembles
+packets from the lacing values, demultiplexes the streams by serial number, and derives each packet's start and end from
+the granule positions; these times order the packets of both streams.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ RATE, SAMPLES, BLOCK = 8000, 4096, 64
 SERIALS = (0x5350_4C30, 0x5350_4C31)
 _HEAD = struct.Struct("<4sBBqIIIB")
 _NONE = -1
+_TIMES = pa.list_(pa.struct([("serial", pa.int64()), ("start", pa.float64()), ("end", pa.float64())]))
 _BITS = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
@@ -34,23 +36,17 @@ def checksum(page: bytes) -> int:
 
 
 def pages_of(packets: list[tuple[bytes, int]], serial: int, ends: bool = True) -> Iterator[bytes]:
-    """The pages of one logical stream; ``packets`` are bytes with the granule position at their end."""
-    lacing: list[tuple[int, bytes, int]] = []
-    for data, granule in packets:
-        full, rest = divmod(len(data), 255)
-        lacing += [(255, data[255 * i : 255 * i + 255], _NONE) for i in range(full)] + [(rest, data[255 * full :], granule)]
-    # the header packet has a page of its own, as decoders expect
-    cuts = [0, 1] + list(range(1 + 255, len(lacing), 255)) + [len(lacing)] if len(lacing) > 1 else [0, len(lacing)]
-    open_packet = False
-    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        part = lacing[a:b]
-        granule = max((g for _, _, g in part), default=_NONE)
-        flags = (1 if open_packet else 0) | (2 if number == 0 else 0) | (4 if ends and b == len(lacing) else 0)
-        body = b"".join(d for _, d, _ in part)
-        table = bytes(n for n, _, _ in part)
-        head = _HEAD.pack(b"OggS", 0, flags, granule, serial, number, 0, len(part)) + table
-        yield head[:22] + checksum(head + body).to_bytes(4, "little") + head[26:] + body
-        open_packet = part[-1][0] == 255
+    """The pages of one logical stream, of which each holds one packet or a part; ``packets`` are bytes with the granule position at their end."""
+    number = 0
+    for k, (data, granule) in enumerate(packets):
+        table = bytes([255]) * (len(data) // 255) + bytes([len(data) % 255])
+        for a in range(0, len(table), 255):
+            part, body = table[a : a + 255], data[255 * a : 255 * (a + 255)]
+            done = a + 255 >= len(table)
+            flags = (1 if a else 0) | (2 if number == 0 else 0) | (4 if ends and done and k == len(packets) - 1 else 0)
+            head = _HEAD.pack(b"OggS", 0, flags, granule if done else _NONE, serial, number, 0, len(part)) + part
+            yield head[:22] + checksum(head + body).to_bytes(4, "little") + head[26:] + body
+            number += 1
 
 
 def write(payload: bytes, n_bytes: int) -> bytes:
@@ -74,6 +70,8 @@ class Corrupt(ValueError):
 def demultiplex(media: bytes) -> dict[int, dict]:
     """By serial number: ``packets`` [(bytes, granule position or -1)], ``pages``, and whether the stream ``ended``.
 
+    A page's granule position is that of the last packet which ends on it; packets before that on the page have -1.
+
     Raises ``Corrupt`` where a capture pattern, checksum, page number, length or continuation does not fit.
     """
     streams: dict[int, dict] = {}
@@ -112,30 +110,41 @@ def demultiplex(media: bytes) -> dict[int, dict]:
     return streams
 
 
-def read(media: bytes) -> tuple[bytes, int, dict]:
-    """The payload, its unpadded length, and what the container tells: pages, packets, streams and duration.
+def timed(packets: list, serial: int) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, serial, bytes) in samples of a stream's packets of one byte a sample, from the granule positions.
 
-    A page names the position of its last packet's end only; that of packets before it follows from the samples they
-    and the packets between them in the other stream hold: packets go to the streams in turn, each but the last full.
+    A packet with a position ends there; one without ends where the next on its page starts.
     """
+    out, end = [], None
+    for data, granule in reversed(packets):
+        end = granule if granule != _NONE else end
+        if end is None or end < len(data):
+            raise Corrupt("a packet has no granule position")
+        out.append((end - len(data), end, serial, data))
+        end -= len(data)
+    return out[::-1]
+
+
+def read(media: bytes) -> tuple[bytes, int, dict]:
+    """The payload, its unpadded length, and what the container tells: pages, packets, streams, duration and ``times``
+    [(serial, start, end)] of the packets in seconds, in their order."""
     streams = demultiplex(media)
     if not streams:
         raise Corrupt("no page")
-    parts, n_bytes, size = [], 0, 0
+    parts, n_bytes, size, rate = [], 0, 0, RATE
     for serial, s in streams.items():
-        magic, stream, rate, n_bytes, size = struct.unpack("<8sBIQQ", s["packets"][0][0])
-        if magic != b"SMPL8\0\0\0" or rate != RATE:
+        magic, _, rate, n_bytes, size = struct.unpack("<8sBIQQ", s["packets"][0][0])
+        if magic != b"SMPL8\0\0\0" or not rate:
             raise Corrupt(f"stream {serial} is not of 8-bit samples")
-        for k, (data, granule) in enumerate(s["packets"][1:]):
-            start = (2 * k + stream) * SAMPLES
-            if granule not in (_NONE, start + len(data)):
-                raise Corrupt("a granule position does not fit the packets before it")
-            parts.append((start, data))
-    payload = b"".join(d for _, d in sorted(parts))
+        parts += timed(s["packets"][1:], serial)
+    parts.sort()
+    if any(a[1] != b[0] for a, b in zip(parts, parts[1:])) or (parts and parts[0][0]):
+        raise Corrupt("the granule positions leave a gap or overlap")
+    payload = b"".join(p[3] for p in parts)
     if len(payload) != size:
         raise Corrupt("the packets do not add up to the payload")
-    told = {"pages": sum(s["pages"] for s in streams.values()), "packets": sum(len(s["packets"]) for s in streams.values()), "streams": len(streams), "seconds": size / RATE}
-    return payload, n_bytes, told
+    told = {"pages": sum(s["pages"] for s in streams.values()), "packets": sum(len(s["packets"]) for s in streams.values()), "streams": len(streams)}
+    return payload, n_bytes, told | {"seconds": parts[-1][1] / rate if parts else 0.0, "times": [(serial, a / rate, b / rate) for a, b, serial, _ in parts]}
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -152,7 +161,8 @@ def feature(payload: bytes, told: dict) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, media): each text's payload as an Ogg stream. Other columns are ignored, whatever their names."""
+    """(id, media): each text's payload as an Ogg stream. Null and empty texts are one block of bytes 0. Rows that repeat
+    an id are stored each by its own text; a null id stays null. Other columns are ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +174,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, media binary").withColumnRenamed("id", id_col)
 
 
-def examine(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Reads each stream back: payload, its unpadded length and the features; null or corrupt media give null in all but the id and ``error``."""
+def examine(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", times: bool = False) -> DataFrame:
+    """Reads each stream back: payload, its unpadded length and the features, with ``times`` also each packet's serial
+    number, start and end in seconds; null or corrupt media give null in all but the id, ``media`` and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +185,12 @@ def examine(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 for x in part.column(1):
                     try:
                         payload, n, told = read(x.as_py() or b"")
-                        rows.append((n, payload, feature(payload, told), None))
+                        rows.append((n, payload, feature(payload, told), None, told["times"] if times else None))
                     except (Corrupt, struct.error, IndexError) as e:
-                        rows.append((None, None, None, str(e)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)]
-                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1).cast(pa.binary()), *columns], names=["id", "media", "n_bytes", "payload", "feature", "error"])
+                        rows.append((None, None, None, str(e), None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.string(), _TIMES), strict=True)]
+                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1).cast(pa.binary()), *columns], names=["id", "media", "n_bytes", "payload", "feature", "error", "times"])
 
-    got = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, media binary, n_bytes long, payload binary, feature string, error string")
-    return got.withColumnRenamed("id", id_col)
+    got = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, media binary, n_bytes long, payload binary, feature string, error string, times array<struct<serial: long, start: double, end: double>>")
+    got = got.withColumnRenamed("id", id_col)
+    return got if times else got.drop("times")

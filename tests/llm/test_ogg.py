@@ -65,3 +65,18 @@ def test_null_media(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"OggS"))], "doc_id long, media binary")
     assert all(r["payload"] is None and r["error"] for r in ogg.examine(df).collect())
     assert ogg.examine(ogg.store(df.select("doc_id").limit(0).selectExpr("doc_id", "'' as text"))).count() == 0
+
+
+def test_times_follow_from_granules(spark):
+    payload = bytes(range(256)) * 600
+    streams = ogg.demultiplex(ogg.write(payload, 1))
+    for k, serial in enumerate(ogg.SERIALS):
+        times = ogg.timed(streams[serial]["packets"][1:], serial)
+        assert [(a, b) for a, b, _, _ in times] == [(s, min(len(payload), s + 4096)) for s in range(4096 * k, len(payload), 8192)]
+    # a stream of another writer: several packets end on a page, which names the last one's end alone
+    assert [(a, b) for a, b, _, _ in ogg.timed([[b"x" * 10, -1], [b"y" * 20, 30], [b"z" * 5, 35]], 1)] == [(0, 10), (10, 30), (30, 35)]
+    told = ogg.read(ogg.write(payload, 1))[2]
+    assert told["seconds"] == len(payload) / ogg.RATE and [t[1] for t in told["times"]] == sorted(t[1] for t in told["times"])
+    docs = spark.createDataFrame([(1, "a"), (1, "b" * 70), (None, None), (2, "")], "doc_id long, text string")
+    rows = ogg.examine(ogg.store(docs), times=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], len(r["times"])) for r in rows) == [("1", 1, 1), ("1", 70, 1), ("2", 0, 1), ("None", 0, 1)]
