@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.scratch import settle
 
-BLOCK, GROUP, CHUNK = 64, 32, 128
+BLOCK, GROUP = 64, 32
+#: queries of a chunk: the more, the fewer times the vectors are shuffled, which is once for each chunk
+CHUNK, MOST_CHUNK = 128, 4096
 #: groups of blocks that one chunk of queries meets in one slice, carrying its thresholds from one to the next
 SLICE = 64
 
@@ -104,34 +106,33 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of other ids (rows that repeat the
     query's id count as its own). Ties go to the smaller id; rows that repeat a candidate's id are candidates each.
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id, nor
-    vectors whose number of components is not the most common one. Other columns are ignored.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Components
+    that a vector lacks against the longest one count as 0. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col(id_col).isNotNull()
     whole = settle(vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")))
-    sizes = whole.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    sizes = whole.agg(F.max(F.size("v")).alias("n"), F.count("*").alias("count"), F.count_if(F.col("id") % every == 0).alias("asked")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if sizes is None:
+    if not sizes["asked"]:
         return empty
-    dim, total = sizes["n"], sizes["count"]
-    whole = whole.where(F.size("v") == dim)
+    dim, total = max(1, sizes["n"]), sizes["count"]
+    whole = whole.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
+    size = max(CHUNK, min(MOST_CHUNK, sizes["asked"] // 64))
 
     def packed(rows: DataFrame, size: int, n: int) -> DataFrame:
         parts = max(1, -(-n // (size * 16)))
         return settle(rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(_packed(size), "part long, ids binary, vals binary"))
 
     groups = packed(whole, BLOCK * GROUP, total)
-    chunks = packed(whole.where(F.col("id") % every == 0), CHUNK, -(-total // every))
+    chunks = packed(whole.where(F.col("id") % every == 0), size, sizes["asked"])
     n_groups = groups.count()
-    if not n_groups or chunks.isEmpty():
-        return empty
     n_slices = -(-n_groups // SLICE)
     dealt = groups.select(F.pmod(F.xxhash64("part"), F.lit(n_slices)).alias("slice"), "part", "ids", "vals")
     asked = chunks.select(F.col("part").alias("chunk"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long"))).alias("slice"))
     n_chunks = chunks.count()
-    met = asked.join(dealt, "slice").repartition(min(2000, max(1, n_chunks * n_slices)), "chunk", "slice").sortWithinPartitions("chunk", "slice", "part")
+    met = asked.join(dealt, "slice").repartition(min(20_000, n_chunks * n_slices), "chunk", "slice").sortWithinPartitions("chunk", "slice", "part")
     found = met.mapInArrow(_search(k, dim), "query_id long, vec_id long, score long")
     from pyspark.sql import Window
 

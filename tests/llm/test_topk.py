@@ -37,3 +37,19 @@ def test_bounds_prune_blocks():
     best = [[]]
     scored = topk.search_group(np.ones((1, 4), np.int64), np.array([-1]), best, np.arange(len(x)), x, 5)
     assert scored == 1 and best[0] == [(-400, i) for i in range(5)]
+
+
+def test_ragged_vectors_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [rng.random() - 0.5 for _ in range(rng.randrange(1, 9))]) for i in range(900)] + [(50, [0.5, 0.5]), (7, [0.25] * 9), (7, [0.25] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in ok:
+        if q % 50 == 0 and q != 50:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for chunk in (128, 3):
+        monkeypatch.setattr(topk, "CHUNK", chunk)
+        monkeypatch.setattr(topk, "MOST_CHUNK", chunk)
+        assert sorted(tuple(r) for r in topk.top_k(df).collect() if r[0] != 50) == sorted(want)
