@@ -2,9 +2,9 @@
 
 Texts become token ids in a map over the documents; only the pieces' lengths take part in packing. Each partition packs
 its pieces by best-fit decreasing and compares its bins with a lower bound. Where there is a gap, the documents of the
-bins that are not full are exchanged, and a certified partition gives those of its emptiest bin: they go to fewer
-partitions, each of which repacks by best-fit decreasing, until one of a bounded number of pieces has repacked what is
-left.
+bins that are not full are exchanged, and a certified partition gives those of its emptiest bin: they are dealt anew to
+as many partitions as their number needs, each of which repacks by best-fit decreasing. That ends when one partition
+holds what is left, or when the pieces in open bins have become few no more; no task ever takes more than ``per_task``.
 """
 
 from __future__ import annotations
@@ -157,23 +157,22 @@ def _pack(capacity: int, level: int, last: bool):
 def pack(cut: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """The settled rows of ``cut`` (see ``pieces``) with ``sequence_id`` and ``offset`` (gapless from 0)."""
     schema = f"{_PIECES}, sequence_id long, offset long, open boolean"
-    n = cut.count()
-    rest, done, level = cut, [], 0
+    rest, done, level, tasks = cut, [], 0, -(-cut.count() // per_task)
+    last = tasks <= 1
     while True:
-        tasks = -(-n // per_task)
-        by = rest.repartition(max(1, tasks), F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level))) if tasks > 1 or level else rest.repartition(1)
-        out = settle(by.mapInArrow(_pack(capacity, level, tasks <= 1), schema))
+        by = rest.repartition(max(1, tasks), F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)))
+        out = settle(by.mapInArrow(_pack(capacity, level, last), schema))
         done.append(out.where("not open").drop("open"))
-        if tasks <= 1:
+        if last:
             break
         rest = out.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
         left = rest.count()
         if not left:
             break
-        # a task of the next round takes the open pieces of at least four tasks of this one
-        n, level = min(left, max(1, tasks // 4) * per_task), level + 1
-        if level > 30:
-            raise RuntimeError("more rounds than a sequence number can hold")
+        level, before = level + 1, tasks
+        tasks = -(-left // per_task)
+        # each round but the last has at most three quarters of the tasks of the one before, so there are few
+        last = tasks <= 1 or tasks * 4 > before * 3 or level == 30
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)

@@ -71,3 +71,15 @@ def test_rounds_of_exchange_save_bins(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_task_takes_all_where_every_bin_has_room(spark):
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randrange(700, 1000), i) for i in range(4000)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), per_task=200).collect()
+    assert sorted(tuple(r)[:5] for r in out) == sorted(rows)
+    assert check_layout(out, 2048) <= 2000 + 4000 // 200  # a task keeps one bin of one piece at most
+    tasks = defaultdict(int)
+    for r in out:
+        tasks[r["sequence_id"] >> 32] += 1
+    assert max(tasks.values()) < 2 * 200
