@@ -68,7 +68,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, known: DataFrame | None = None) -> DataFrame:
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None) -> DataFrame:
     """A settled table (id, component) of all ids that have a link; ``buckets`` is a settled table (key, id).
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``items`` takes a table (id) and
@@ -113,7 +113,7 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
     if known is not None:
         add(known)
     meet_pivots(buckets, F.lit(True), rounds)
-    finer = settle(finer_keys(labelled(buckets), items, percent))
+    finer = settle(finer_keys(labelled(buckets), items, percent, few))
     fits = _may_be_near(percent)
     meet_pivots(finer, fits, rounds)
     last = labelled(finer)
@@ -137,20 +137,20 @@ def _may_be_near(percent: int) -> Column:
     return F.coalesce(common * (100 + percent) >= (F.col("size") + F.col("_size")) * percent, F.lit(True))
 
 
-def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, few: int = FEW) -> DataFrame:
     """(key, id, size, at, map0, ...): keys of which two ids of ``rows`` (key, id, c) share one if they share a key there and are linked.
 
-    Rows of keys with up to ``FEW`` rows stay as they are, without size. The ids of the other rows are keyed by items:
+    Rows of keys with up to ``few`` rows stay as they are, without size. The ids of the other rows are keyed by items:
     these are ordered by their number of sets, and of two similar sets each has a common item among its first
     n - ceil(n * percent / 100) + 1. So sets meet by those alone, and ``at`` bounds how similar they can be: what is
     left behind the common item; so does the map of all its items. Long common passages lie behind, and bring no sets together.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     told = settle(rows.join(sizes, "key"))
-    few = told.where(F.col("n") <= FEW).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"), *[F.lit(None).cast("long").alias(f"map{w}") for w in range(MAP_WORDS)])
-    many = settle(told.where(F.col("n") > FEW).select("id").distinct())
+    small = told.where(F.col("n") <= few).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"), *[F.lit(None).cast("long").alias(f"map{w}") for w in range(MAP_WORDS)])
+    many = settle(told.where(F.col("n") > few).select("id").distinct())
     if many.isEmpty():
-        return few
+        return small
     sets = settle(items(many))
     each = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
     often = broadcast_if_small(settle(each.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")))
@@ -161,4 +161,4 @@ def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent
     first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
     names = [f"map{w}" for w in range(MAP_WORDS)]
     rare = ordered.select("id", "size", *names, F.posexplode(first).alias("at", "x")).where("x.k > 1")
-    return few.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at", *names))
+    return small.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at", *names))
