@@ -10,18 +10,13 @@ PAGE_LADDER = {"text": 95, "textThin": 70, "ocrHigh": 80, "ocrMid": 70, "ocrLow"
 PENALTIES = {"repeat": 8, "bloat": 8, "headings": 6, "chunks": 10}
 
 
-def page_class(density: Column, confidence: Column, glyph: Column) -> Column:
-    """The class of a page: glyph debris, text by density, or OCR by its confidence (given as a share or in percent)."""
+def page_class(text: Column, confidence: Column, glyph: Column, ocr: Column) -> Column:
+    """The class of a page: missing without text, glyph debris, OCR by its confidence (a share or in percent; high where
+    none is told), else text by its density."""
     c = F.when(confidence <= 1, confidence * 100).otherwise(confidence)
-    return (
-        F.when(glyph, "glyph")
-        .when(confidence.isNull() & (F.coalesce(density, F.lit(0)) == 0), "missing")
-        .when(confidence.isNull() & (density < 150), "textThin")
-        .when(confidence.isNull(), "text")
-        .when(c >= 85, "ocrHigh")
-        .when(c >= 60, "ocrMid")
-        .otherwise("ocrLow")
-    )
+    blank = text.isNull() | ~text.rlike("\\S")
+    by_ocr = F.when(c.isNull() | F.isnan(c.cast("double")) | (c >= 90), "ocrHigh").when(c >= 75, "ocrMid").otherwise("ocrLow")
+    return F.when(blank, "missing").when(glyph, "glyph").when(ocr, by_ocr).when(F.length(text) < 150, "textThin").otherwise("text")
 
 
 def ladder(klass: Column) -> Column:
@@ -33,8 +28,8 @@ def band(score: Column) -> Column:
 
 
 def document_score(mean: Column, pages: Column, missing: Column, repeat: Column, bloat: Column, no_headings: Column, few_chunks: Column, critical: Column) -> Column:
-    """The mean page score less penalties; missing pages cost 10 + 45 * sqrt(share), at most 40; critical ones cap it at 84."""
-    lost = F.when(missing > 0, F.least(F.lit(40.0), 10 + 45 * F.sqrt(missing / F.greatest(pages, F.lit(1))))).otherwise(0.0)
+    """The mean page score less penalties; missing pages cost 10 + 45 * sqrt(share), rounded, at most 40; critical ones cap it at 84."""
+    lost = F.when(missing > 0, F.least(F.lit(40.0), 10 + F.round(45 * F.sqrt(missing / F.greatest(pages, F.lit(1)))))).otherwise(0.0)
     flags = [(repeat, "repeat"), (bloat, "bloat"), (no_headings, "headings"), (few_chunks, "chunks")]
     score = mean - lost
     for flag, name in flags:

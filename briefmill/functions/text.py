@@ -12,7 +12,7 @@ def citation(kind: Column, volume: Column, volumes: Column, page: Column, first:
     vol = F.when(volumes > 1, F.concat(volume.cast("string"), F.lit(" "))).otherwise("")
     head = F.lit("")
     if supplement is not None:
-        end = F.when(supplement % 100 == 11, "th").when(supplement % 100 == 12, "th").when(supplement % 100 == 13, "th").when(supplement % 10 == 1, "st").when(supplement % 10 == 2, "d").when(supplement % 10 == 3, "d").otherwise("th")
+        end = F.when(supplement % 100 == 11, "th").when(supplement % 100 == 12, "th").when(supplement % 100 == 13, "th").when(supplement % 10 == 1, "st").when(supplement % 10 == 2, "nd").when(supplement % 10 == 3, "rd").otherwise("th")
         head = F.when(supplement == 1, "Supp. ").when(supplement > 1, F.concat(supplement.cast("string"), end, F.lit(" Supp. "))).otherwise("")
     return F.concat(head, vol, kind, F.lit(" "), page.cast("string"), lines)
 

@@ -18,20 +18,20 @@ def narrowest_range(points: DataFrame, ranges: DataFrame, key: str, at: str, id_
     """Each point's narrowest range of the same key that holds it, ties by range id; no range gives nulls.
 
     ``ranges`` has start, end (null: open) and ``range_id``. Bounded ranges are cut at multiples of ``width`` and joined
-    by (key, cell), so that a key with many points and ranges is not one nested loop; open ranges that start earlier
-    than the point are joined by the last start at or before it.
+    by (key, cell), so that a key with many points and ranges is not one nested loop. Where no bounded range holds the
+    point, of the open ranges that start at or before it the one with the smallest id does: all are equally wide.
     """
     cells = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
     closed = ranges.where(F.col("end").isNotNull()).withColumn("cell", cells)
     inside = points.withColumn("cell", F.floor(F.col(at) / width)).join(closed, [key, "cell"]).where(F.col(at).between(F.col("start"), F.col("end")))
     best = inside.groupBy(id_col).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("span"), "range_id")).alias("best"))
-    # of open ranges the narrowest is the one that starts last: an as-of join by a running maximum
+    # an as-of join by a running minimum of the ids
     starts = ranges.where(F.col("end").isNull()).groupBy(key, "start").agg(F.min("range_id").alias("range_id"))
     both = points.select(key, F.col(at).alias("p"), F.col(id_col).alias("pid"), F.lit(1).alias("o"), F.lit(None).cast(ranges.schema["range_id"].dataType).alias("rid")).unionByName(
         starts.select(key, F.col("start").alias("p"), F.lit(None).cast(points.schema[id_col].dataType).alias("pid"), F.lit(0).alias("o"), F.col("range_id").alias("rid"))
     )
-    last = F.last("rid", ignorenulls=True).over(Window.partitionBy(key).orderBy("p", "o").rowsBetween(Window.unboundedPreceding, 0))
-    open_ = both.withColumn("open_id", last).where("pid is not null").select(F.col("pid").alias(id_col), "open_id")
+    least = F.min("rid").over(Window.partitionBy(key).orderBy("p", "o").rowsBetween(Window.unboundedPreceding, 0))
+    open_ = both.withColumn("open_id", least).where("pid is not null").select(F.col("pid").alias(id_col), "open_id")
     return points.join(best, id_col, "left").join(open_, id_col, "left").withColumn("range_id", F.coalesce("best.range_id", "open_id")).drop("best", "open_id")
 
 

@@ -119,16 +119,28 @@ def diversify(hits: DataFrame, limit: int, order: Sequence[Column], group: str =
 
 
 def pack_budget(hits: DataFrame, group: str, order: Sequence[str], size: Column, budget: int) -> DataFrame:
-    """Greedy packing in order: a row that does not fit is skipped and later ones may still fit. One fold per group over
-    its rows in order, which are a query's hits and so few."""
-    rows = hits.withColumn("_size", size)
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, "_size", F.struct(*[c for c in hits.columns if c != group]).alias("row")))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"), F.lit(0).alias("i"))
-    step = lambda s, r: F.when(
-        s["used"] + r["_size"] <= budget, F.struct((s["used"] + r["_size"]).cast("long").alias("used"), F.concat(s["taken"], F.array(s["i"])).alias("taken"), (s["i"] + 1).alias("i"))
-    ).otherwise(F.struct(s["used"].alias("used"), s["taken"].alias("taken"), (s["i"] + 1).alias("i")))
-    taken = listed.select(group, F.explode(F.transform(F.aggregate("rows", zero, step)["taken"], lambda i: F.get(F.col("rows"), i))).alias("r"))
-    return taken.select(group, "r.row.*")
+    """Greedy packing in order: a row that does not fit is skipped and later ones may still fit.
+
+    Rows that exceed the budget alone go first. The others are sorted by group and order, spilling where they must, and
+    each task reads them once with one running sum: no group is ever held in memory.
+    """
+    import pyarrow as pa
+
+    at, names = hits.columns.index(group), hits.columns
+
+    def run(batches):
+        now, used = object(), 0
+        for batch in batches:
+            keep = []
+            for g, n in zip(batch.column(at).to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                if g != now:
+                    now, used = g, 0
+                keep.append(n is not None and used + n <= budget)
+                used += n if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    rows = hits.withColumn("_size", size.cast("long")).where(F.col("_size") <= budget)
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, hits.schema)
 
 
 def pack_until_full(hits: DataFrame, group: str, order: Sequence[Column], size: Column, budget: int) -> DataFrame:
@@ -144,3 +156,22 @@ def score_health(scores: DataFrame) -> DataFrame:
     told = scores.agg(F.count("*").alias("n"), F.count_distinct(F.round(s, 6)).alias("distinct"), F.max(s).alias("top"), F.count_if(F.isnan(s)).alias("nan"), (F.stddev_pop(s) / F.abs(F.avg(s))).alias("cv"))
     ok = (F.col("nan") == 0) & (F.col("distinct") > 1) & (F.col("top") >= 0.001) & (F.col("cv") >= 0.001)
     return told.select("n", "distinct", F.coalesce(ok, F.lit(False)).alias("trusted"))
+
+
+def holds_quote(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id): the ``docs`` (doc_id, text) that hold the text of a quote (item_id, quote), character for character.
+
+    A quote's first and last word may be parts of words, so a document that holds it has its longest inner word as a
+    word; they meet by that, and the text decides. Quotes without an inner word, a few words long, are tested as one
+    list against each text. Empty and null quotes are in no document.
+    """
+    word = F.lit(r"[^\x20\x09-\x0D]+")
+    asked = quotes.where("quote <> ''").select("item_id", "quote", F.regexp_extract_all("quote", word, F.lit(0)).alias("w"))
+    inner = F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != "")
+    asked = asked.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", word, F.lit(0)))).alias("key"))
+    pairs = words.join(asked.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id")
+    held = pairs.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    short = asked.where("key is null").agg(F.collect_list(F.struct("item_id", "quote")).alias("short"))
+    found = docs.join(F.broadcast(short)).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("text"), q["quote"]))["item_id"]).alias("item_id"))
+    return held.unionByName(found).distinct()

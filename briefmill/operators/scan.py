@@ -3,44 +3,88 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: characters that look alike, and what stands for them (fixed values)
-_FOLD_FROM = "‘’‚‛“”„–—−     "
-_FOLD_TO = "''''\"\"\"---" + " " * 5
+#: quotes, primes, dashes and spaces that are folded to the plain form (fixed values)
+_PLAIN = {
+    "'": "\u2018\u2019\u201a\u201b\u2032\u2035",
+    '"': "\u201c\u201d\u201e\u201f\u2033\u2036",
+    "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212",
+    " ": "\u00a0\u2002\u2003\u2007\u2009\u200a\u202f\u3000",
+}
+_MARKS = "[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
+#: escapes that stand for a place or white space, and so bind no iteration to a character (fixed values)
+_LOOSE = frozenset("bsnrtfvWAZz")
+
+
+def _letters() -> dict[str, str]:
+    """Characters of one compatible plain character once their marks are taken off: accented, wide and raised letters."""
+    known = {c for of in _PLAIN.values() for c in of}
+    out = {c: plain for plain, of in _PLAIN.items() for c in of}
+    for c in map(chr, [*range(0xA0, 0x3000), *range(0xFF01, 0xFF5F)]):
+        plain = re.sub(_MARKS, "", unicodedata.normalize("NFKD", c))
+        if c not in known and len(plain) == 1 and plain != c:
+            out[c] = plain
+    return out
+
+
+_LETTERS = _letters()
+_LIGATURES = {c: unicodedata.normalize("NFKD", c) for c in map(chr, [0x2026, *range(0xFB00, 0xFB07)])}
+
+
+def _atoms(body: str) -> list[tuple[str, str]]:
+    """The atoms of a pattern with the quantifier of each; groups, alternation and anchors are passed over."""
+    found = re.findall(r"(\\.|\[(?:\\.|[^\]\\])*\]|[^|()^$])([*+?]|\{[^}]*\}?)?", body, re.S)
+    return [(atom, q) for atom, q in found]
+
+
+def _runs_away(body: str) -> bool:
+    """Whether a repeated ``body`` may match one text in many ways: an open quantifier, and no atom that each turn must take."""
+    atoms = _atoms(body)
+    open_ = any(q in ("*", "+") or re.fullmatch(r"\{\d+,\s*\}?", q) for _, q in atoms)
+    fixed = any(not q and not (atom[0] == "\\" and atom[1:] in _LOOSE) for atom, q in atoms)
+    return open_ and not fixed
 
 
 def guard(pattern: str) -> str:
-    """The pattern, or an error where it may run away: a quantified group that holds a quantifier, or an open look-behind."""
+    """The pattern, or an error where it may run away: a repeated group that ``_runs_away``, or an open look-behind."""
     re.compile(pattern)
-    if re.search(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)\s*(?:[+*]|\{\d+,)", pattern):
-        raise ValueError("a quantified group must not hold a quantifier")
+    opened: list[int] = []
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|\(|\)([*+{])?", pattern, re.S):
+        if m[0] == "(":
+            opened.append(m.end())
+        elif m[0][0] == ")" and opened:
+            start = opened.pop()
+            if m[1] and _runs_away(pattern[start : m.start()]):
+                raise ValueError("a repeated group must take a fixed character in each turn")
     if re.search(r"\(\?<[=!][^)]*[+*]", pattern):
         raise ValueError("a look-behind must have a bounded length")
     return pattern
 
 
 def folded(text: Column) -> Column:
-    """Quotes, dashes and spaces in their plain forms, one character for one, so that offsets stay."""
-    return F.translate(text, _FOLD_FROM, _FOLD_TO)
+    """Quotes, dashes, spaces and letters with marks in their plain forms, each one character; ligatures become several."""
+    once = F.translate(text, "".join(_LETTERS), "".join(_LETTERS.values()))
+    for c, plain in _LIGATURES.items():
+        once = F.replace(once, F.lit(c), F.lit(plain))
+    return F.regexp_replace(once, _MARKS, "")
+
+
+def folded_pattern(pattern: str) -> str:
+    """A pattern in the plain forms of ``folded``, so that both sides of a comparison are folded."""
+    out = "".join(_LIGATURES.get(c, _LETTERS.get(c, c)) for c in pattern)
+    return re.sub(_MARKS, "", out)
 
 
 def tolerant(pattern: str) -> str:
-    """Spaces outside classes may also be a line's end with a printed line number; quantified spaces stay."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        inside = (inside or c == "[") and c != "]"
-        plain = c == " " and not inside and not (i + 1 < len(pattern) and pattern[i + 1] in "+*?{")
-        out.append(r"\s+(?:\d{1,3}\s+)?" if plain else c)
-        i += 1
-    return "".join(out)
+    """Runs of spaces outside classes may also be a line's end with a printed line number; a quantified run stays as it is."""
+    def widen(m: re.Match) -> str:
+        return r"\s+(?:\d{1,3}\s+)?" if m[0][0] == " " and not m[1] else m[0]
+
+    return re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]| +([+*?{])?", widen, pattern, flags=re.S)
 
 
 def scan(rows: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
@@ -52,7 +96,8 @@ def scan(rows: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
 
 def crossing_lines(rows: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """Tolerant matches, with whether the match ``crosses`` a printed line: it does where the strict pattern fails."""
-    strict, wide = F.lit(f"(?i){guard(pattern)}"), F.lit(f"(?i){tolerant(pattern)}")
+    plain = folded_pattern(guard(pattern))
+    strict, wide = F.lit(f"(?i){plain}"), F.lit(f"(?i){tolerant(plain)}")
     text = folded(F.col(text_col))
     return rows.where(F.regexp_like(text, wide)).withColumn("crosses", ~F.regexp_like(text, strict))
 

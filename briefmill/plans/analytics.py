@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from briefmill.functions import chunking, readiness
 from briefmill.functions import text as t
 from briefmill.operators import ordered as o
-from briefmill.operators.retrieval import passages
+from briefmill.operators.retrieval import holds_quote, passages
 from briefmill.plans.retrieval import _PASSAGES
 from briefmill.sources.tables import table
 
@@ -88,15 +88,18 @@ def progress_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_window_10s(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 2000")
+    e = table(spark, d, "events")
     w = F.window("ts", "10 seconds", "5 seconds")
     return e.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n", (F.col("n") / 10).alias("rate"))
 
 
 def rate_limit_60s(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-60_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("recent"), (F.count("*").over(w) >= 3).alias("limited"))
+    """Each minute of a type is one window, which also sees the minute before, so that a busy type is many tasks."""
+    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("own", F.expr("s div 60000000"))
+    each = e.select("event_id", "event_type", "s", "own", F.explode(F.array("own", F.col("own") + 1)).alias("minute"))
+    w = Window.partitionBy("event_type", "minute").orderBy("s").rangeBetween(-60_000_000, 0)
+    told = each.withColumn("recent", F.count("*").over(w)).where("minute = own")
+    return told.select("event_id", "recent", (F.col("recent") >= 3).alias("limited"))
 
 
 def lag_percentile(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +131,7 @@ def speaker_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def carried_heading(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id < 3000")
+    e = table(spark, d, "events")
     head = F.when(F.col("event_type") == "purchase", F.col("event_id"))
     return e.select("event_id", "user_id", o.carried(e, "user_id", "event_id", head).alias("heading"))
 
@@ -152,16 +155,18 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_lineage(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "orders").where("o_orderkey % 100 = 1").select(F.col("o_orderkey").alias("id"))
+    seeds = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return o.lineage(_edges(spark, d), seeds).groupBy("seed", "node").agg(F.min("depth").cast("long").alias("depth"))
 
 
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    seed = x.where("l_orderkey < 40")
-    a = seed.join(x.withColumnRenamed("l_orderkey", "other"), "l_suppkey").where("other <> l_orderkey").select("l_orderkey", "other", F.lit(1).alias("why"))
-    b = seed.join(x.withColumnRenamed("l_orderkey", "other"), "l_partkey").where("other <> l_orderkey").select("l_orderkey", "other", F.lit(2).alias("why"))
-    return a.unionByName(b).groupBy("l_orderkey", "other").agg(F.min("why").cast("long").alias("why"))
+    """Each order's next orders by a shared supplier (1) or part (2); all related ones follow from these steps."""
+    x = table(spark, d, "lineitem")
+    arms = []
+    for key, why in (("l_suppkey", 1), ("l_partkey", 2)):
+        w = Window.partitionBy(key).orderBy("l_orderkey")
+        arms.append(x.select("l_orderkey", key).distinct().select("l_orderkey", F.lead("l_orderkey").over(w).alias("other"), F.lit(why).alias("why")).where("other is not null"))
+    return arms[0].unionByName(arms[1]).groupBy("l_orderkey", "other").agg(F.min("why").cast("long").alias("why"))
 
 
 def unconnected(spark: SparkSession, d: str) -> DataFrame:
@@ -208,16 +213,9 @@ def hash_and_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_verification(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that hold a benchmark passage: candidates share the passage's first eight words, then the text decides."""
-    word = r"[^\x20\x09-\x0D]+"
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w"))
-    b = b.withColumn("key", F.xxhash64(F.slice("w", 1, 8)))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w"))
-    keys = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(8)))))).alias("key"))
-    pairs = keys.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    held = pairs.join(docs, "doc_id").join(b.select("item_id", "quote"), "item_id")
-    return held.where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    """The documents that hold a benchmark passage, by ``operators.retrieval.holds_quote``."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return holds_quote(table(spark, d, "documents").select("doc_id", "text"), b)
 
 
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -242,8 +240,9 @@ def glyph_metrics(spark: SparkSession, d: str) -> DataFrame:
 def readiness_score(spark: SparkSession, d: str) -> DataFrame:
     """Documents as records of pages: their lines' classes, mean score, penalties and band."""
     p = passages(table(spark, d, "documents"))
-    conf = F.when(F.col("idx") % 3 == 1, (F.length("text") % 100) / F.when(F.col("idx") % 2 == 0, 100.0).otherwise(1.0))
-    cls = readiness.page_class(F.length("text"), conf, F.contains("text", F.lit("%%%")))
+    ocr = F.col("idx") % 3 == 1
+    conf = F.when(ocr & (F.col("idx") % 9 != 4), (F.length("text") % 100) / F.when(F.col("idx") % 2 == 0, 100.0).otherwise(1.0))
+    cls = readiness.page_class(F.col("text"), conf, F.contains("text", F.lit("%%%")), ocr)
     x = p.withColumn("class", cls).withColumn("page_score", readiness.ladder(F.col("class")))
     y = x.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("page_score") == 0).alias("missing"), F.avg("page_score").alias("mean"), (F.count("*") - F.count_distinct("text") >= 3).alias("repeat"), (F.sum(F.length("text")) > 20000).alias("bloat"))
     score = readiness.document_score(F.col("mean"), F.col("pages"), F.col("missing"), F.col("repeat"), F.col("bloat"), F.col("pages") > 8, F.lit(False), F.col("missing") > 2)
@@ -285,12 +284,14 @@ def distinct_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_target(spark: SparkSession, d: str) -> DataFrame:
-    """The part type that shares at least half of a name's letters' set with a lead of .2, else none."""
-    p = table(spark, d, "part").where("p_partkey <= 300").select("p_partkey", F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]"), F.lit(0))).alias("w"))
-    k = table(spark, d, "part").select("p_type").distinct().withColumn("v", F.array_distinct(F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z]"), F.lit(0)))).agg(F.collect_list(F.struct("p_type", "v")).alias("k"))
-    x = p.join(F.broadcast(k)).select("p_partkey", F.reverse(F.array_sort(F.transform("k", lambda s: F.struct((F.size(F.array_intersect(F.col("w"), s["v"])) / F.size("w")).alias("o"), s["p_type"].alias("t"))))).alias("r"))
-    lead = F.col("r")[0]["o"] - F.coalesce(F.get("r", F.lit(1))["o"], F.lit(0.0))
-    return x.select("p_partkey", F.when((F.col("r")[0]["o"] >= 0.5) & (lead >= 0.2), F.col("r")[0]["t"]).alias("target"))
+    """The part type that has at least half of a name's words, with a lead of .2 over the next type, else none."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    p = table(spark, d, "part").select("p_partkey", words("p_name").alias("w"))
+    k = table(spark, d, "part").select("p_type").distinct().select("p_type", F.explode(words("p_type")).alias("t"))
+    met = p.select("p_partkey", F.size("w").alias("n"), F.explode("w").alias("t")).join(k, "t").groupBy("p_partkey", "n", "p_type").agg(F.count("*").alias("c"))
+    v = Window.partitionBy("p_partkey").orderBy(F.desc("o"), F.desc("p_type"))
+    best = met.withColumn("o", F.col("c") / F.col("n")).withColumns({"rn": F.row_number().over(v), "next": F.coalesce(F.lead("o").over(v), F.lit(0.0))}).where("rn = 1 and o >= 0.5 and o - next >= 0.2")
+    return p.select("p_partkey").join(best.select("p_partkey", F.col("p_type").alias("target")), "p_partkey", "left")
 
 
 QUERIES = {f.__name__: f for f in (corpus_status, coverage_by_source, status_pivot, grand_total_rollup, vector_stats, page_report, gap_pages, conditional_counts, execution_stats, decayed_preferences, wave_plan, progress_rate, rate_window_10s, rate_limit_60s, lag_percentile, folder_totals, chunk_neighbours, section_ranges, speaker_turns, carried_heading, runner_up_margin, latest_version, graph_lineage, related_entities, unconnected, selection_state, citation_format, truncate_and_snippet, line_tests, draft_detection, name_keys, hash_and_distance, quote_verification, repeated_lines, token_bloat, glyph_metrics, readiness_score, chunk_recursive, chunk_tokens, head_and_tail, excerpt_picker, kind_lookup, distinct_tags, answer_target)}
@@ -310,21 +311,21 @@ ORACLE = {
     "decayed_preferences": "WITH x AS (SELECT event_type, user_id, least(10.0::DOUBLE, round(sum(value / 100 * exp(-date_diff('day', ts::DATE, DATE '2024-01-31') / 30.0::DOUBLE)), 6)) AS weight FROM events GROUP BY ALL) SELECT event_type, user_id, weight, row_number() OVER (PARTITION BY event_type ORDER BY weight DESC, user_id) AS rank FROM x QUALIFY rank <= 3",
     "wave_plan": "WITH x AS (SELECT o_custkey, count(*) AS waiting, min(o_orderdate) AS oldest FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT *, (row_number() OVER (ORDER BY waiting, o_custkey) - 1) // 10 AS wave FROM x ORDER BY waiting, o_custkey LIMIT 50",
     "progress_rate": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(count(*) / 3600, 6) AS per_second FROM events GROUP BY 1",
-    "rate_window_10s": "WITH w AS (SELECT time_bucket(INTERVAL 5 SECONDS, ts) - to_seconds(5 * k) AS start FROM events, range(2) t(k) WHERE event_id < 2000) SELECT start, count(*) AS n, count(*) / 10 AS rate FROM w GROUP BY 1",
+    "rate_window_10s": "WITH w AS (SELECT time_bucket(INTERVAL 5 SECONDS, ts) - to_seconds(5 * k) AS start FROM events, range(2) t(k)) SELECT start, count(*) AS n, count(*) / 10 AS rate FROM w GROUP BY 1",
     "rate_limit_60s": "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w >= 3 AS limited FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
     "lag_percentile": "SELECT event_type, quantile_disc(value, 0.95) AS p95, max(value) AS top FROM events GROUP BY 1",
     "folder_totals": "WITH p AS (SELECT string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/') AS s, length(html) AS n FROM pages) SELECT array_to_string(s[1:k], '/') AS folder, count(*) AS pages, sum(n)::BIGINT AS chars FROM (SELECT s, n, unnest(range(1, len(s) + 1)) AS k FROM p) GROUP BY 1",
     "chunk_neighbours": "WITH c AS (SELECT conv_id, turn, role, md5(text) AS text FROM conversations) SELECT conv_id, turn, role, text, coalesce(string_agg(text, ',') OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(text, ',') OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after, row_number() OVER w = 1 AS at_start, lead(1) OVER w IS NULL AS at_end, count(*) OVER (PARTITION BY conv_id, turn) > 1 AS ambiguous FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
     "section_ranges": "WITH s AS (SELECT DISTINCT user_id, (epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-01'))::BIGINT AS page FROM events WHERE event_type = 'purchase') SELECT user_id, page, coalesce(lead(page) OVER (PARTITION BY user_id ORDER BY page) - 1, 2592000) AS \"end\" FROM s",
     "speaker_turns": "WITH c AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL), m AS (SELECT *, (lag(role) OVER w IS DISTINCT FROM role OR lag(turn) OVER w IS NULL)::INTEGER AS new FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS island FROM m) SELECT conv_id, island, role, min(turn) AS first, max(turn) AS last, count(*) AS rows FROM i GROUP BY ALL",
-    "carried_heading": "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events WHERE event_id < 3000",
+    "carried_heading": "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events",
     "runner_up_margin": "SELECT o_custkey, o_orderkey, margin FROM (SELECT *, row_number() OVER w AS rn, round(o_totalprice - lead(o_totalprice) OVER w, 2) AS margin FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn = 1",
     "latest_version": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
-    "graph_lineage": f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 100 = 1 UNION SELECT seed, dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 4) SELECT seed, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL",
-    "related_entities": "WITH s AS (SELECT * FROM lineitem WHERE l_orderkey < 40), p AS (SELECT s.l_orderkey, x.l_orderkey AS other, 1 AS why FROM s JOIN lineitem x USING (l_suppkey) UNION ALL SELECT s.l_orderkey, x.l_orderkey, 2 FROM s JOIN lineitem x USING (l_partkey)) SELECT l_orderkey, other, min(why)::BIGINT AS why FROM p WHERE other <> l_orderkey GROUP BY ALL",
+    "graph_lineage": f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT seed, dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 4) SELECT seed, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL",
+    "related_entities": "WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), u AS (SELECT l_orderkey, lead(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS other, 1 AS why FROM s UNION ALL SELECT l_orderkey, lead(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey), 2 FROM p) SELECT l_orderkey, other, min(why)::BIGINT AS why FROM u WHERE other IS NOT NULL GROUP BY ALL",
     "unconnected": f"WITH {_EDGES} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
     "selection_state": "SELECT l_orderkey, CASE count(*) FILTER (l_returnflag = 'N') WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM lineitem GROUP BY 1",
-    "citation_format": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 14 = 0 THEN '' WHEN l_orderkey % 14 = 1 THEN 'Supp. ' ELSE (l_orderkey % 14) || CASE WHEN l_orderkey % 14 IN (2, 3) THEN 'd' ELSE 'th' END || ' Supp. ' END
+    "citation_format": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 14 = 0 THEN '' WHEN l_orderkey % 14 = 1 THEN 'Supp. ' ELSE (l_orderkey % 14) || CASE l_orderkey % 14 WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || ' Supp. ' END
         || CASE WHEN l_orderkey % 3 > 1 THEN l_linenumber || ' ' ELSE '' END || CASE l_returnflag WHEN 'N' THEN 'CR' WHEN 'R' THEN 'RR' ELSE 'Rec.' END || ' ' || floor(l_quantity)::INTEGER
         || CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 25 = l_suppkey % 25 THEN ':' || (l_partkey % 25 + 1) ELSE ':' || (l_partkey % 25 + 1) || '-' || (l_suppkey % 25 + 1) END AS citation FROM lineitem""",
     "truncate_and_snippet": "WITH x AS (SELECT doc_id, text, instr(lower(text), 'license') AS pos FROM documents) SELECT doc_id, CASE WHEN length(text) <= 105 THEN text ELSE substr(text, 1, 50) || ' ... ' || right(text, 50) END AS short, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 60), pos - greatest(1, pos - 60) + 140) END AS snippet FROM x",
@@ -336,11 +337,11 @@ ORACLE = {
     "repeated_lines": f"WITH {_PASSAGES} SELECT md5(text) AS line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM p WHERE trim(text) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3",
     "token_bloat": f"SELECT doc_id, len(regexp_extract_all(text, {_W}))::INTEGER AS words, round(length(text) / greatest(len(regexp_extract_all(text, {_W})), 1), 4) AS per_word, len(regexp_extract_all(text, {_W})) > 4000 AS bloat FROM documents",
     "glyph_metrics": "WITH c AS (SELECT doc_id, text, unnest(range(1, length(text))) AS i FROM documents), g AS (SELECT doc_id, lower(substr(text, i, 2)) AS g FROM c), n AS (SELECT doc_id, g, count(*)::DOUBLE AS k FROM g WHERE regexp_full_match(g, '[a-z][a-z]') GROUP BY ALL), e AS (SELECT doc_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS e FROM n GROUP BY 1) SELECT d.doc_id, round((length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1), 6) AS replaced, round(coalesce(e, 0), 6) AS entropy FROM documents d LEFT JOIN e USING (doc_id)",
-    "readiness_score": f"""WITH {_PASSAGES}, c AS (SELECT doc_id, text, length(text) AS n, CASE WHEN idx % 3 = 1 THEN (length(text) % 100) / CASE WHEN idx % 2 = 0 THEN 100.0::DOUBLE ELSE 1 END END AS f FROM p),
+    "readiness_score": f"""WITH {_PASSAGES}, c AS (SELECT doc_id, idx, text, length(text) AS n, CASE WHEN idx % 3 = 1 AND idx % 9 <> 4 THEN (length(text) % 100) / CASE WHEN idx % 2 = 0 THEN 100.0::DOUBLE ELSE 1 END END AS f FROM p),
         k AS (SELECT *, CASE WHEN f <= 1 THEN f * 100 ELSE f END AS q FROM c),
-        s AS (SELECT doc_id, text, n, CASE WHEN contains(text, '%%%') THEN 0 WHEN f IS NULL AND n = 0 THEN 0 WHEN f IS NULL AND n < 150 THEN 70 WHEN f IS NULL THEN 95 WHEN q >= 85 THEN 80 WHEN q >= 60 THEN 70 ELSE 50 END AS s FROM k),
+        s AS (SELECT doc_id, text, n, CASE WHEN NOT regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') THEN 0 WHEN contains(text, '%%%') THEN 0 WHEN idx % 3 = 1 THEN CASE WHEN q IS NULL OR q >= 90 THEN 80 WHEN q >= 75 THEN 70 ELSE 50 END WHEN n < 150 THEN 70 ELSE 95 END AS s FROM k),
         y AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (s = 0) AS missing, avg(s) AS mean, count(*) - count(DISTINCT text) >= 3 AS rep, sum(n) > 20000 AS bloat FROM s GROUP BY 1),
-        z AS (SELECT doc_id, missing, greatest(0, least(100, mean - CASE WHEN missing > 0 THEN least(40, 10 + 45 * sqrt(missing / pages)) ELSE 0 END - CASE WHEN rep THEN 8 ELSE 0 END - CASE WHEN bloat THEN 8 ELSE 0 END - CASE WHEN pages > 8 THEN 6 ELSE 0 END)) AS v FROM y),
+        z AS (SELECT doc_id, missing, greatest(0, least(100, mean - CASE WHEN missing > 0 THEN least(40, 10 + round(45 * sqrt(missing / pages))) ELSE 0 END - CASE WHEN rep THEN 8 ELSE 0 END - CASE WHEN bloat THEN 8 ELSE 0 END - CASE WHEN pages > 8 THEN 6 ELSE 0 END)) AS v FROM y),
         f AS (SELECT doc_id, round(CASE WHEN missing > 2 THEN least(v, 84) ELSE v END)::DOUBLE AS score FROM z)
         SELECT doc_id, score, CASE WHEN score >= 85 THEN 'HIGH' WHEN score >= 70 THEN 'OK' WHEN score >= 50 THEN 'RISKY' ELSE 'POOR' END AS band FROM f""",
     "head_and_tail": f"WITH {_PASSAGES} SELECT doc_id, idx::INTEGER AS idx FROM (SELECT doc_id, idx, count(*) OVER (PARTITION BY doc_id) AS n FROM p) WHERE idx < 3 OR idx >= n - 5",
@@ -349,7 +350,7 @@ ORACLE = {
         SELECT doc_id, idx::INTEGER AS idx, hits, used FROM w WHERE rn <= 12 AND used <= 6000""",
     "kind_lookup": "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'motion' WHEN '2-HIGH' THEN 'response' WHEN '3-MEDIUM' THEN 'order' ELSE 'other' END AS kind, count(*) AS n FROM orders GROUP BY 1",
     "distinct_tags": "SELECT tag, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS tag FROM events) GROUP BY 1",
-    "answer_target": """WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z]')) AS w FROM part WHERE p_partkey <= 300), k AS (SELECT DISTINCT p_type AS t, list_distinct(regexp_extract_all(lower(p_type), '[a-z]')) AS v FROM part),
+    "answer_target": """WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part), k AS (SELECT DISTINCT p_type AS t, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS v FROM part),
         o AS (SELECT p_partkey, t, len(list_intersect(w, v)) / len(w) AS o FROM p, k), r AS (SELECT *, row_number() OVER x AS rn, lead(o) OVER x AS nxt FROM o WINDOW x AS (PARTITION BY p_partkey ORDER BY o DESC, t DESC))
         SELECT p_partkey, CASE WHEN o >= 0.5 AND o - coalesce(nxt, 0) >= 0.2 THEN t END AS target FROM r WHERE rn = 1""",
 }

@@ -96,7 +96,7 @@ def hydrate(spark: SparkSession, d: str) -> DataFrame:
 def _ranges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1990-01-01"))).cast("long").alias("day"))
     end = F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("long")).otherwise(F.col("day") + F.col("o_orderkey") % 400)
-    return o, o.where("o_orderkey % 3 = 0").select("o_custkey", F.col("o_orderkey").alias("range_id"), F.col("day").alias("start"), end.alias("end"))
+    return o, o.select("o_custkey", F.col("o_orderkey").alias("range_id"), F.col("day").alias("start"), end.alias("end"))
 
 
 def range_join_narrowest(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +107,9 @@ def range_join_narrowest(spark: SparkSession, d: str) -> DataFrame:
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     _, ranges = _ranges(spark, d)
     r = ranges.where(F.col("end").isNotNull())
-    left = r.where("range_id % 2 = 0").select("o_custkey", F.col("range_id").alias("l_id"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    right = r.where("range_id % 2 = 1").select("o_custkey", F.col("range_id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return j.overlapping(left, right, ["o_custkey"], 100).select("l_id", "r_id")
+    left = r.select("o_custkey", F.col("range_id").alias("l_id"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
+    right = r.select("o_custkey", F.col("range_id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    return j.overlapping(left, right, ["o_custkey"], 100).where("l_id < r_id").select("l_id", "r_id")
 
 
 def folder_survey(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,7 @@ def nocase_order(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, link_suggestion, set_operations, path_values, nocase_order)}
 
 _TOK = "' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' '"
-_RANGES = "o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders), r AS (SELECT o_custkey, o_orderkey AS range_id, day AS start, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE day + o_orderkey % 400 END AS stop FROM o WHERE o_orderkey % 3 = 0)"
+_RANGES = "o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders), r AS (SELECT o_custkey, o_orderkey AS range_id, day AS start, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE day + o_orderkey % 400 END AS stop FROM o)"
 
 ORACLE = {
     "bool_filter_scan": f"SELECT doc_id, lang, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en' AND contains({_TOK}, ' the ') AND NOT contains({_TOK}, ' license ') ORDER BY n_chars DESC, doc_id LIMIT 20",
@@ -213,8 +213,8 @@ ORACLE = {
     "null_keeping_inequality": "SELECT lang, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1 GROUP BY 1",
     "polymorphic_roles": "WITH r AS (SELECT l_suppkey AS person, 'supplier' AS role, l_orderkey AS scope FROM lineitem UNION SELECT o_custkey, 'customer', o_orderkey FROM orders) SELECT person, count(*) AS roles, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds FROM r GROUP BY person",
     "hydrate": "SELECT l_orderkey, l_linenumber, o_orderstatus, c_name, n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity >= 50",
-    "range_join_narrowest": f"WITH {_RANGES} SELECT o_orderkey, (SELECT range_id FROM r WHERE r.o_custkey = o.o_custkey AND start <= day AND (stop IS NULL OR day <= stop) ORDER BY stop IS NULL, coalesce(stop - start, -start), range_id LIMIT 1) AS range_id FROM o",
-    "interval_overlap": f"WITH {_RANGES} SELECT a.range_id AS l_id, b.range_id AS r_id FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.range_id % 2 = 0 AND b.range_id % 2 = 1 AND a.start <= b.stop AND b.start <= a.stop",
+    "range_join_narrowest": f"WITH {_RANGES} SELECT o_orderkey, (SELECT range_id FROM r WHERE r.o_custkey = o.o_custkey AND start <= day AND (stop IS NULL OR day <= stop) ORDER BY stop IS NULL, coalesce(stop - start, 0), range_id LIMIT 1) AS range_id FROM o",
+    "interval_overlap": f"WITH {_RANGES} SELECT a.range_id AS l_id, b.range_id AS r_id FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.range_id < b.range_id AND a.start <= b.stop AND b.start <= a.stop",
     "folder_survey": """WITH d AS (SELECT doc_id, source || '/' || doc_id AS path, md5(text) AS hash FROM documents), f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN path || '.moved' ELSE path END AS path, hash FROM d WHERE doc_id % 10 <> 3),
         k AS (SELECT path, hash, doc_id AS id FROM d WHERE doc_id % 4 <> 1), i AS (SELECT path, hash FROM d WHERE doc_id % 11 = 5),
         m AS (SELECT f.path, f.hash, (SELECT min(id) FROM k WHERE k.path = f.path) AS p, (SELECT min(id) FROM k WHERE k.hash = f.hash) AS h, f.path IN (SELECT path FROM i) OR f.hash IN (SELECT hash FROM i) AS g FROM f)

@@ -80,7 +80,7 @@ def diversity_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diversity_cap_adaptive(spark: SparkSession, d: str) -> DataFrame:
-    m = r.merge_hits(_hits(spark, d)).where("page = 0").withColumn("score", F.round("score", 6)).withColumn("k", F.md5(F.col("text").cast("binary")))
+    m = r.merge_hits(_hits(spark, d)).withColumn("score", F.round("score", 6)).withColumn("k", F.md5(F.col("text").cast("binary")))
     return r.diversify(m, 60, [F.desc("score"), F.col("doc_id"), F.col("page"), F.col("k")]).select("doc_id", "page", "score", F.col("k").alias("text_md5"))
 
 
@@ -156,7 +156,7 @@ ORACLE = {
     "like_fallback": f"WITH {_PASSAGES} SELECT id, 0.0::DOUBLE AS score FROM p WHERE contains(lower(text), 'licensed under')",
     "multi_query_dedup": f"WITH {_MERGED_SQL} SELECT doc_id, page, md5(text) AS text_md5, round(score, 6) AS score, array_to_string(sub_queries, ',') AS sub_queries FROM m",
     "diversity_cap": f"WITH {_MERGED_SQL}, n AS (SELECT doc_id, page, round(score, 6) AS score, md5(text) AS text_md5, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, md5(text)) AS nth FROM m) SELECT * FROM n ORDER BY nth > 3, score DESC, doc_id, page, text_md5 LIMIT 60",
-    "diversity_cap_adaptive": f"WITH {_MERGED_SQL}, n AS (SELECT doc_id, page, round(score, 6) AS score, md5(text) AS text_md5, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, md5(text)) AS nth FROM m WHERE page = 0), c AS (SELECT greatest(2, ceil(72.0 / greatest(1, count(DISTINCT doc_id)))) AS cap FROM n) SELECT doc_id, page, score, text_md5 FROM n, c ORDER BY nth > cap, score DESC, doc_id, page, text_md5 LIMIT 60",
+    "diversity_cap_adaptive": f"WITH {_MERGED_SQL}, n AS (SELECT doc_id, page, round(score, 6) AS score, md5(text) AS text_md5, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, md5(text)) AS nth FROM m), c AS (SELECT greatest(2, ceil(72.0 / greatest(1, count(DISTINCT doc_id)))) AS cap FROM n) SELECT doc_id, page, score, text_md5 FROM n, c ORDER BY nth > cap, score DESC, doc_id, page, text_md5 LIMIT 60",
     "entity_boost": f"WITH {_PASSAGES} SELECT id, round(len({_TOK})::DOUBLE * CASE WHEN contains(lower(text), 'license') AND contains(lower(text), 'version') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(text, '(?i)transcript|the') THEN 1.35::DOUBLE ELSE 1 END * CASE WHEN source IN ('src1', 'src2') THEN 1.2::DOUBLE ELSE 1 END * CASE WHEN contains(text, ' | ') THEN 2.0::DOUBLE ELSE 1 END, 6) AS score FROM p",
     "pattern_backstop": f"WITH {_PASSAGES} SELECT id, 0.65::DOUBLE AS score FROM p WHERE regexp_matches(text, '(?i)\\blicense\\b|\\bsoftware\\b')",
     "secondary_anti_dup": f"WITH {_PASSAGES}, f AS (SELECT id FROM p WHERE contains(text, 'License')) SELECT id, 'main' AS arm FROM f UNION ALL SELECT id, 'page' FROM p WHERE idx = 1 AND id NOT IN (SELECT id FROM f)",
