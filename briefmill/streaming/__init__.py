@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streams of files, status rows and events, as Structured Streaming plans."""
