@@ -87,7 +87,6 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda pairs: pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(_near("u", "v", percent)).select("a", "b"),
         lambda some: sets.join(broadcast_if_small(some.select("id")), "id", "left_semi").select("id", shingles(F.col("x.line")).alias("items")),
         percent,
-        rounds=1,
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")
