@@ -68,21 +68,22 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None) -> DataFrame:
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 4, few: int = FEW, known: DataFrame | None = None) -> DataFrame:
     """A settled table (id, component) of all ids that have a link; ``buckets`` is a settled table (key, id).
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``items`` takes a table (id) and
     returns (id, items) with the sets of its ids. ``known`` are links (a, b) that need no confirmation. Pivots meet
-    first in the buckets, then in the finer keys of those that still hold several components; there, at last, all pairs
-    across components are decided.
+    first in the buckets, then in the finer keys of those that still hold several components, for up to ``rounds``
+    rounds each; there, at last, all pairs across components are decided.
     """
     edges: list[DataFrame] = []
     found: DataFrame | None = None
 
     def add(new: DataFrame) -> None:
+        """Take in ``new``, a settled table of links, which is deleted in the end."""
         nonlocal found
-        new = settle(new)
         if new.isEmpty() and found is not None:
+            discard(new)
             return
         edges.append(new)
         before, every = found, edges[0]
@@ -103,21 +104,28 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
         met = left.join(right, (left["key"] == right["key"]) & more)
         return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
-    def meet_pivots(rows: DataFrame, fits: Column, times: int) -> None:
-        for n in range(times):
+    def meet_pivots(rows: DataFrame, fits: Column, least: int) -> None:
+        """Rounds of pivots, ``least`` of them and more while a tenth of their pairs are links."""
+        for n in range(max(least, rounds)):
             told = labelled(rows)
             every = F.struct(*[c for c in told.columns if c != "key"])
             pivots = told.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
-            add(confirm(pairs(told, pivots, (F.col("c") != F.col("_c")) & fits)))
+            met = settle(pairs(told, pivots, (F.col("c") != F.col("_c")) & fits))
+            links = settle(confirm(met))
+            tried, good = met.count(), links.count()
+            discard(met)
+            add(links)
+            if n + 1 >= least and good * 10 < tried or not tried:
+                break
 
     if known is not None:
-        add(known)
-    meet_pivots(buckets, F.lit(True), rounds)
+        add(settle(known))
+    meet_pivots(buckets, F.lit(True), 2)
     finer = settle(finer_keys(labelled(buckets), items, percent, few))
     fits = _may_be_near(percent)
-    meet_pivots(finer, fits, rounds)
+    meet_pivots(finer, fits, 1)
     last = labelled(finer)
-    add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits)))
+    add(settle(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits))))
     discard(finer, *edges)
     return found
 
