@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.scratch import settle
+from briefmill.llm.scratch import broadcast_if_small, settle
 
 #: weight of the contents against the presentation in a path's importance, and what counts as low
 CONTENT_WEIGHT, LOW = 0.9, 0.3
@@ -225,7 +225,11 @@ def path_importance(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     """
     rows = pages.select(F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     # copies of a page on its host are one page, else the article of a page that is often repeated looks like a menu
-    one = rows.withColumns({"h1": F.xxhash64(_host("url"), "html"), "h2": F.xxhash64(F.lit(1), _host("url"), "html")}).dropDuplicates(["h1", "h2"])
+    keyed = rows.withColumns({"h1": F.xxhash64(_host("url"), "html"), "h2": F.xxhash64(F.lit(1), _host("url"), "html")})
+    copied = broadcast_if_small(settle(keyed.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")))
+    # only pages that have copies are shuffled
+    once = keyed.join(copied, ["h1", "h2"], "left_anti")
+    one = once.unionByName(keyed.join(copied, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
     seen = one.select("url", "html").mapInArrow(_observe, _SEEN)
     each = seen.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k"))
     m = F.max(F.when(F.col("kind") == 0, F.col("k")))
