@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from briefmill.operators import links
 from briefmill.operators import relations as j
 from briefmill.operators import scan as x
 from briefmill.operators.retrieval import passages, phrase
@@ -165,16 +166,31 @@ def similar_people(spark: SparkSession, d: str) -> DataFrame:
     return j.similar_names(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat("s_nationkey", F.lit("@"), F.floor("s_acctbal").cast("string")).alias("email"))).withColumn("score", F.round("score", 6))
 
 
+def _order_records(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("scope"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("kind"), "o_orderpriority", "o_orderstatus")
+
+
+def _slot_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("P", "answers", "O"), ("P", "answers", "F"), ("O", "amends", "O"), ("F", "resolves", "O"), ("F", "resolves", "P")], "kind string, slot string, target_kind string")
+
+
 def link_suggestion(spark: SparkSession, d: str) -> DataFrame:
     """Each order's best earlier order of its customer, by gap and equal attributes; unsure if the margin is below .75."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_orderstatus")
-    c = o.select("o_custkey", F.col("o_orderkey").alias("target"), F.col("day").alias("t_day"), F.col("o_orderpriority").alias("tp"), F.col("o_orderstatus").alias("ts"))
-    pairs = o.join(c, "o_custkey").where("target <> o_orderkey and t_day <= day")
-    shared = (F.col("tp") == F.col("o_orderpriority")).cast("int") + (F.col("ts") == F.col("o_orderstatus")).cast("int")
-    s = pairs.withColumn("score", F.round(1 + 1 / (1 + F.datediff("day", "t_day") / 30) + 0.6 * F.least(shared, F.lit(3)), 6))
-    w = Window.partitionBy("o_orderkey").orderBy(F.desc("score"), "target")
-    best = s.withColumns({"rn": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rn = 1")
-    return best.select("o_orderkey", F.when(F.coalesce(F.col("score") - F.col("next"), F.lit(9.0)) >= 0.75, F.col("target")).alias("target"), "score")
+    got = links.suggest(_order_records(spark, d), ["o_orderpriority", "o_orderstatus"])
+    return got.select(F.col("key").alias("o_orderkey"), "target", "score")
+
+
+def slot_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    """The same by slot: which kinds of order a slot may point at is a table of rules; a tenth of the orders is undated."""
+    rows = _order_records(spark, d).withColumn("day", F.when(F.col("key") % 10 != 0, F.col("day")))
+    return links.suggest(rows, ["o_orderpriority"], _slot_rules(spark)).select(F.col("key").alias("o_orderkey"), "slot", "target", "score")
+
+
+def slot_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    rules = _slot_rules(spark)
+    slots = rules.select("kind", "slot").unionByName(spark.createDataFrame([("F", "replaces")], "kind string, slot string")).distinct()
+    return links.verdicts(_order_records(spark, d), rules, slots).select(F.col("key").alias("o_orderkey"), "slot", "allowed", "refused")
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
@@ -192,11 +208,13 @@ def nocase_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.lower("p_name"), "p_partkey").limit(30)
 
 
-QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, link_suggestion, set_operations, path_values, nocase_order)}
+QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, link_suggestion, slot_suggestion, slot_verdicts, set_operations, path_values, nocase_order)}
 
 _TOK = "' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' '"
 _RANGES = "o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders), r AS (SELECT o_custkey, o_orderkey AS range_id, day AS start, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE day + o_orderkey % 400 END AS stop FROM o)"
 
+_SLOTS = "rules AS (SELECT * FROM (VALUES ('P', 'answers', 'O'), ('P', 'answers', 'F'), ('O', 'amends', 'O'), ('F', 'resolves', 'O'), ('F', 'resolves', 'P')) t(kind, slot, target_kind))"
+
 ORACLE = {
     "bool_filter_scan": f"SELECT doc_id, lang, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en' AND contains({_TOK}, ' the ') AND NOT contains({_TOK}, ' license ') ORDER BY n_chars DESC, doc_id LIMIT 20",
     "in_collapse_or": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_orderpriority = '1-URGENT'",
@@ -230,6 +248,15 @@ ORACLE = {
     "similar_people": """WITH p AS (SELECT s_suppkey AS id, lower(trim(s_name)) AS name, s_nationkey || '@' || floor(s_acctbal)::BIGINT AS email FROM supplier), q AS (SELECT id, name, email, list_distinct(regexp_split_to_array(name, '\\s+')) AS t FROM p),
         s AS (SELECT a.id, b.id AS other, greatest(CASE WHEN a.email = b.email THEN 0.95 END, CASE WHEN levenshtein(a.name, b.name) <= 2 THEN 0.9 - levenshtein(a.name, b.name) * 0.1 END, CASE WHEN len(list_intersect(a.t, b.t)) * 100.0 / len(list_distinct(a.t || b.t)) >= 50 THEN 0.8 * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END)::DOUBLE AS score FROM q a JOIN q b ON a.id <> b.id)
         SELECT id, other, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INTEGER AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 3""",
+    "slot_suggestion": f"""WITH {_SLOTS}, r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS kind, o_orderpriority AS p, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::DATE END AS day FROM orders),
+        s AS (SELECT a.k, u.slot, b.k AS target, round(1 + coalesce(1 / (1 + date_diff('day', b.day, a.day) / 30.0::DOUBLE), 0) + 0.6::DOUBLE * (a.p = b.p)::INTEGER, 6) AS score
+              FROM r a JOIN rules u ON u.kind = a.kind JOIN r b ON b.c = a.c AND b.k <> a.k AND b.kind = u.target_kind AND coalesce(b.day <= a.day, true)),
+        w AS (SELECT *, row_number() OVER (PARTITION BY k, slot ORDER BY score DESC, target) AS rn, lead(score) OVER (PARTITION BY k, slot ORDER BY score DESC, target) AS next FROM s)
+        SELECT k AS o_orderkey, slot, CASE WHEN coalesce(score - next, 9) >= 0.75 THEN target END AS target, score FROM w WHERE rn = 1""",
+    "slot_verdicts": f"""WITH {_SLOTS}, s AS (SELECT DISTINCT kind, slot FROM rules UNION SELECT 'F', 'replaces')
+        SELECT a.o_orderkey, s.slot, count(*) FILTER (b.o_orderkey <> a.o_orderkey AND EXISTS (SELECT 1 FROM rules u WHERE u.kind = s.kind AND u.slot = s.slot AND u.target_kind = b.o_orderstatus)) AS allowed,
+               count(*) FILTER (b.o_orderkey <> a.o_orderkey AND NOT EXISTS (SELECT 1 FROM rules u WHERE u.kind = s.kind AND u.slot = s.slot AND u.target_kind = b.o_orderstatus)) AS refused
+        FROM orders a JOIN s ON s.kind = a.o_orderstatus JOIN orders b ON b.o_custkey = a.o_custkey GROUP BY ALL""",
     "link_suggestion": """WITH s AS (SELECT a.o_orderkey, b.o_orderkey AS target, round(1 + 1 / (1 + date_diff('day', b.o_orderdate::DATE, a.o_orderdate::DATE) / 30.0::DOUBLE) + 0.6::DOUBLE * least(3, (a.o_orderpriority = b.o_orderpriority)::INTEGER + (a.o_orderstatus = b.o_orderstatus)::INTEGER), 6) AS score
         FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND b.o_orderdate::DATE <= a.o_orderdate::DATE),
         w AS (SELECT *, row_number() OVER v AS rn, lead(score) OVER v AS nxt FROM s WINDOW v AS (PARTITION BY o_orderkey ORDER BY score DESC, target))
