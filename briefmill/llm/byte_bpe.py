@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from briefmill.llm.textvec import mix, run_hashes, spread
 #: code points split at a time
 WINDOW = 1 << 18
 #: code points of documents whose distinct pre-tokens are looked up together
-SLICE = 1 << 20
+SLICE = 1 << 22
 #: ids decoded at a time
 DECODE = 1 << 18
 #: merged pre-tokens kept between slices
@@ -98,36 +99,70 @@ class Vocabulary:
         key = [keys[i] for i in at.at]
         return at, key, np.array([self.place.get(k, -1) for k in key], np.int64)
 
-    def whole(self, pieces: list[bytes]) -> list[int]:
+    def whole(self, pieces: list[bytes]) -> np.ndarray:
         """The rank of each piece that is a token as it stands, else -1."""
         at, key, rank = self.table
         slots = at.slots(hashes_of(pieces))
-        return [r if key[s] == p else -1 for s, p, r in zip(slots.tolist(), pieces, rank[slots].tolist())]
+        same = np.fromiter(map(bytes.__eq__, map(key.__getitem__, slots.tolist()), pieces), bool, len(pieces))
+        return np.where(same, rank[slots], -1)
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The piece's bytes, merged pair by pair: the lowest rank first, of equal ones the leftmost."""
-        rank, n = self.place.get, len(piece)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    @functools.cached_property
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte's rank, and the rank of each two bytes; -1 where they are no token."""
+        one = np.array([self.place.get(bytes([b]), -1) for b in range(256)], np.int64)
+        two = np.full(1 << 16, -1, np.int64)
+        for key, r in self.place.items():
+            if len(key) == 2:
+                two[key[0] << 8 | key[1]] = r
+        return one, two
+
+    def merged(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Each piece's bytes, merged pair by pair: the lowest rank first, of equal ones the leftmost."""
+        one, two = self.singles
+        rows = np.frombuffer(b"".join(pieces) + b"\0", np.uint8).astype(np.int64)
+        ids, first = one[rows[:-1]].tolist(), two[rows[:-1] << 8 | rows[1:]].tolist()
+        at = 0
+        for piece in pieces:
+            end = at + len(piece)
+            yield self._merge(piece, ids[at:end], first[at : end - 1])
+            at = end
+
+    def _merge(self, piece: bytes, ids: list[int], rank: list[int]) -> list[int]:
+        """``rank`` has the rank of each place's pair. The heap holds ranks and left places as one number; an entry
+        counts if its place still has a pair of that rank."""
+        n, get, pop, push = len(piece), self.place.get, heapq.heappop, heapq.heappush
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(rank) if r >= 0]
+        live = len(heap)  # places with a pair
+        if not live:
+            return ids
         heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i] if end[i] else n
-            if j >= n or end[j] != stop:  # one of the two has been merged with another since
+        rank.append(-1)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        while live:
+            top = pop(heap)
+            i, r = top & low, top >> bits
+            if rank[i] != r:
                 continue
-            end[i], end[j] = stop, 0
+            j = after[i]
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
-            if (h := before[i]) >= 0 and (r := rank(piece[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(self.place[piece[i : end[i]]])
-            i = after[i]
-        return out
+            live -= 1 if rank[j] < 0 else 2
+            ids[i], ids[j], rank[j] = r, -1, -1
+            before[k] = i
+            q = rank[i] = get(piece[i : after[k]], -1) if k < n else -1
+            if q >= 0:
+                live += 1
+                push(heap, q << bits | i)
+            h = before[i]
+            if h >= 0:
+                if rank[h] >= 0:
+                    live -= 1
+                q = rank[h] = get(piece[h:k], -1)
+                if q >= 0:
+                    live += 1
+                    push(heap, q << bits | h)
+        return [x for x in ids if x >= 0]
 
 
 @functools.lru_cache(4)
@@ -158,6 +193,14 @@ def pre_tokens(text: str, pattern, window: int = WINDOW) -> Iterator[list[str]]:
             yield found
 
 
+class _Numbers(dict):
+    """Numbers its keys as they first come."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary, pattern: str) -> None:
         import regex
@@ -166,33 +209,37 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin (with one entry more at the end)."""
-        place: dict[str, int] = {}
-        parts, sizes = [], []
+        number = _Numbers()
+        parts, sizes = [np.zeros(0, np.int32)], [0]
         for text in texts:
             n = 0
             for found in pre_tokens(text, self.pattern):
-                parts.append(np.fromiter((place.setdefault(p, len(place)) for p in found), np.int32, len(found)))
+                parts.append(np.array(list(map(number.__getitem__, found)), np.int32))
                 n += len(found)
             sizes.append(n)
-        pieces = [p.encode("utf-8", "replace") for p in place]
-        ids = [[r] if r >= 0 else self.split(p) for p, r in zip(pieces, self.vocab.whole(pieces))] if pieces else []
-        starts = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum([len(x) for x in ids], out=starts[1:])
-        flat = np.fromiter((x for y in ids for x in y), np.int32, int(starts[-1]))
-        used = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        out = flat[spread(starts[used], starts[used + 1])]
-        tokens = np.r_[0, np.cumsum(starts[used + 1] - starts[used])]
-        return out, tokens[np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int64)]
-
-    def split(self, piece: bytes) -> list[int]:
-        got = self.known.get(piece)
-        if got is None:
-            if len(self.known) >= MERGED:
-                self.known.clear()
-            got = self.vocab.merged(piece)
-            if len(piece) <= 64:
-                self.known[piece] = got
-        return got
+        pieces = [p.encode("utf-8", "replace") for p in number]
+        ranks = self.vocab.whole(pieces)
+        others = np.flatnonzero(ranks < 0)
+        made = self.split([pieces[i] for i in others.tolist()])
+        length = np.ones(len(pieces), np.int64)
+        length[others] = list(map(len, made))
+        starts = np.r_[0, np.cumsum(length)].astype(np.int64)
+        flat = np.empty(int(starts[-1]), np.int32)
+        flat[starts[:-1]] = ranks
+        flat[spread(starts[others], starts[others + 1])] = list(itertools.chain.from_iterable(made))
+        used = np.concatenate(parts)
+        tokens = np.r_[0, np.cumsum(length[used])].astype(np.int64)
+        return flat[spread(starts[used], starts[used + 1])], tokens[np.cumsum(sizes)]
+
+    def split(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces that are no token, from those kept of earlier slices where they are."""
+        new = [p for p in pieces if p not in self.known]
+        made = dict(zip(new, self.vocab.merged(new)))
+        out = [made[p] if p in made else self.known[p] for p in pieces]
+        if len(self.known) + len(made) > MERGED:
+            self.known = {}
+        self.known.update((p, x) for p, x in made.items() if len(p) <= 64)
+        return out
 
 
 def _path(ranks: str) -> str:
