@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,8 @@ WINDOW = 1 << 18
 SLICE = 1 << 22
 #: ids decoded at a time
 DECODE = 1 << 18
-#: merged pre-tokens kept between slices
-MERGED = 200_000
+#: merged pre-tokens in each of the two generations kept between slices, about 50 MB in a worker
+MERGED = 250_000
 
 
 class PerfectHash:
@@ -205,7 +205,9 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, pattern: str) -> None:
         import regex
 
-        self.vocab, self.pattern, self.known = vocab, regex.compile(pattern), {}
+        self.vocab, self.pattern = vocab, regex.compile(pattern)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin (with one entry more at the end)."""
@@ -222,23 +224,24 @@ class Encoder:
         others = np.flatnonzero(ranks < 0)
         made = self.split([pieces[i] for i in others.tolist()])
         length = np.ones(len(pieces), np.int64)
-        length[others] = list(map(len, made))
+        length[others] = np.fromiter(map(len, made), np.int64, len(made)) // 4
         starts = np.r_[0, np.cumsum(length)].astype(np.int64)
         flat = np.empty(int(starts[-1]), np.int32)
         flat[starts[:-1]] = ranks
-        flat[spread(starts[others], starts[others + 1])] = list(itertools.chain.from_iterable(made))
+        flat[spread(starts[others], starts[others + 1])] = np.frombuffer(b"".join(made), np.int32)
         used = np.concatenate(parts)
         tokens = np.r_[0, np.cumsum(length[used])].astype(np.int64)
         return flat[spread(starts[used], starts[used + 1])], tokens[np.cumsum(sizes)]
 
-    def split(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of pieces that are no token, from those kept of earlier slices where they are."""
-        new = [p for p in pieces if p not in self.known]
-        made = dict(zip(new, self.vocab.merged(new)))
-        out = [made[p] if p in made else self.known[p] for p in pieces]
-        if len(self.known) + len(made) > MERGED:
-            self.known = {}
-        self.known.update((p, x) for p, x in made.items() if len(p) <= 64)
+    def split(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are no token, four bytes an id. The pieces of the last slices are kept: a full
+        generation becomes the old one, and what is used of that comes into the young one again."""
+        found = [self.young.get(p) or self.old.get(p) for p in pieces]
+        new = self.vocab.merged([p for p, ids in zip(pieces, found) if ids is None])
+        out = [array("i", next(new)).tobytes() if ids is None else ids for ids in found]
+        self.young.update((p, ids) for p, ids in zip(pieces, out) if len(p) <= 64)
+        if len(self.young) > MERGED:
+            self.young, self.old = {}, self.young
         return out
 
 

@@ -89,3 +89,11 @@ def test_query(spark, library):
         ids = library.encode_ordinary(r["text"] or "")
         want[r["doc_id"]] = (r["doc_id"], len(ids), sha(",".join(map(str, ids)).encode()), sha((r["text"] or "").encode()))
     assert {r["doc_id"]: tuple(r) for r in QUERIES["op13_byte_bpe"](spark, SF).collect()} == want
+
+
+def test_small_generations_give_the_same(library, monkeypatch):
+    monkeypatch.setattr(bb, "MERGED", 3)
+    encoder, rng = bb.Encoder(bb.vocabulary(PATH), public_tokenizers.PATTERN), random.Random(5)
+    for _ in range(30):
+        text = " ".join("".join(rng.choices("aeklmz", k=9)) for _ in range(4)) + " repeatedqz wordqz" + "k" * 70
+        assert encoder.encode([text])[0].tolist() == library.encode_ordinary(text)
