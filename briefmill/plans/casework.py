@@ -128,19 +128,13 @@ def citation_counts(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("cited").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-def timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Dates that texts name, with their documents, in their order."""
-    each = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d\d-[01]\d-[0-3]\d)\b"), F.lit(1))).alias("day"))
-    return each.withColumn("day", F.expr("try_cast(day AS date)")).where("day is not null").groupBy("day").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy("day")
-
-
 def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     """E-mail domains that texts name, by document."""
     each = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._]+@([A-Za-z0-9.]+[A-Za-z0-9])"), F.lit(1))).alias("domain"))
     return each.groupBy("doc_id", F.lower("domain").alias("domain")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, timeline, entity_mentions)}
+QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, entity_mentions)}
 
 ORACLE = {
     "document_scan": f"WITH {_PASSAGES} SELECT doc_id, idx::INTEGER AS idx, md5(text) AS text_md5 FROM p WHERE doc_id = 7 ORDER BY idx LIMIT 60",
@@ -160,6 +154,5 @@ ORACLE = {
     "rerank_pool": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 72",
     "both_stores": "SELECT 'case' AS origin, doc_id::VARCHAR AS id, length(text)::INTEGER AS n FROM documents UNION ALL SELECT 'chat', conv_id || ':' || turn, length(text)::INTEGER FROM conversations",
     "citation_counts": "WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, 'under the ([A-Za-z]+)', 1)) AS cited FROM documents) SELECT cited, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e GROUP BY 1",
-    "timeline": "WITH e AS (SELECT doc_id, try_cast(unnest(regexp_extract_all(text, '\\b((?:19|20)\\d\\d-[01]\\d-[0-3]\\d)\\b', 1)) AS DATE) AS day FROM documents) SELECT day, count(*) AS n, min(doc_id) AS first_doc FROM e WHERE day IS NOT NULL GROUP BY 1 ORDER BY 1",
     "entity_mentions": "WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@([A-Za-z0-9.]+[A-Za-z0-9])', 1)) AS domain FROM documents) SELECT doc_id, lower(domain) AS domain, count(*) AS n FROM e GROUP BY ALL",
 }

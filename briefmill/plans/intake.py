@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from briefmill.operators import dates, filings, tables
 from briefmill.operators import ocr_gate as gate
 from briefmill.sources.tables import table
 
@@ -15,7 +16,74 @@ def ocr_gate(spark: SparkSession, d: str) -> DataFrame:
     return gate.assess(docs, gate.common_words(docs, 20)).withColumn("reasons", F.array_join("reasons", "+"))
 
 
-QUERIES = {f.__name__: f for f in (ocr_gate,)}
+def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of the documents' tables, each as the rectangle it spans."""
+    got = tables.cells(table(spark, d, "documents"))
+    return got.select("doc_id", "table_no", "row_no", "col_no", F.md5(F.col("cell").cast("binary")).alias("cell_md5"))
+
+
+def _order_html(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's lines as an HTML table: a heading over two rows, and the flag over the rows of lines that share it."""
+    lines = table(spark, d, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
+    flag = Window.partitionBy("l_orderkey", "l_returnflag")
+    lines = lines.withColumns({"tall": F.count("*").over(flag), "first": F.col("rn") == F.min("rn").over(flag)})
+    own = F.when(F.col("first"), F.concat(F.lit('<td rowspan="'), F.col("tall"), F.lit('">'), "l_returnflag")).otherwise("")
+    row = F.concat(F.lit("<tr>"), own, F.lit("<td>"), "l_partkey", F.lit("<td>"), F.col("l_linenumber"), F.lit("</tr>"))
+    head = "<p>Lines &amp; parts</p><table><tr><th rowspan=2>Flag<th colspan=2>Of this order</tr><tr><th>Part<th>Line</tr>"
+    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    return rows.select("l_orderkey", F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))
+
+
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of each order's table, read back from its HTML."""
+    return tables.cells(_order_html(spark, d), "l_orderkey", "html").select("l_orderkey", "row_no", "col_no", "cell", "header", "own")
+
+
+def _order_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's story, with dates written in five ways."""
+    day = F.to_date("o_orderdate")
+    text = F.concat(
+        F.lit("Filed "), F.date_format(day, "yyyy-MM-dd"), F.lit(", served on "), F.date_format(F.date_add(day, 20), "MMMM d, yyyy"),
+        F.lit(" and answered between "), F.date_format(F.date_add(day, 30), "M/d/yyyy"), F.lit(" and "), F.date_format(F.date_add(day, 40), "MMM d yyyy"),
+        F.lit(". Heard since "), F.date_format(F.date_add(day, 50), "M/d/yy"), F.lit(". Order no. "), F.col("o_orderkey").cast("string"), F.lit(" of 31/31/1999 was read last week."),
+    )
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+def date_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return dates.mentions(_order_texts(spark, d), "1998-03-11", "o_orderkey").select("o_orderkey", "start", "stop", "rule", "first_day", "last_day")
+
+
+def timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Days that texts name, with how many texts name them and the first of these; ranges that are open do not count."""
+    found = dates.mentions(_order_texts(spark, d).withColumnRenamed("o_orderkey", "doc_id"), "1998-03-11").where("rule not in ('after', 'before')")
+    return found.groupBy(F.col("first_day").alias("day")).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_NAMES = ["{} to Strike", "Supplemental {} in Support of Petition for Bill of Review", "2nd Amended {}", "{}", "Petitioner {} V2"]
+_KINDS = ["MOTION", "Affidavit", "Order", "BRIEF", "Notice", "Reply", "Subpoena"]
+
+
+def _filings(spark: SparkSession, d: str) -> DataFrame:
+    """A file name, a folder and a header for each order: the kinds by key, number prefixes for all, some without a kind."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    kind, other = (F.element_at(F.array(*map(F.lit, _KINDS)), (x % len(_KINDS) + 1).cast("int")) for x in (k, F.floor(k / 7)))
+    form = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    name = F.concat(F.lit("D-1-FM-25-"), F.lpad(k.cast("string"), 6, "0"), F.lit(" - "), F.when(k % 11 != 0, F.replace(form, F.lit("{}"), kind)).otherwise(k.cast("string")), F.lit(".pdf"))
+    header = F.when(k % 3 == 0, F.concat(F.lit("CAUSE NO. D-1-FM-25\nIN THE DISTRICT COURT OF TRAVIS COUNTY, TEXAS\n"), F.upper(other), F.lit(" OF THE PARTY")))
+    return o.select("o_orderkey", name.alias("file_name"), F.when(k % 2 == 0, F.concat(other, F.lit("s"))).alias("folder"), header.alias("header"))
+
+
+def filing_types(spark: SparkSession, d: str) -> DataFrame:
+    """Each filing's type by name, folder and header, the header's own, and the title."""
+    x = _filings(spark, d)
+    name, folder, header = F.col("file_name"), F.col("folder"), F.col("header")
+    got = x.select("o_orderkey", filings.filing_type(name, folder, header).alias("t"), filings.header_type(header).alias("h"), filings.filing_title(name, header, folder).alias("title"))
+    return got.select("o_orderkey", F.col("t.type").alias("type"), F.col("t.confidence").alias("confidence"), F.col("h.type").alias("header_type"), F.col("h.matched").alias("matched"), "title")
+
+
+QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types)}
 
 _TRIM = r"'^\s+|\s+$', '', 'g'"
 _WIN = "regexp_extract_all({}, '(?s).{{24}}')"
@@ -59,4 +127,64 @@ SELECT doc_id, n::INTEGER AS n_chars, reasons, CASE WHEN reasons = 'repetition-l
 FROM g JOIN d USING (r) LEFT JOIN best USING (r) WHERE g.cut IS NULL
 """
 
-ORACLE = {"ocr_gate": _OCR_GATE}
+_PIPE_TABLES = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2) AS lines FROM documents),
+r AS (SELECT doc_id, list_filter(lines, lambda x: NOT regexp_full_match(x, '\s*\|?[\s\-|:]+\|?\s*')) AS lines FROM d WHERE len(lines) >= 2),
+c AS (SELECT doc_id, list_transform(lines, lambda x: regexp_split_to_array(regexp_replace(x, '^\s*\|\s*|\s*\|\s*$', '', 'g'), '\s*\|\s*')) AS cells FROM r),
+w AS (SELECT doc_id, cells, list_max(list_transform(cells, lambda x: len(x))) AS width FROM c),
+y AS (SELECT doc_id, width, unnest(cells) AS line, generate_subscripts(cells, 1) AS y FROM w),
+x AS (SELECT doc_id, y, line, unnest(range(1, width + 1)) AS x FROM y)
+SELECT doc_id, 0 AS table_no, (y - 1)::INTEGER AS row_no, (x - 1)::INTEGER AS col_no, md5(coalesce(line[x], '')) AS cell_md5 FROM x
+"""
+
+_HTML_TABLES = """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS rn FROM lineitem),
+f AS (SELECT *, rn = min(rn) OVER (PARTITION BY l_orderkey, l_returnflag) AS first FROM l),
+o AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT l_orderkey, y AS row_no, x AS col_no, c AS cell, true AS header, own FROM o, (VALUES (0, 0, 'Flag', true), (0, 1, 'Of this order', true), (0, 2, 'Of this order', false), (1, 0, 'Flag', false), (1, 1, 'Part', true), (1, 2, 'Line', true)) h(y, x, c, own)
+UNION ALL SELECT l_orderkey, (rn + 1)::INTEGER, 0, l_returnflag, false, first FROM f
+UNION ALL SELECT l_orderkey, (rn + 1)::INTEGER, 1, l_partkey::VARCHAR, false, true FROM f
+UNION ALL SELECT l_orderkey, (rn + 1)::INTEGER, 2, l_linenumber::VARCHAR, false, true FROM f
+"""
+
+_DATES = """
+m AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders),
+p AS (SELECT o_orderkey, d, strftime(d, '%Y-%m-%d') AS a, strftime(d + 20, '%B %-d, %Y') AS b, strftime(d + 30, '%-m/%-d/%Y') || ' and ' || strftime(d + 40, '%b %-d %Y') AS c, strftime(d + 50, '%-m/%-d/%y') AS e FROM m),
+q AS (SELECT *, 6 + length(a) + 12 AS at_b, 6 + length(a) + 12 + length(b) + 14 AS at_c FROM p),
+u AS (SELECT *, at_c + 8 + length(c) + 8 AS at_e FROM q),
+v AS (SELECT *, at_e + 6 + length(e) + 12 + length(o_orderkey::VARCHAR) + 24 AS at_w FROM u),
+named AS (SELECT o_orderkey, 6 AS start, 6 + length(a) AS stop, 'iso' AS rule, d AS first_day, d AS last_day FROM v
+ UNION ALL SELECT o_orderkey, at_b, at_b + length(b), 'words', d + 20, d + 20 FROM v
+ UNION ALL SELECT o_orderkey, at_c, at_c + 8 + length(c), 'between', d + 30, d + 40 FROM v
+ UNION ALL SELECT o_orderkey, at_e, at_e + 6 + length(e), 'after', d + 50, DATE '9999-12-31' FROM v
+ UNION ALL SELECT o_orderkey, at_w, at_w + 9, 'week', DATE '1998-03-02', DATE '1998-03-08' FROM v)
+"""
+
+_LIST = lambda x: "[" + ", ".join(f"'{y}'" for y in x) + "]"
+_FILING_TYPES = f"""
+WITH x AS (SELECT o_orderkey AS k, {_LIST(_KINDS)}[(o_orderkey % 7 + 1)::INTEGER] AS kind, {_LIST(_KINDS)}[((o_orderkey // 7) % 7 + 1)::INTEGER] AS other, o_orderkey % 5 AS form FROM orders),
+y AS (SELECT *, CASE lower(kind) WHEN 'motion' THEN 'Motion' WHEN 'brief' THEN 'Brief' ELSE kind END AS own, CASE lower(other) WHEN 'motion' THEN 'Motion' WHEN 'brief' THEN 'Brief' ELSE other END AS second, k % 11 <> 0 AS named FROM x),
+z AS (SELECT *, CASE WHEN named THEN own END AS by_name, CASE WHEN k % 2 = 0 THEN second END AS by_folder, CASE WHEN k % 3 = 0 THEN second END AS by_header FROM y),
+t AS (SELECT *, coalesce(by_name, by_folder, by_header) AS type FROM z),
+a AS (SELECT *, coalesce((by_name = type)::INTEGER, 0) + coalesce((by_folder = type)::INTEGER, 0) + coalesce((by_header = type)::INTEGER, 0) AS agree, CASE WHEN by_name IS NOT NULL THEN 0.85 WHEN by_folder IS NOT NULL THEN 0.75 ELSE 0.6 END AS base,
+      CASE WHEN NOT named AND by_folder IS NOT NULL THEN other || 's'
+           WHEN NOT named AND by_header IS NOT NULL THEN second || ' of the Party'
+           WHEN NOT named AND k < 100 THEN 'D 1 Fm 25 ' || lpad(k::VARCHAR, 6, '0') || ' ' || k
+           WHEN NOT named THEN k::VARCHAR
+           WHEN form = 0 THEN kind || ' to Strike' WHEN form = 1 THEN 'Supplemental ' || kind || ' in Support of Petition for Bill of Review' WHEN form = 2 THEN '2nd Amended ' || kind WHEN form = 3 THEN own ELSE 'Petitioner ' || kind END AS name FROM t)
+SELECT k AS o_orderkey, coalesce(type, 'Other') AS type,
+       (CASE WHEN type IS NULL THEN 0.2 WHEN agree = 3 THEN least(base + 0.12, 0.99) WHEN agree = 2 THEN least(base + 0.08, 0.97) ELSE base END)::DOUBLE AS confidence,
+       CASE WHEN k % 3 = 0 AND second IN ('Affidavit', 'Brief', 'Notice', 'Subpoena') THEN second WHEN k % 3 = 0 AND second = 'Order' THEN 'Order' END AS header_type,
+       CASE WHEN k % 3 = 0 THEN CASE second WHEN 'Affidavit' THEN 'AFFIDAVIT OF' WHEN 'Brief' THEN 'BRIEF OF' WHEN 'Notice' THEN 'NOTICE OF THE' WHEN 'Subpoena' THEN 'SUBPOENA' WHEN 'Order' THEN 'ORDER' END END AS matched,
+       CASE WHEN k % 3 = 0 AND length(second || ' of the Party') > 1.5 * length(name) THEN second || ' of the Party' ELSE name END AS title
+FROM a
+"""
+
+ORACLE = {
+    "ocr_gate": _OCR_GATE,
+    "pipe_tables": _PIPE_TABLES,
+    "html_tables": _HTML_TABLES,
+    "date_mentions": f"WITH {_DATES} SELECT o_orderkey, start::INTEGER AS start, stop::INTEGER AS stop, rule, first_day, last_day FROM named",
+    "timeline": f"WITH {_DATES} SELECT first_day AS day, count(DISTINCT o_orderkey) AS n, min(o_orderkey) AS first_doc FROM named WHERE rule <> 'after' GROUP BY 1",
+    "filing_types": _FILING_TYPES,
+}
