@@ -86,6 +86,63 @@ def similar_names(people: DataFrame, percent: int = 50, top: int = 3) -> DataFra
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("id", "other", "score", "rank")
 
 
+def first_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The first range of its group's list that holds each point: ``points`` (key, scope, at) with ``label``, null without one.
+
+    ``ranges`` has scope, start, stop, place (in the list) and label; a null stop is open, a null start or scope holds
+    nothing, and of equal places the smaller label wins. Ranges may be nested and tied. Each is cut into at most two
+    cells a level of a binary tree over the places of points, of which a cell keeps its first range only; a point asks the one cell
+    of each level that holds it. So neither many ranges over one point nor one long range multiply rows.
+    """
+    span = points.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    low, high = (span["low"] or 0), (span["high"] or 0)
+    levels = max(1, (high - low + 1).bit_length())
+    a = F.greatest(F.col("start") - low, F.lit(0))
+    b = F.least(F.coalesce(F.col("stop"), F.lit(high)), F.lit(high)) - low + 1  # half open
+    cells = []
+    for n in range(levels + 1):
+        left, right = F.shiftright(a + ((1 << n) - 1), n), F.shiftright(b, n)
+        cells.append(F.when((left < right) & (left % 2 == 1), F.struct(F.lit(n).alias("level"), left.alias("cell"))))
+        cells.append(F.when((left < right) & (right % 2 == 1), F.struct(F.lit(n).alias("level"), (right - 1).alias("cell"))))
+    cut = ranges.where("scope is not null and start is not null").select("scope", "place", "label", F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    first = cut.groupBy("scope", "c.level", "c.cell").agg(F.min(F.struct("place", "label")).alias("best"))
+    asked = points.where("at is not null and scope is not null").select("key", "scope", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(F.col("at") - low, n).alias("cell")) for n in range(levels + 1)])).alias("c"))
+    found = asked.select("key", "scope", "c.level", "c.cell").join(first, ["scope", "level", "cell"]).groupBy("key").agg(F.min("best").alias("best"))
+    return points.join(found, "key", "left").select("key", F.col("best.label").alias("label"))
+
+
+def resolve(asked: DataFrame, fields: DataFrame, limit: int = 5, gap: float = 0.15) -> DataFrame:
+    """The records that a short text may mean: ``text``, ``rank``, ``kind``, ``id``, ``matched_on``, ``confidence``, ``ambiguous``.
+
+    ``fields`` has kind, id, field, value, priority and the confidences exact, prefix and substring, one row a field of
+    a record; a record counts by its best field, of equal ones by the smaller priority. ``ambiguous`` tells that the
+    second of all candidates is within ``gap`` of the first, also where ``limit`` cuts it off. Case and outer blanks do
+    not count; texts and values that are null or blank match nothing; repeated texts are answered once.
+
+    A text of three letters or more can only stand in values that hold its rarest three-letter part, so it meets these
+    and no others (parts of one or two letters for shorter texts); all its parts must occur somewhere.
+    """
+    q = asked.select("text", F.lower(F.trim("text")).alias("q")).where("q <> ''").distinct()
+    v = fields.withColumn("v", F.lower(F.trim("value"))).where("v <> ''")
+    parts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    whole = lambda n: F.filter(parts(F.col("v"), n), lambda g: F.length(g) == n)
+    sized = F.flatten(F.array(*map(whole, (1, 2, 3))))
+    index = v.select("kind", "id", "field", "priority", "v", "exact", "prefix", "substring", F.explode(sized).alias("part"))
+    df = index.groupBy("part").agg(F.count("*").alias("n"))
+    mine = q.select("text", "q", F.explode(F.when(F.length("q") >= 3, parts(F.col("q"), 3)).otherwise(F.array("q"))).alias("part"))
+    rarest = mine.join(df, "part", "left").groupBy("text", "q").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.count("n").alias("known"), F.count("*").alias("all")).where(F.col("known") == F.col("all"))
+    hit = rarest.join(index, "part").where(F.contains("v", F.col("q")))
+    sure = F.when(F.col("v") == F.col("q"), F.col("exact")).when(F.startswith("v", F.col("q")), F.col("prefix")).otherwise(F.col("substring"))
+    by_record = hit.withColumn("confidence", sure).groupBy("text", "kind", "id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "priority", "field")).alias("best"))
+    told = by_record.select("text", "kind", "id", F.col("best.field").alias("matched_on"), (-F.col("best.minus")).alias("confidence"))
+    w = Window.partitionBy("text").orderBy(F.desc("confidence"), "kind", "id")
+    top = told.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(limit, 2))
+    leads = Window.partitionBy("text")
+    second = F.max(F.when(F.col("rank") == 2, F.col("confidence"))).over(leads)
+    near = F.round(F.max(F.when(F.col("rank") == 1, F.col("confidence"))).over(leads) - second, 9) <= gap
+    return top.withColumn("ambiguous", F.coalesce(near, F.lit(False))).where(F.col("rank") <= limit).select("text", "rank", "kind", "id", "matched_on", "confidence", "ambiguous")
+
+
 def first_per(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The ``value`` of each key's first row."""
     return rows.groupBy(key).agg(F.min_by(value, F.struct(order, value)).alias(value))

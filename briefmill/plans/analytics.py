@@ -160,13 +160,13 @@ def graph_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Each order's next orders by a shared supplier (1) or part (2); all related ones follow from these steps."""
+    """Each order's classes of related orders: those that share a supplier (1) or a part (2), with how many others. Members of
+    one class are the related ones, so all pairs follow from a join by class; none is made here."""
     x = table(spark, d, "lineitem")
-    arms = []
-    for key, why in (("l_suppkey", 1), ("l_partkey", 2)):
-        w = Window.partitionBy(key).orderBy("l_orderkey")
-        arms.append(x.select("l_orderkey", key).distinct().select("l_orderkey", F.lead("l_orderkey").over(w).alias("other"), F.lit(why).alias("why")).where("other is not null"))
-    return arms[0].unionByName(arms[1]).groupBy("l_orderkey", "other").agg(F.min("why").cast("long").alias("why"))
+    arm = lambda key, why: x.select("l_orderkey", F.lit(why).alias("why"), F.col(key).alias("class")).distinct()
+    members = arm("l_suppkey", 1).unionByName(arm("l_partkey", 2))
+    size = members.groupBy("why", "class").agg((F.count("*") - 1).alias("others"))
+    return members.join(size, ["why", "class"]).select("l_orderkey", "why", "class", "others")
 
 
 def unconnected(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +322,7 @@ ORACLE = {
     "runner_up_margin": "SELECT o_custkey, o_orderkey, margin FROM (SELECT *, row_number() OVER w AS rn, round(o_totalprice - lead(o_totalprice) OVER w, 2) AS margin FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn = 1",
     "latest_version": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
     "graph_lineage": f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT seed, dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 4) SELECT seed, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL",
-    "related_entities": "WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), u AS (SELECT l_orderkey, lead(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS other, 1 AS why FROM s UNION ALL SELECT l_orderkey, lead(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey), 2 FROM p) SELECT l_orderkey, other, min(why)::BIGINT AS why FROM u WHERE other IS NOT NULL GROUP BY ALL",
+    "related_entities": "WITH m AS (SELECT DISTINCT l_orderkey, 1 AS why, l_suppkey AS class FROM lineitem UNION SELECT DISTINCT l_orderkey, 2, l_partkey FROM lineitem) SELECT l_orderkey, why, class, count(*) OVER (PARTITION BY why, class) - 1 AS others FROM m",
     "unconnected": f"WITH {_EDGES} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
     "selection_state": "SELECT l_orderkey, CASE count(*) FILTER (l_returnflag = 'N') WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM lineitem GROUP BY 1",
     "citation_format": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 14 = 0 THEN '' WHEN l_orderkey % 14 = 1 THEN 'Supp. ' ELSE (l_orderkey % 14) || CASE l_orderkey % 14 WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || ' Supp. ' END

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from briefmill.operators import relations as j
 from briefmill.operators.retrieval import passages
 from briefmill.plans.retrieval import _PASSAGES
 from briefmill.sources import stored
@@ -37,17 +38,42 @@ def stamp_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_section(spark: SparkSession, d: str) -> DataFrame:
-    """Each event's section: the last purchase of its user at or before it begins one."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+    """For each order's day, the first section of its customer's list (by key) that holds it; a fifth of the sections is open."""
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("scope"), day.alias("day"))
+    sections = o.select("scope", F.col("day").alias("start"), F.when(F.col("o_orderkey") % 5 != 0, F.col("day") + F.col("o_orderkey") % 400).alias("stop"), (F.col("o_orderkey") % 1000).alias("place"), F.col("o_orderkey").alias("label"))
+    found = j.first_range(o.select(F.col("o_orderkey").alias("key"), "scope", F.col("day").alias("at")), sections)
+    return found.select(F.col("key").alias("o_orderkey"), F.col("label").alias("section"))
 
 
 def line_in_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """The turns of a conversation that hold the turn before them: equal conversation and place, then the text decides."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    line = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.substring("text", 1, 12).alias("line"))
-    return c.join(line, ["conv_id", "turn"]).where(F.contains("text", F.col("line"))).select("conv_id", "turn").distinct()
+    """How many lines of a turn, each whole, stand in the next turn of the conversation or in the same, and the first and
+    last of them: equal conversation and place, then the text decides."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", "\\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    near = lines.withColumn("at", F.explode(F.array("turn", F.col("turn") + 1)))
+    held = near.join(c.select("conv_id", F.col("turn").alias("at"), F.col("text").alias("chunk")), ["conv_id", "at"]).where(F.contains("chunk", F.col("line")))
+    return held.groupBy("conv_id", "turn", "at").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """What short texts mean: words and brands of parts, nations, and the numbers of suppliers, among customers, suppliers and parts."""
+    c, s, p = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "part")
+
+    def field(df: DataFrame, kind: str, key: str, name: str, priority: int, *sure: float) -> DataFrame:
+        told = [F.lit(x).alias(n) for n, x in zip(("exact", "prefix", "substring"), sure)]
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.lit(name).alias("field"), F.lit(priority).alias("priority"), F.col(name).alias("value"), *told)
+
+    fields = [
+        field(c, "customer", "c_custkey", "c_name", 1, 0.95, 0.8, 0.7),
+        field(s, "supplier", "s_suppkey", "s_name", 1, 0.95, 0.7, 0.6),
+        field(p, "part", "p_partkey", "p_brand", 1, 0.5, 0.45, 0.4),
+        field(p, "part", "p_partkey", "p_name", 2, 0.9, 0.7, 0.6),
+    ]
+    words = p.select(F.explode(F.split("p_name", " ")).alias("text"))
+    numbers = s.select(F.regexp_extract("s_name", "([1-9][0-9]*)$", 1).alias("text"))
+    asked = words.unionByName(numbers).unionByName(p.select(F.upper("p_name").alias("text"))).unionByName(table(spark, d, "nation").select(F.col("n_name").alias("text"))).unionByName(p.select(F.col("p_brand").alias("text")))
+    return j.resolve(asked, fields[0].unionByName(fields[1]).unionByName(fields[2]).unionByName(fields[3]))
 
 
 def volume_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -134,15 +160,24 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("doc_id", F.lower("domain").alias("domain")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, entity_mentions)}
+QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, references, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, entity_mentions)}
 
 ORACLE = {
     "document_scan": f"WITH {_PASSAGES} SELECT doc_id, idx::INTEGER AS idx, md5(text) AS text_md5 FROM p WHERE doc_id = 7 ORDER BY idx LIMIT 60",
     "append_evolving": "SELECT c_custkey AS id, c_name AS name, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",
     "delete_pages": "SELECT l_orderkey, count(*) AS n FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber AND y.l_returnflag = 'R') GROUP BY 1",
     "stamp_status": "WITH u AS (SELECT l_orderkey, CASE WHEN count(*) FILTER (l_linestatus = 'O') = 0 THEN 'F' END AS s, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(s, o_orderstatus) AS o_orderstatus, shipped FROM orders LEFT JOIN u ON l_orderkey = o_orderkey",
-    "page_section": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events",
-    "line_in_chunk": "SELECT DISTINCT a.conv_id, a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND contains(a.text, substr(b.text, 1, 12))",
+    "page_section": """WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders)
+        SELECT a.o_orderkey, arg_min(b.o_orderkey, (b.o_orderkey % 1000, b.o_orderkey)) AS section FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.day >= b.day AND (b.o_orderkey % 5 = 0 OR a.day <= b.day + b.o_orderkey % 400) GROUP BY 1""",
+    "line_in_chunk": """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM conversations)
+        SELECT l.conv_id, l.turn, c.turn AS at, count(*) AS n, min(n)::INTEGER AS first_line, max(n)::INTEGER AS last_line FROM l JOIN conversations c ON c.conv_id = l.conv_id AND c.turn IN (l.turn, l.turn + 1) AND contains(c.text, line) WHERE trim(line) <> '' GROUP BY 1, 2, 3""",
+    "references": """WITH f AS (SELECT 'customer' AS kind, c_custkey AS id, 'c_name' AS field, 1 AS p, c_name AS v, 0.95::DOUBLE AS e, 0.8::DOUBLE AS x, 0.7::DOUBLE AS s FROM customer
+        UNION ALL SELECT 'supplier', s_suppkey, 's_name', 1, s_name, 0.95, 0.7, 0.6 FROM supplier UNION ALL SELECT 'part', p_partkey, 'p_brand', 1, p_brand, 0.5, 0.45, 0.4 FROM part UNION ALL SELECT 'part', p_partkey, 'p_name', 2, p_name, 0.9, 0.7, 0.6 FROM part),
+        a AS (SELECT unnest(string_split(p_name, ' ')) AS text FROM part UNION SELECT regexp_extract(s_name, '([1-9][0-9]*)$', 1) FROM supplier UNION SELECT upper(p_name) FROM part UNION SELECT n_name FROM nation UNION SELECT p_brand FROM part),
+        m AS (SELECT text, kind, id, field, p, CASE WHEN lower(v) = lower(text) THEN e WHEN starts_with(lower(v), lower(text)) THEN x ELSE s END AS c FROM a JOIN f ON contains(lower(v), lower(text)) WHERE trim(text) <> ''),
+        b AS (SELECT text, kind, id, max(c) AS confidence, arg_min(field, (-c, p)) AS matched_on FROM m GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER w AS rank, first_value(confidence) OVER w AS top, nth_value(confidence, 2) OVER (PARTITION BY text ORDER BY confidence DESC, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next FROM b WINDOW w AS (PARTITION BY text ORDER BY confidence DESC, kind, id))
+        SELECT text, rank::INTEGER AS rank, kind, id, matched_on, confidence, coalesce(round(top - next, 9) <= 0.15, false) AS ambiguous FROM r WHERE rank <= 5""",
     "volume_counts": "WITH v AS (SELECT o_custkey, regexp_extract(o_orderpriority, '^(\\d+)-', 1) AS kind, o_orderkey % 7 AS volume FROM orders UNION ALL SELECT o_custkey, regexp_extract(o_orderpriority, '^(\\d+)-', 1), l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT o_custkey, kind, count(DISTINCT volume) AS volumes FROM v GROUP BY ALL",
     "worklist_totals": "SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY GROUPING SETS ((l_returnflag), (l_linenumber), ())",
     "chunk_renumbering": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1 AS chunk_index FROM conversations",

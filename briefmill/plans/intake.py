@@ -164,10 +164,10 @@ _LIST = lambda x: "[" + ", ".join(f"'{y}'" for y in x) + "]"
 _FILING_TYPES = f"""
 WITH x AS (SELECT o_orderkey AS k, {_LIST(_KINDS)}[(o_orderkey % 7 + 1)::INTEGER] AS kind, {_LIST(_KINDS)}[((o_orderkey // 7) % 7 + 1)::INTEGER] AS other, o_orderkey % 5 AS form FROM orders),
 y AS (SELECT *, CASE lower(kind) WHEN 'motion' THEN 'Motion' WHEN 'brief' THEN 'Brief' ELSE kind END AS own, CASE lower(other) WHEN 'motion' THEN 'Motion' WHEN 'brief' THEN 'Brief' ELSE other END AS second, k % 11 <> 0 AS named FROM x),
-z AS (SELECT *, CASE WHEN named THEN own END AS by_name, CASE WHEN k % 2 = 0 THEN second END AS by_folder, CASE WHEN k % 3 = 0 THEN second END AS by_header FROM y),
+z AS (SELECT *, CASE WHEN named THEN own END AS by_name, CASE WHEN k % 2 = 0 AND second <> 'Order' THEN second END AS by_folder, CASE WHEN k % 3 = 0 THEN second END AS by_header FROM y),
 t AS (SELECT *, coalesce(by_name, by_folder, by_header) AS type FROM z),
 a AS (SELECT *, coalesce((by_name = type)::INTEGER, 0) + coalesce((by_folder = type)::INTEGER, 0) + coalesce((by_header = type)::INTEGER, 0) AS agree, CASE WHEN by_name IS NOT NULL THEN 0.85 WHEN by_folder IS NOT NULL THEN 0.75 ELSE 0.6 END AS base,
-      CASE WHEN NOT named AND by_folder IS NOT NULL THEN other || 's'
+      CASE WHEN NOT named AND k % 2 = 0 THEN other || 's'
            WHEN NOT named AND by_header IS NOT NULL THEN second || ' of the Party'
            WHEN NOT named AND k < 100 THEN 'D 1 Fm 25 ' || lpad(k::VARCHAR, 6, '0') || ' ' || k
            WHEN NOT named THEN k::VARCHAR

@@ -50,16 +50,24 @@ def rewrite(rows: DataFrame, path: str, partition: str) -> None:
 def delete(spark: SparkSession, path: str, partition: str, gone: DataFrame, keys: Sequence[str]) -> None:
     """Rewrite the partitions of a stored table in which ``gone`` (``partition`` and ``keys``) names rows, without those.
 
-    Only these partitions are read. One that loses all its rows keeps its files' folder, empty.
+    Only these partitions are read. Partition values may be null and hold any sign; null keys name no row. Rows that
+    repeat a key all go. A partition that loses all its rows loses its files: first the partitions with rows left are
+    rewritten, then those files are deleted, so that a failure between leaves rows that the same call deletes again.
     """
-    touched = [r[0] for r in gone.select(partition).distinct().collect()]  # names of partitions, as many as one delete touches
     table = read_evolving(spark, path)
-    left = without(table.where(F.col(partition).isin(touched)), gone, [partition, *keys]).select(*table.columns)
-    rewrite(left, path, partition)
-    still = {r[0] for r in read_evolving(spark, path).where(F.col(partition).isin(touched)).join(gone.select(partition, *keys).distinct(), [partition, *keys], "left_semi").select(partition).distinct().collect()}
-    for value in still:  # dynamic overwriting leaves a partition alone that has no row left
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    named = gone.select(partition, *keys).distinct()
+    touched = named.select(F.col(partition).alias("_p")).distinct()  # one row a partition that the delete touches
+    hit = table.withColumn("_file", F.col("_metadata.file_path")).join(touched, F.col(partition).eqNullSafe(F.col("_p")), "left_semi")
+    same = F.col(partition).eqNullSafe(F.col("_g"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_g_{k}")
+    left = hit.join(named.select(F.col(partition).alias("_g"), *[F.col(k).alias(f"_g_{k}") for k in keys]), same, "left_anti")
+    emptied = hit.join(left.select(F.col(partition).alias("_p")).distinct(), F.col(partition).eqNullSafe(F.col("_p")), "left_anti")
+    files = [r[0] for r in emptied.select("_file").distinct().collect()]  # of the partitions that lose all their rows
+    rewrite(left.select(*table.columns), path, partition)
+    for name in files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
 
 
 def any_of(columns: Sequence[str], value) -> Column:

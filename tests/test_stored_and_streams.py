@@ -26,6 +26,16 @@ def test_append_delete_and_stamp(spark, tmp_path):
     assert rows(told) == [(1, 0, "a", 0.9, "ok"), (3, 0, "d", 0.5, None)]
 
 
+def test_delete_whatever_the_partition_is_called(spark, tmp_path):
+    path, schema = str(tmp_path / "odd"), "part string, page int, text string"
+    data = [("a:b", 1, "x"), ("c d", 1, "x"), ("x", 1, "x"), ("x", 2, "y"), (None, 1, "x"), (None, 2, "y"), ("q%2F/=#é", 1, "x"), ("x", 2, "y"), ("stays", 1, None), ("x", None, "n")]
+    stored.append(spark.createDataFrame(data, schema), path, "part")
+    stored.delete(spark, path, "part", spark.createDataFrame([("a:b", 1), ("c d", 1), ("x", 1), (None, 1), ("q%2F/=#é", 1), ("x", None), ("none", 1)], "part string, page int"), ["page"])
+    assert rows(stored.read_evolving(spark, path).select("part", "page", "text")) == sorted([("x", 2, "y"), ("x", 2, "y"), (None, 2, "y"), ("stays", 1, None), ("x", None, "n")], key=str)
+    stored.delete(spark, path, "part", spark.createDataFrame([(None, 2)], "part string, page int"), ["page"])
+    assert rows(stored.read_evolving(spark, path).select("part", "page")) == sorted([("x", 2), ("x", 2), ("stays", 1), ("x", None)], key=str)
+
+
 def run(spark, df, mode, name, tmp_path):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
