@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from briefmill.operators import dates, filings, tables
 from briefmill.operators import ocr_gate as gate
 from briefmill.sources.tables import table
+from briefmill.streaming import moves
 
 
 def ocr_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +84,28 @@ def filing_types(spark: SparkSession, d: str) -> DataFrame:
     return got.select("o_orderkey", F.col("t.type").alias("type"), F.col("t.confidence").alias("confidence"), F.col("h.type").alias("header_type"), F.col("h.matched").alias("matched"), "title")
 
 
-QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types)}
+def _file_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as those of files: a user's content, at one of three paths, that comes, goes, fails or is filed."""
+    kinds = F.create_map(*[F.lit(x) for kv in {"view": "add", "click": "add", "error": "gone", "purchase": "error", "signup": "filed"}.items() for x in kv])
+    path = F.concat(F.lit("/"), (F.floor("value") % 3).cast("string"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("hash"), path.alias("path"), kinds[F.col("event_type")].alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def file_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Records of contents as their files come, go and turn up elsewhere; SQL has no such state, a walk in the tests has."""
+    return moves.tracked(_file_events(spark, d))
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' work as claimed by the kinds of events: queued, or running with a lease that may have ended."""
+    c = table(spark, d, "customer")
+    queued = F.col("c_acctbal") >= 0
+    known = c.select(F.col("c_custkey").alias("id"), F.when(queued, "QUEUED").otherwise("RUNNING").alias("status"), F.when(~queued, "none").alias("owner"), F.when(~queued, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).alias("until"))
+    asks = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("worker"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    return moves.claim(asks, known)
+
+
+QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types, file_moves, claims)}
 
 _TRIM = r"'^\s+|\s+$', '', 'g'"
 _WIN = "regexp_extract_all({}, '(?s).{{24}}')"
@@ -187,4 +209,7 @@ ORACLE = {
     "date_mentions": f"WITH {_DATES} SELECT o_orderkey, start::INTEGER AS start, stop::INTEGER AS stop, rule, first_day, last_day FROM named",
     "timeline": f"WITH {_DATES} SELECT first_day AS day, count(DISTINCT o_orderkey) AS n, min(o_orderkey) AS first_doc FROM named WHERE rule <> 'after' GROUP BY 1",
     "filing_types": _FILING_TYPES,
+    "claims": """WITH k AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN 'QUEUED' ELSE 'RUNNING' END AS status, CASE WHEN c_acctbal < 0 THEN 'none' END AS owner, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-01-02' END AS until FROM customer),
+        f AS (SELECT id, min((ts, event_type)) AS w FROM events JOIN k ON id = user_id WHERE status = 'QUEUED' OR until <= ts GROUP BY id)
+        SELECT k.id, CASE WHEN w IS NULL THEN status ELSE 'RUNNING' END AS status, coalesce(w[2], owner) AS owner, coalesce(w[1] + INTERVAL 10 MINUTE, until) AS until FROM k LEFT JOIN f USING (id)""",
 }
