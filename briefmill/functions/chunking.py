@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ")
 
 
+# Where a pleading or a transcript is cut first, coarse to fine.
+LEGAL_SEPARATORS = ("\n\nSECTION ", "\n\nARTICLE ", "\n\nWHEREAS", "\n\nORDER", "\n\nFINDINGS OF FACT", "\n\nCONCLUSIONS OF LAW", "\nTHE COURT", "\nTHE WITNESS", "\nBY MS. ", "\nBY MR. ", "\nMS. ", "\nMR. ", "\nQ. ", "\nA. ", "\nQ ", "\nA ", "\n\n", "\n", ". ", "? ", "! ", "; ", " ")
+_HEADING = re.compile(r"[A-Z][A-Z0-9 ,.'&:-]{2,}|(?:[IVXLC]+|[A-Z]|\d{1,3})\.\s+\S.*")
+
+
 def by_tokens(text: str, size: int = 512, overlap: int = 50) -> list[str]:
     """Paragraphs, and where they are too long sentences, are filled up to ``size`` words; each chunk repeats the last ``overlap``."""
     units: list[list[str]] = []
@@ -57,6 +62,49 @@ def recursive(text: str, limit: int = 1000, separators: tuple[str, ...] = SEPARA
     return out + ([now] if now else [])
 
 
+def before_separators(text: str, limit: int, separators: tuple[str, ...] = LEGAL_SEPARATORS) -> list[str]:
+    """Pieces of at most ``limit`` characters; each separator begins the piece after it, and joined they are the text."""
+    if len(text) <= limit:
+        return [text] if text else []
+    for n, sep in enumerate(separators):
+        at = [m.start() for m in re.finditer(re.escape(sep), text) if m.start()]
+        if not at:
+            continue
+        out, now = [], ""
+        for a, b in zip([0, *at], [*at, len(text)]):
+            part = text[a:b]
+            if now and len(now) + len(part) > limit:
+                out.append(now)
+                now = ""
+            if len(part) > limit:
+                cut = before_separators(part, limit, separators[n + 1 :])
+                out += cut[:-1]
+                part = cut[-1]
+            now += part
+        return [*out, now]
+    return [text[i : i + limit] for i in range(0, len(text), limit)]
+
+
+def sections(text: str) -> list[tuple[str, str]]:
+    """(heading, body): a line in capitals or with a section's number begins a section; what comes first has no heading."""
+    out: list[tuple[str, list[str]]] = [("", [])]
+    for line in text.split("\n"):
+        if len(line) <= 120 and _HEADING.fullmatch(line.strip()):
+            out.append((line.strip(), []))
+        else:
+            out[-1][1].append(line)
+    return [(h, body) for h, lines in out if (body := "\n".join(lines).strip()) or h]
+
+
+def by_sections(text: str, limit: int = 1000, prefix: str = "") -> list[str]:
+    """Each section's body in pieces of at most ``limit`` characters, under the ``prefix`` and the section's heading."""
+    out = []
+    for heading, body in sections(text):
+        lead = prefix + heading
+        out += [f"{lead}\n{piece}" if heading else prefix + piece for piece in before_separators(body, limit)] if body else [lead]
+    return out
+
+
 def table_fragments(text: str, limit: int = 2048) -> list[str]:
     """A table's lines in fragments of at most ``limit`` characters, each of which begins with the header line."""
     lines = text.split("\n")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefmill.operators import dates, filings, tables
+from briefmill.functions import chunking
+from briefmill.operators import blocks, dates, filings, tables
 from briefmill.operators import ocr_gate as gate
 from briefmill.sources.tables import table
 from briefmill.streaming import moves
@@ -105,7 +106,24 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return moves.claim(asks, known)
 
 
-QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types, file_moves, claims)}
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' lines as blocks of pages: every ninth a heading, lines with pipes tables, and some notes and footers."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    kind = F.when(F.contains("text", F.lit(" | ")), "table").when(F.col("place") % 9 == 3, "heading").when(F.col("place") % 13 == 7, "footnote").when(F.col("place") % 17 == 11, "page_footer").otherwise("paragraph")
+    return lines.withColumn("kind", kind)
+
+
+def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as laid-out pages, in chunks under their headings; a slow chunker in the tests tells the same."""
+    return blocks.page_chunks(_blocks(spark, d), "[Filing]\n\n")
+
+
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents in chunks of at most 1,000 characters under their sections' headings, cut before legal separators."""
+    return chunking.chunk(table(spark, d, "documents"), chunking.by_sections)
+
+
+QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types, file_moves, claims, structured_chunks, section_chunks)}
 
 _TRIM = r"'^\s+|\s+$', '', 'g'"
 _WIN = "regexp_extract_all({}, '(?s).{{24}}')"
