@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from briefmill.operators import lexical
 from briefmill.operators import retrieval as r
 from briefmill.sources.tables import table
 
@@ -35,6 +36,20 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return r.bm25(docs, TERMS).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(25)
 
 
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over stems and positions, as a stored index holds them: every form of the words counts, stopwords do not."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    stop = F.size(F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(lexical.STOPWORDS)))
+    got = lexical.search(lexical.postings(docs), docs.select("id", F.greatest(stop, F.lit(0)).alias("n")), "The Licensing of Apache softwares")
+    return got.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(25)
+
+
+def lexical_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the words 'licensed under' in whatever form, and how often."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lexical.phrase(lexical.postings(docs), "licenses under")
+
+
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     p = r.passages(table(spark, d, "documents"))
     return p.where(r.phrase(F.col("text"), ["under", "the"])).select("id", "doc_id")
@@ -137,11 +152,13 @@ def subquery_timing(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("slowest"), F.min("value").alias("fastest"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_id", F.struct("value", "event_id")).alias("slowest_id"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_l2, vector_topk_filtered, nn_label_classify, bm25_topk, phrase_match, rrf_hybrid, like_fallback, multi_query_dedup, diversity_cap, diversity_cap_adaptive, entity_boost, pattern_backstop, secondary_anti_dup, budget_pack_skip, budget_pack_break, evidence_caps, outline_selection, score_validation, subquery_timing)}
+QUERIES = {f.__name__: f for f in (vector_topk_l2, vector_topk_filtered, nn_label_classify, bm25_topk, lexical_topk, lexical_phrase, phrase_match, rrf_hybrid, like_fallback, multi_query_dedup, diversity_cap, diversity_cap_adaptive, entity_boost, pattern_backstop, secondary_anti_dup, budget_pack_skip, budget_pack_break, evidence_caps, outline_selection, score_validation, subquery_timing)}
 
 _DIST = f"sqrt(list_sum(list_transform(list_zip(embedding, {_PROBE_SQL}), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))))"
 _BM = "WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), c AS (SELECT id, len(t) AS n, " + ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(sorted(TERMS))) + " FROM t), s AS (SELECT count(*) AS docs, avg(n) AS mean, " + ", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(TERMS))) + " FROM c), b AS (SELECT id, round(" + " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(TERMS))) + ", 6) AS score FROM c, s WHERE " + " OR ".join(f"f{i} > 0" for i in range(len(TERMS))) + ")"
 
+_STOP = "(" + ", ".join(f"'{w}'" for w in lexical.STOPWORDS) + ")"
+
 ORACLE = {
     "vector_topk_l2": f"SELECT vec_id, round({_DIST}, 6) AS distance FROM embeddings ORDER BY {_DIST}, vec_id LIMIT 20",
     "vector_topk_filtered": f"SELECT vec_id, label, round({_DIST}, 6) AS distance FROM embeddings WHERE label = 3 ORDER BY {_DIST}, vec_id LIMIT 10",
@@ -150,6 +167,12 @@ ORACLE = {
         b AS (SELECT vec_id, arg_min(label, (d, label)) AS label, least(0.99, 1 / (1 + min(d))) AS c FROM d GROUP BY vec_id)
         SELECT vec_id, CASE WHEN c < 0.45 THEN 'Other' ELSE label END AS label, round(c, 6) AS confidence FROM b""",
     "bm25_topk": f"{_BM} SELECT id, score FROM b ORDER BY score DESC, id LIMIT 25",
+    "lexical_topk": f"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN {_STOP}) AS t FROM documents),
+        f AS (SELECT id, len(t) AS n, unnest([len(list_filter(t, lambda x: x IN ('license', 'licenses', 'licensed', 'licensing'))), len(list_filter(t, lambda x: x = 'apache')), len(list_filter(t, lambda x: x IN ('software', 'softwares')))]) AS f, unnest([1, 2, 3]) AS q FROM w),
+        s AS (SELECT *, count(*) FILTER (f > 0) OVER (PARTITION BY q) AS df, count(*) OVER (PARTITION BY q) AS docs, avg(n) OVER (PARTITION BY q) AS mean FROM f)
+        SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM s WHERE f > 0 GROUP BY id ORDER BY score DESC, id LIMIT 25""",
+    "lexical_phrase": """WITH w AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS t FROM documents)
+        SELECT id, len(list_filter(range(1, len(t)), lambda i: t[i] IN ('license', 'licenses', 'licensed', 'licensing') AND t[i + 1] = 'under'))::INTEGER AS n FROM w WHERE n > 0""",
     "phrase_match": f"WITH {_PASSAGES} SELECT id, doc_id FROM p WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' under the ')",
     "rrf_hybrid": f"""{_BM}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round({_DIST}, 6), vec_id) AS rank FROM embeddings), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b)
         SELECT id, round(sum(1 / (60 + rank)), 8) AS score FROM (SELECT * FROM v WHERE rank <= 50 UNION ALL SELECT * FROM l WHERE rank <= 50) GROUP BY id ORDER BY score DESC, id LIMIT 20""",
