@@ -94,8 +94,8 @@ def search(index: DataFrame, rows: DataFrame, text: str, k1: float = K1, b: floa
         return index.sparkSession.createDataFrame([], "id long, score double")
     times = F.create_map(*[F.lit(x) for s in set(stems) for x in (s, stems.count(s))])
     hit = _read(index, sorted(set(stems))).select("id", "n", "stem", F.size("positions").alias("f"))
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    df = hit.groupBy("stem").agg(F.count("*").alias("df")).crossJoin(stats)  # as many rows as stems are asked
+    df = hit.groupBy("stem").agg(F.count("*").alias("df"))  # as many rows as stems are asked
+    df = df.withColumns({"docs": rows.agg(F.count("*")).scalar(), "mean": rows.agg(F.avg("n")).scalar()})
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * times[F.col("stem")]
     part = weight * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return hit.join(F.broadcast(df), "stem").groupBy("id").agg(F.sum(part).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-TOPICS = ("retrieval", "joins", "analytics", "casework", "intake")
+TOPICS = ("retrieval", "joins", "analytics", "casework", "intake", "catalogue")
 
 
 def _topics() -> list:
