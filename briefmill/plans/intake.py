@@ -9,7 +9,7 @@ from briefmill.functions import chunking
 from briefmill.operators import blocks, dates, filings, tables
 from briefmill.operators import ocr_gate as gate
 from briefmill.sources.tables import table
-from briefmill.streaming import moves
+from briefmill.streaming import folders, moves
 
 
 def ocr_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,21 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(table(spark, d, "documents"), chunking.by_sections)
 
 
-QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types, file_moves, claims, structured_chunks, section_chunks)}
+def _folder_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as changes of folders: a user group's puts at /a/b/c, and drops of a file or of a folder by errors."""
+    u, v = F.col("user_id"), F.floor("value").cast("long")
+    parts = [F.concat(F.lit("/"), ((v / n).cast("long") % 4).cast("string")) for n in (1, 4, 16)]
+    drop = F.col("event_type") == "error"
+    path = F.when(drop & (v % 3 == 0), parts[0]).when(drop & (v % 3 == 1), F.concat(*parts[:2])).otherwise(F.concat(*parts))
+    return table(spark, d, "events").select((u % 7).cast("string").alias("link"), F.col("event_id").alias("seq"), F.when(drop, "drop").otherwise("put").alias("op"), path.alias("path"), F.col("event_type").alias("payload"))
+
+
+def folder_state(spark: SparkSession, d: str) -> DataFrame:
+    """What folders hold once all changes are in, by ancestors that were dropped."""
+    return folders.current(_folder_changes(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (ocr_gate, pipe_tables, html_tables, date_mentions, timeline, filing_types, file_moves, claims, structured_chunks, section_chunks, folder_state)}
 
 _TRIM = r"'^\s+|\s+$', '', 'g'"
 _WIN = "regexp_extract_all({}, '(?s).{{24}}')"
@@ -227,6 +241,11 @@ ORACLE = {
     "date_mentions": f"WITH {_DATES} SELECT o_orderkey, start::INTEGER AS start, stop::INTEGER AS stop, rule, first_day, last_day FROM named",
     "timeline": f"WITH {_DATES} SELECT first_day AS day, count(DISTINCT o_orderkey) AS n, min(o_orderkey) AS first_doc FROM named WHERE rule <> 'after' GROUP BY 1",
     "filing_types": _FILING_TYPES,
+    "folder_state": """WITH e AS (SELECT (user_id % 7)::VARCHAR AS link, event_id AS seq, event_type AS payload, event_type = 'error' AS dropping, floor(value)::BIGINT AS v FROM events),
+        p AS (SELECT *, '/' || (v % 4) AS a, '/' || (v // 4 % 4) AS b, '/' || (v // 16 % 4) AS c FROM e),
+        f AS (SELECT link, seq, payload, dropping, CASE WHEN dropping AND v % 3 = 0 THEN a WHEN dropping AND v % 3 = 1 THEN a || b ELSE a || b || c END AS path FROM p),
+        l AS (SELECT * FROM f WHERE NOT dropping QUALIFY row_number() OVER (PARTITION BY link, path ORDER BY seq DESC) = 1)
+        SELECT path, payload, link, seq FROM l WHERE NOT EXISTS (SELECT 1 FROM f d WHERE d.dropping AND d.link = l.link AND d.seq > l.seq AND (l.path = d.path OR starts_with(l.path, d.path || '/')))""",
     "claims": """WITH k AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN 'QUEUED' ELSE 'RUNNING' END AS status, CASE WHEN c_acctbal < 0 THEN 'none' END AS owner, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2024-01-02' END AS until FROM customer),
         f AS (SELECT id, min((ts, event_type)) AS w FROM events JOIN k ON id = user_id WHERE status = 'QUEUED' OR until <= ts GROUP BY id)
         SELECT k.id, CASE WHEN w IS NULL THEN status ELSE 'RUNNING' END AS status, coalesce(w[2], owner) AS owner, coalesce(w[1] + INTERVAL 10 MINUTE, until) AS until FROM k LEFT JOIN f USING (id)""",
