@@ -42,16 +42,33 @@ def carried(rows: DataFrame, group: str, order: str, value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
+def lineage(edges: DataFrame, seeds: DataFrame, hops: int = 4, most: int | None = None) -> DataFrame:
     """(seed, node, depth): what each seed reaches over ``edges`` (src, dst) in either direction, in at most ``hops``.
 
-    Each hop joins only the frontier; nodes that were reached before leave it, so cycles end.
+    With ``most``, each seed keeps that many nodes, the nearest and of equal depth the smallest; they are cut after each
+    hop, so a hub does not multiply, and none that is cut could have led to one that stays. A hop is one join and one
+    aggregation of what was reached so far, which takes the smaller depth: the plan grows with the hops and does not double.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    frontier = reached
-    for depth in range(1, hops + 1):
-        step = frontier.join(both, frontier["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(frontier)
+    both = edges.select(F.col("src").alias("_src"), "dst").unionByName(edges.select(F.col("dst").alias("_src"), F.col("src").alias("dst"))).where("_src is not null and dst is not null").distinct()
+    reached = seeds.where("id is not null").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
+    near = Window.partitionBy("seed").orderBy("depth", "node")
+    for _ in range(hops):
+        stay, go = F.struct("node", "depth"), F.struct(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+        told = reached.join(both, F.col("node") == F.col("_src"), "left").select("seed", F.explode(F.when(F.col("dst").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("n"))
+        reached = told.groupBy("seed", F.col("n.node").alias("node")).agg(F.min("n.depth").alias("depth"))
+        if most is not None:
+            reached = reached.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= most).drop("_rank")
     return reached
+
+
+def lineage_in_scope(edges: DataFrame, nodes: DataFrame, hops: int = 4, most: int = 50) -> DataFrame:
+    """(seed, node, depth, place) of each node's lineage: the other nodes of the seed's scope, by revision.
+
+    ``nodes`` has id, scope and revision (null counts as 0). Other scopes are passed through, and not told; ``most`` counts
+    all that is reached, the seed too. A node without a scope is in no one's.
+    """
+    found = lineage(edges, nodes.select("id"), hops, most).where("depth > 0")
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("scope").alias(f"_{c}"))
+    told = found.join(side("seed"), "seed").join(side("node"), "node").where(F.col("_seed") == F.col("_node"))
+    order = Window.partitionBy("seed").orderBy(F.coalesce("revision", F.lit(0)), "node")
+    return told.join(nodes.select(F.col("id").alias("node"), "revision"), "node").select("seed", "node", "depth", F.row_number().over(order).alias("place"))

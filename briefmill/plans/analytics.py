@@ -159,6 +159,13 @@ def graph_lineage(spark: SparkSession, d: str) -> DataFrame:
     return o.lineage(_edges(spark, d), seeds).groupBy("seed", "node").agg(F.min("depth").cast("long").alias("depth"))
 
 
+def lineage_by_revision(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's lineage of up to 50 nodes, as far as it has the same status, by a revision that some lack."""
+    k = F.col("o_orderkey")
+    nodes = table(spark, d, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("scope"), F.when(k % 4 != 0, k % 9).alias("revision"))
+    return o.lineage_in_scope(_edges(spark, d), nodes).withColumn("depth", F.col("depth").cast("long"))
+
+
 def related_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each order's classes of related orders: those that share a supplier (1) or a part (2), with how many others. Members of
     one class are the related ones, so all pairs follow from a join by class; none is made here."""
@@ -294,7 +301,7 @@ def answer_target(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey").join(best.select("p_partkey", F.col("p_type").alias("target")), "p_partkey", "left")
 
 
-QUERIES = {f.__name__: f for f in (corpus_status, coverage_by_source, status_pivot, grand_total_rollup, vector_stats, page_report, gap_pages, conditional_counts, execution_stats, decayed_preferences, wave_plan, progress_rate, rate_window_10s, rate_limit_60s, lag_percentile, folder_totals, chunk_neighbours, section_ranges, speaker_turns, carried_heading, runner_up_margin, latest_version, graph_lineage, related_entities, unconnected, selection_state, citation_format, truncate_and_snippet, line_tests, draft_detection, name_keys, hash_and_distance, quote_verification, repeated_lines, token_bloat, glyph_metrics, readiness_score, chunk_recursive, chunk_tokens, head_and_tail, excerpt_picker, kind_lookup, distinct_tags, answer_target)}
+QUERIES = {f.__name__: f for f in (corpus_status, coverage_by_source, status_pivot, grand_total_rollup, vector_stats, page_report, gap_pages, conditional_counts, execution_stats, decayed_preferences, wave_plan, progress_rate, rate_window_10s, rate_limit_60s, lag_percentile, folder_totals, chunk_neighbours, section_ranges, speaker_turns, carried_heading, runner_up_margin, latest_version, graph_lineage, lineage_by_revision, related_entities, unconnected, selection_state, citation_format, truncate_and_snippet, line_tests, draft_detection, name_keys, hash_and_distance, quote_verification, repeated_lines, token_bloat, glyph_metrics, readiness_score, chunk_recursive, chunk_tokens, head_and_tail, excerpt_picker, kind_lookup, distinct_tags, answer_target)}
 
 _EDGES = "e AS (SELECT * FROM (SELECT o_orderkey AS src, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)"
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -322,6 +329,10 @@ ORACLE = {
     "runner_up_margin": "SELECT o_custkey, o_orderkey, margin FROM (SELECT *, row_number() OVER w AS rn, round(o_totalprice - lead(o_totalprice) OVER w, 2) AS margin FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn = 1",
     "latest_version": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
     "graph_lineage": f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT seed, dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 4) SELECT seed, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL",
+    "lineage_by_revision": f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION SELECT seed, dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 4),
+        m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, node) <= 50)
+        SELECT seed, node, depth::BIGINT AS depth, row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN y.o_orderkey % 4 <> 0 THEN y.o_orderkey % 9 ELSE 0 END, node)::INTEGER AS place
+        FROM t JOIN orders x ON x.o_orderkey = seed JOIN orders y ON y.o_orderkey = node WHERE depth > 0 AND x.o_orderstatus = y.o_orderstatus""",
     "related_entities": "WITH m AS (SELECT DISTINCT l_orderkey, 1 AS why, l_suppkey AS class FROM lineitem UNION SELECT DISTINCT l_orderkey, 2, l_partkey FROM lineitem) SELECT l_orderkey, why, class, count(*) OVER (PARTITION BY why, class) - 1 AS others FROM m",
     "unconnected": f"WITH {_EDGES} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
     "selection_state": "SELECT l_orderkey, CASE count(*) FILTER (l_returnflag = 'N') WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM lineitem GROUP BY 1",
