@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefmill.llm import clusters
-from briefmill.llm.scratch import broadcast_if_small, discard, settle
+from briefmill.llm.scratch import broadcast_if_small, discard, settle, spare
 
 WIDTH = 9
 #: each makes an order of one 32-bit hash: a mask, and an odd factor for what it gives, of which the low 31 bits count
@@ -101,8 +101,9 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, counts: bool = False) -> DataFrame:
-    """``docs`` with the repeated and near-repeated lines of ``text_col`` taken out; with ``counts`` also ``n_lines`` and ``n_kept``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the repeated and near-repeated lines of ``text_col`` taken out; with ``counts`` also,
+    under these two names, how many lines there were and how many are left.
 
     Lines are compared without spaces at their ends. Lines of white space alone stay. Each
     component of lines with 100 * intersection >= ``percent`` * union of their shingles, directly or through others,
@@ -116,17 +117,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = settle(at.where(~F.col("d").eqNullSafe(F.col("keeper")) | (F.col("r") > 1)).groupBy("d", "t").agg(F.collect_set("n").alias("gone")))
     discard(parts)
     size = drops.agg(F.sum(F.size("gone"))).first()[0] or 0
-    drops = drops.select(F.col("d").alias("_bm_d"), F.col("t").alias("_bm_t"), F.col("gone").alias("_bm_gone"))
+    taken = [*docs.columns, *(counts or ())]
+    of_doc, of_text, gone, split, hashed = (spare(taken, f"_{c}") for c in ("d", "t", "gone", "lines", "hash"))
+    drops = drops.select(F.col("d").alias(of_doc), F.col("t").alias(of_text), F.col("gone").alias(gone))
     text = F.col(text_col)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     # the lines are split before the join, so that they are a column there and not split again for each kept line
-    parts = docs.select(*rest, F.split(text, "\n", -1).alias("_bm_lines"), F.xxhash64(text_col).alias("_bm_hash"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bm_d")) & (F.col("_bm_hash") == F.col("_bm_t"))
+    parts = docs.select(*rest, F.split(text, "\n", -1).alias(split), F.xxhash64(text_col).alias(hashed))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(hashed) == F.col(of_text))
     joined = parts.join(F.broadcast(drops) if size <= 2_000_000 else drops, same, "left")
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_bm_lines") - 1), F.coalesce("_bm_gone", F.array().cast("array<int>")))
-    kept_text = F.when(F.col("_bm_gone").isNull(), F.array_join("_bm_lines", "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col("_bm_lines"), i)), "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    kept_text = F.when(F.col(gone).isNull(), F.array_join(split, "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col(split), i)), "\n"))
     out = [kept_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        n = F.greatest(F.size("_bm_lines"), F.lit(0))
-        out += [n.alias("n_lines"), (n - F.coalesce(F.size("_bm_gone"), F.lit(0))).alias("n_kept")]
+        n = F.greatest(F.size(split), F.lit(0))
+        out += [n.alias(counts[0]), (n - F.coalesce(F.size(gone), F.lit(0))).alias(counts[1])]
     return joined.select(*out)

@@ -26,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.line_dedup import dedup_lines
 
     docs = table(spark, sf_dir, "documents")
-    return dedup_lines(docs.select("doc_id", "text"), counts=True)
+    return dedup_lines(docs.select("doc_id", "text"), counts=("n_lines", "n_kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

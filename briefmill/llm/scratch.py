@@ -40,6 +40,14 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with as many signs behind it as make it a new one among ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a few longs that may be broadcast: about 100 MB as a hash table in each executor.
 BROADCAST_ROWS = 1_000_000
 

@@ -69,3 +69,10 @@ def test_run_packs_each_kept_document_once(spark):
         of.sort()
         assert of[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(of, of[1:])) and sum(of[-1]) <= 2048
     assert all(r["length"] > 1 for r in rows)
+
+
+def test_columns_of_the_stages_own_names(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).withColumns({c: F.lit(3) for c in ("n_lines", "N_KEPT", "_id", "_d", "_T", "_gone", "_lines", "_hash")})
+    for name in ("line dedup", "near-dedup"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert out.columns == docs.columns and {r["n_lines"] + r["_id"] + r["_gone"] for r in out.collect()} == {9}
