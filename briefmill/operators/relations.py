@@ -86,6 +86,21 @@ def similar_names(people: DataFrame, percent: int = 50, top: int = 3) -> DataFra
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("id", "other", "score", "rank")
 
 
+def overlapping_labels(spans: DataFrame, turns: DataFrame, width: int = 8) -> DataFrame:
+    """(id, labels) of the ``spans`` (scope, id, start, stop) that overlap ``turns`` (scope, label, start, stop): whose they are, in order.
+
+    A null stop is open: it ends with the last line that its scope tells. Null scopes, starts and labels tell nothing;
+    a span without a turn is not listed. Ends count as inside.
+    """
+    both = spans.select("scope", "start", "stop").unionByName(turns.select("scope", "start", "stop"))
+    last = both.groupBy("scope").agg(F.max(F.greatest("start", "stop")).alias("last"))
+    ended = lambda df: df.where("start is not null").join(last, "scope").withColumn("stop", F.coalesce("stop", F.greatest("start", "last")))
+    left = ended(spans).select("scope", "id", F.col("start").alias("l_start"), F.col("stop").alias("l_end"))
+    right = ended(turns.where("label is not null")).select("scope", "label", F.col("start").alias("r_start"), F.col("stop").alias("r_end"))
+    met = overlapping(left, right, ["scope"], width)
+    return met.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
 def first_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """The first range of its group's list that holds each point: ``points`` (key, scope, at) with ``label``, null without one.
 

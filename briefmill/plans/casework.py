@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from briefmill.functions import text
 from briefmill.operators import relations as j
 from briefmill.operators.retrieval import passages
 from briefmill.plans.retrieval import _PASSAGES
@@ -56,6 +57,27 @@ def line_in_chunk(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("conv_id", "turn", "at").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
+def chunk_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Who speaks in each span of an order's lines: turns of parts by flag over spans of line numbers, a fifth of both open."""
+    li = table(spark, d, "lineitem")
+    stop = lambda key, n: F.when(F.col(key) % 5 != 0, F.col("l_linenumber") + F.col(key) % n)
+    spans = li.select(F.col("l_orderkey").alias("scope"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_linenumber").alias("start"), stop("l_partkey", 3).alias("stop"))
+    turns = li.select(F.col("l_orderkey").alias("scope"), F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_linenumber").alias("start"), stop("l_suppkey", 2).alias("stop"))
+    return j.overlapping_labels(spans, turns).select("id", F.array_join("labels", ",").alias("speakers"))
+
+
+def transcript_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages of a transcript: first and last printed line, the speaker of a line, and a date in one of four forms."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    pages = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("l_linenumber").cast("string"), 2, " "), F.lit("  Q. "), "l_returnflag"))), "\n").alias("page"))
+    k = F.col("o_orderkey")
+    line = F.element_at(F.array(F.lit("   THE COURT: sustained"), F.lit("Q. And then?"), F.lit("A   No."), F.lit("MR. O'HARA: objection"), F.lit("plain text: here")), (k % 5 + 1).cast("int"))
+    day = F.to_date("o_orderdate")
+    told = F.element_at(F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M/d/yyyy"), F.date_format(day, "MMMM d, yyyy"), F.lit("2024-02-30"), F.lit("no date")), (k % 5 + 1).cast("int"))
+    got = o.join(pages, F.col("l_orderkey") == k, "left").select(k, text.printed_line_numbers(F.col("page")).alias("n"), text.speaker(line).alias("speaker"), text.any_date(told).alias("day"))
+    return got.select("o_orderkey", F.col("n.first").alias("first_line"), F.col("n.last").alias("last_line"), "speaker", "day")
+
+
 def references(spark: SparkSession, d: str) -> DataFrame:
     """What short texts mean: words and brands of parts, nations, and the numbers of suppliers, among customers, suppliers and parts."""
     c, s, p = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "part")
@@ -160,7 +182,7 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("doc_id", F.lower("domain").alias("domain")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, references, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, entity_mentions)}
+QUERIES = {f.__name__: f for f in (document_scan, append_evolving, delete_pages, stamp_status, page_section, line_in_chunk, chunk_speakers, transcript_functions, references, volume_counts, worklist_totals, chunk_renumbering, title_hits_first, motions_by_person, scope_graph, slot_worklist, primary_kind, rerank_pool, both_stores, citation_counts, entity_mentions)}
 
 ORACLE = {
     "document_scan": f"WITH {_PASSAGES} SELECT doc_id, idx::INTEGER AS idx, md5(text) AS text_md5 FROM p WHERE doc_id = 7 ORDER BY idx LIMIT 60",
@@ -171,6 +193,12 @@ ORACLE = {
         SELECT a.o_orderkey, arg_min(b.o_orderkey, (b.o_orderkey % 1000, b.o_orderkey)) AS section FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.day >= b.day AND (b.o_orderkey % 5 = 0 OR a.day <= b.day + b.o_orderkey % 400) GROUP BY 1""",
     "line_in_chunk": """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM conversations)
         SELECT l.conv_id, l.turn, c.turn AS at, count(*) AS n, min(n)::INTEGER AS first_line, max(n)::INTEGER AS last_line FROM l JOIN conversations c ON c.conv_id = l.conv_id AND c.turn IN (l.turn, l.turn + 1) AND contains(c.text, line) WHERE trim(line) <> '' GROUP BY 1, 2, 3""",
+    "chunk_speakers": """WITH l AS (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_linenumber + l_partkey % 3 ELSE 999 END AS a, CASE WHEN l_suppkey % 5 <> 0 THEN l_linenumber + l_suppkey % 2 ELSE 999 END AS b FROM lineitem)
+        SELECT concat_ws('-', x.l_orderkey, x.l_linenumber, x.l_partkey, x.l_suppkey) AS id, array_to_string(list_sort(list(DISTINCT y.l_returnflag || y.l_linestatus)), ',') AS speakers
+        FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber <= y.b AND y.l_linenumber <= x.a GROUP BY 1""",
+    "transcript_functions": """WITH p AS (SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS a, max(l_linenumber) AS b FROM lineitem GROUP BY 1)
+        SELECT o_orderkey, CASE WHEN n >= 2 THEN a END::INTEGER AS first_line, CASE WHEN n >= 2 THEN b END::INTEGER AS last_line, ['THE COURT', 'Q', 'A', 'MR. O''HARA', NULL][(o_orderkey % 5 + 1)::INTEGER] AS speaker,
+               CASE WHEN o_orderkey % 5 < 3 THEN o_orderdate::DATE END AS day FROM orders LEFT JOIN p ON l_orderkey = o_orderkey""",
     "references": """WITH f AS (SELECT 'customer' AS kind, c_custkey AS id, 'c_name' AS field, 1 AS p, c_name AS v, 0.95::DOUBLE AS e, 0.8::DOUBLE AS x, 0.7::DOUBLE AS s FROM customer
         UNION ALL SELECT 'supplier', s_suppkey, 's_name', 1, s_name, 0.95, 0.7, 0.6 FROM supplier UNION ALL SELECT 'part', p_partkey, 'p_brand', 1, p_brand, 0.5, 0.45, 0.4 FROM part UNION ALL SELECT 'part', p_partkey, 'p_name', 2, p_name, 0.9, 0.7, 0.6 FROM part),
         a AS (SELECT unnest(string_split(p_name, ' ')) AS text FROM part UNION SELECT regexp_extract(s_name, '([1-9][0-9]*)$', 1) FROM supplier UNION SELECT upper(p_name) FROM part UNION SELECT n_name FROM nation UNION SELECT p_brand FROM part),
