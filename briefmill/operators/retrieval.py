@@ -31,20 +31,28 @@ def vector_top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     return rows.withColumn("distance", l2_distance(F.col(vector_col), query)).orderBy("distance", id_col).limit(k)
 
 
+#: prototypes, and short quotes, that meet all rows as one array
+SHELF, SHORT = 10_000, 1_000
+#: characters of short quotes that may be broadcast
+SHORT_CHARS = 16_000_000
+
+
 def nearest_label(points: DataFrame, labelled: DataFrame, id_col: str, vector_col: str, label_col: str, least: float = 0.3) -> DataFrame:
-    """Each point's nearest of the few ``labelled`` vectors (a table of label prototypes): label and confidence 1/(1+d).
+    """Each point's nearest of the ``labelled`` vectors (a table of label prototypes): label and confidence 1/(1+d).
 
-    Confidences are capped at .99; below ``least`` the label is 'Other'. The prototypes are broadcast as one array if
-    there are at most 10,000 of them; more are an error, since they are labels and not data.
+    Confidences are capped at .99; below ``least`` the label is 'Other'; of equal distances the smaller label counts. The
+    prototypes meet the points in blocks of about ``SHELF``; a single block is broadcast, more are not, and then ids must
+    be unique, since the nearest of each block's is found by id.
     """
-    n = labelled.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("nearest_label takes at most 10,000 prototypes")
-    shelf = labelled.select(F.collect_list(F.struct(F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))).alias("shelf"))
+    n = labelled.count()
+    block = F.pmod(F.xxhash64(F.col(label_col).cast("string"), vector_col), F.lit(max(1, -(-n // SHELF))))
+    shelf = labelled.groupBy(block.alias("block")).agg(F.collect_list(F.struct(F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))).alias("shelf"))
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = points.join(F.broadcast(shelf))
+    rows = points.crossJoin(F.broadcast(shelf) if n <= SHELF else shelf)
     best = F.array_min(F.transform("shelf", lambda s: F.struct(F.sqrt(square(F.col(vector_col), s["v"])).alias("d"), s["label"].alias("label"))))
-    out = rows.select(id_col, best.alias("best")).select(id_col, F.col("best.d").alias("distance"), F.col("best.label").alias("label"))
+    near = rows.select(id_col, best.alias("best"))
+    near = near if n <= SHELF else near.groupBy(id_col).agg(F.min("best").alias("best"))
+    out = near.select(id_col, F.col("best.d").alias("distance"), F.col("best.label").alias("label"))
     confidence = F.least(F.lit(0.99), 1 / (1 + F.col("distance")))
     return out.select(id_col, F.when(confidence < least, F.lit("Other")).otherwise(F.col("label")).alias("label"), confidence.alias("confidence"))
 
@@ -162,8 +170,9 @@ def holds_quote(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id): the ``docs`` (doc_id, text) that hold the text of a quote (item_id, quote), character for character.
 
     A quote's first and last word may be parts of words, so a document that holds it has its longest inner word as a
-    word; they meet by that, and the text decides. Quotes without an inner word, a few words long, are tested as one
-    list against each text. Empty and null quotes are in no document.
+    word; they meet by that, and the text decides. Quotes without an inner word, a few words long, are tested against
+    each text in blocks of about ``SHORT``, which are broadcast only if all together have at most ``SHORT_CHARS``
+    characters. Empty and null quotes are in no document.
     """
     word = F.lit(r"[^\x20\x09-\x0D]+")
     asked = quotes.where("quote <> ''").select("item_id", "quote", F.regexp_extract_all("quote", word, F.lit(0)).alias("w"))
@@ -172,6 +181,9 @@ def holds_quote(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", word, F.lit(0)))).alias("key"))
     pairs = words.join(asked.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id")
     held = pairs.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
-    short = asked.where("key is null").agg(F.collect_list(F.struct("item_id", "quote")).alias("short"))
-    found = docs.join(F.broadcast(short)).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("text"), q["quote"]))["item_id"]).alias("item_id"))
+    few = asked.where("key is null").select("item_id", "quote")
+    n, chars = few.agg(F.count("*"), F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()
+    block = F.pmod(F.xxhash64("quote"), F.lit(max(1, -(-n // SHORT), -(-chars // SHORT_CHARS))))
+    short = few.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "quote")).alias("short"))
+    found = docs.crossJoin(F.broadcast(short) if chars <= SHORT_CHARS else short).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("text"), q["quote"]))["item_id"]).alias("item_id"))
     return held.unionByName(found).distinct()
