@@ -58,29 +58,32 @@ def survey(files: DataFrame, known: DataFrame, ignored: DataFrame) -> DataFrame:
 
 
 def similar_names(people: DataFrame, percent: int = 50, top: int = 3) -> DataFrame:
-    """Each person's up to ``top`` likely duplicates (id, other, score): equal e-mail .95, edit distance of at most 2, or
-    a token Jaccard of ``percent``. ``people`` has id, name and email.
+    """Each person's up to ``top`` likely duplicates (id, other, score): equal bar number 1, equal e-mail .95, edit distance of at most 2, or
+    a token Jaccard of ``percent``. ``people`` has id, name and email, and may have bar;
+    a null or blank number or e-mail is equal to none.
 
     Candidates share an e-mail, a name token, or a deletion neighbourhood of their names' halves: two names within two
     edits have an equal third of their characters, aligned within two places. No person is compared with all others.
     """
     name = F.lower(F.trim("name"))
-    rows = people.select("id", name.alias("name"), F.lower("email").alias("email"), F.array_distinct(F.split(name, r"\s+")).alias("toks"))
+    filled = lambda c: F.nullif(F.trim(F.lower(c)), F.lit(""))
+    bar = filled("bar") if "bar" in people.columns else F.lit(None).cast("string")
+    rows = people.select("id", name.alias("name"), filled("email").alias("email"), bar.alias("bar"), F.array_distinct(F.split(name, r"\s+")).alias("toks"))
     n = F.length("name")
     third = F.greatest(F.lit(1), F.ceil(n / 3).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("part"), n.alias("n"), F.substring("name", i.cast("int") * third + 1, third).alias("s")))
-    keyed = rows.select("id", F.explode(F.concat(F.transform("toks", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("e:"), "email")), F.transform(own, lambda s: F.concat_ws(":", F.lit("p"), s["part"], s["n"], s["s"])))).alias("key"))
+    keyed = rows.select("id", F.explode(F.concat(F.transform("toks", lambda t: F.concat(F.lit("t:"), t)), F.array_compact(F.array(F.concat(F.lit("e:"), "email"), F.concat(F.lit("b:"), "bar"))), F.transform(own, lambda s: F.concat_ws(":", F.lit("p"), s["part"], s["n"], s["s"])))).alias("key"))
     shifted = F.explode(F.flatten(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda dn: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(dn.alias("dn"), i.alias("part"))))))
     probe = rows.select("id", "name", shifted.alias("w")).withColumn("n", F.length("name") + F.col("w.dn")).where("n > 0")
     size = F.greatest(F.lit(1), F.ceil(F.col("n") / 3).cast("int"))
     probes = probe.select("id", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.concat_ws(":", F.lit("p"), F.col("w.part"), F.col("n"), F.substring("name", F.greatest(F.lit(1), F.col("w.part").cast("int") * size + 1 + o.cast("int")), size)))).alias("key"))
     asked = keyed.where(~F.col("key").startswith("p:")).unionByName(probes)
     pairs = keyed.withColumnRenamed("id", "other").join(asked, "key").where("id <> other").select("id", "other").distinct()
-    a, b = rows.select("id", F.col("name").alias("an"), F.col("email").alias("ae"), F.col("toks").alias("at")), rows.select(F.col("id").alias("other"), F.col("name").alias("bn"), F.col("email").alias("be"), F.col("toks").alias("bt"))
+    a, b = rows.select("id", F.col("name").alias("an"), F.col("email").alias("ae"), F.col("bar").alias("ab"), F.col("toks").alias("at")), rows.select(F.col("id").alias("other"), F.col("name").alias("bn"), F.col("email").alias("be"), F.col("bar").alias("bb"), F.col("toks").alias("bt"))
     held = pairs.join(a, "id").join(b, "other")
     jac = F.size(F.array_intersect("at", "bt")) / F.size(F.array_union("at", "bt"))
     near = F.levenshtein(F.col("an"), F.col("bn"))
-    score = F.greatest(F.when(F.col("ae") == F.col("be"), 0.95), F.when(near <= 2, 0.9 - near * 0.1), F.when(jac * 100 >= percent, jac * 0.8))
+    score = F.greatest(F.when(F.col("ab") == F.col("bb"), 1.0), F.when(F.col("ae") == F.col("be"), 0.95), F.when(near <= 2, 0.9 - near * 0.1), F.when(jac * 100 >= percent, jac * 0.8))
     scored = held.withColumn("score", score).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("id", "other", "score", "rank")

@@ -166,6 +166,13 @@ def similar_people(spark: SparkSession, d: str) -> DataFrame:
     return j.similar_names(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat("s_nationkey", F.lit("@"), F.floor("s_acctbal").cast("string")).alias("email"))).withColumn("score", F.round("score", 6))
 
 
+def duplicate_people(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by bar number first, which some share and some lack, then by e-mail and name."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    people = s.select(k.alias("id"), F.concat("s_name", F.lit(" "), (k % 9).cast("string")).alias("name"), F.when(k % 3 != 0, F.concat("s_nationkey", F.lit("@"), (k % 4).cast("string"))).otherwise("").alias("email"), F.when(k % 2 == 0, F.concat(F.lit("B"), (k % 30).cast("string"))).alias("bar"))
+    return j.similar_names(people).withColumn("score", F.round("score", 6))
+
+
 def _order_records(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("scope"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("kind"), "o_orderpriority", "o_orderstatus")
@@ -208,7 +215,7 @@ def nocase_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.lower("p_name"), "p_partkey").limit(30)
 
 
-QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, link_suggestion, slot_suggestion, slot_verdicts, set_operations, path_values, nocase_order)}
+QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, duplicate_people, link_suggestion, slot_suggestion, slot_verdicts, set_operations, path_values, nocase_order)}
 
 _TOK = "' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' '"
 _RANGES = "o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders), r AS (SELECT o_custkey, o_orderkey AS range_id, day AS start, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE day + o_orderkey % 400 END AS stop FROM o)"
@@ -248,6 +255,9 @@ ORACLE = {
     "similar_people": """WITH p AS (SELECT s_suppkey AS id, lower(trim(s_name)) AS name, s_nationkey || '@' || floor(s_acctbal)::BIGINT AS email FROM supplier), q AS (SELECT id, name, email, list_distinct(regexp_split_to_array(name, '\\s+')) AS t FROM p),
         s AS (SELECT a.id, b.id AS other, greatest(CASE WHEN a.email = b.email THEN 0.95 END, CASE WHEN levenshtein(a.name, b.name) <= 2 THEN 0.9 - levenshtein(a.name, b.name) * 0.1 END, CASE WHEN len(list_intersect(a.t, b.t)) * 100.0 / len(list_distinct(a.t || b.t)) >= 50 THEN 0.8 * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END)::DOUBLE AS score FROM q a JOIN q b ON a.id <> b.id)
         SELECT id, other, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INTEGER AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 3""",
+    "duplicate_people": """WITH p AS (SELECT s_suppkey AS id, lower(s_name || ' ' || (s_suppkey % 9)) AS name, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey || '@' || (s_suppkey % 4) END AS email, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 30 END AS bar FROM supplier), q AS (SELECT *, list_distinct(regexp_split_to_array(name, '\\s+')) AS t FROM p),
+        s AS (SELECT a.id, b.id AS other, greatest(CASE WHEN a.bar = b.bar THEN 1 END, CASE WHEN a.email = b.email THEN 0.95 END, CASE WHEN levenshtein(a.name, b.name) <= 2 THEN 0.9 - levenshtein(a.name, b.name) * 0.1 END, CASE WHEN len(list_intersect(a.t, b.t)) * 100.0 / len(list_distinct(a.t || b.t)) >= 50 THEN 0.8 * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END)::DOUBLE AS score FROM q a JOIN q b ON a.id <> b.id)
+        SELECT id, other, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INTEGER AS rank FROM s WHERE score IS NOT NULL QUALIFY rank <= 3""",
     "slot_suggestion": f"""WITH {_SLOTS}, r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS kind, o_orderpriority AS p, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::DATE END AS day FROM orders),
         s AS (SELECT a.k, u.slot, b.k AS target, round(1 + coalesce(1 / (1 + date_diff('day', b.day, a.day) / 30.0::DOUBLE), 0) + 0.6::DOUBLE * (a.p = b.p)::INTEGER, 6) AS score
               FROM r a JOIN rules u ON u.kind = a.kind JOIN r b ON b.c = a.c AND b.k <> a.k AND b.kind = u.target_kind AND coalesce(b.day <= a.day, true)),
