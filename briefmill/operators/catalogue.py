@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
+import hashlib
+import json
+import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -202,3 +207,77 @@ def annotation_marker(kind: Column, author: Column, comment: Column, covered: Co
     names = {"strikeout": "STRUCK THROUGH", "highlight": "HIGHLIGHTED", "underline": "UNDERLINED", "squiggly": "SQUIGGLY UNDERLINED"}
     done = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind]
     return F.when(kind == "comment", F.concat(F.lit("[COMMENT"), by, F.lit("] "), F.coalesce(comment, F.lit("")))).otherwise(F.concat(F.lit("["), done, by, said, F.lit("] "), cut))
+
+
+_COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+def tag_is(tags: Column, path: str, op: str, value) -> Column:
+    """A JSON document's tag at ``path`` (a.b) against a literal, by the literal's type: flag, number, date, reference ('@id') or text.
+
+    Tags of another type, missing tags and JSON that is none fit nothing, but ``!=``, which holds where the tag is not
+    that value. A flag is also 1 or 0, or a marker ('M'), as older rows write it.
+    """
+    doc = F.try_parse_json(tags)
+    got = lambda kind: F.try_variant_get(doc, f"$.{path}", kind)
+    if isinstance(value, bool):
+        flag = F.lower(got("string"))
+        known = F.when(flag.isin("true", "1", "m"), True).when(flag.isin("false", "0"), False)
+        fits = _COMPARE[op](known, F.lit(value))
+    elif isinstance(value, int | float):
+        fits = _COMPARE[op](got("double"), F.lit(float(value)))
+    elif isinstance(value, dt.date):
+        fits = _COMPARE[op](F.try_to_date(got("string"), "yyyy-MM-dd"), F.lit(value))
+    else:
+        fits = _COMPARE[op](got("string"), F.lit(value))
+    return F.coalesce(fits, F.lit(op == "!="))
+
+
+def missing_slots(slots: Mapping[str, Column]) -> Column:
+    """The names of the slots that are null or blank, in their order."""
+    return F.array_compact(F.array(*[F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) == "", F.lit(name)) for name, c in slots.items()]))
+
+
+def gathered(children: DataFrame, explicit: str, other: str, key: str) -> DataFrame:
+    """(parent, children): each parent's children in order, by the ``explicit`` parent or else by the ``other``; none is its own."""
+    parent = F.coalesce(explicit, other)
+    rows = children.where(parent.isNotNull() & ~parent.eqNullSafe(F.col(key)))
+    return rows.groupBy(parent.alias("parent")).agg(F.array_sort(F.collect_list(key)).alias("children"))
+
+
+def dictionary_ratio(texts: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, ratio): the words of letters in each text, and the share of them in ``dictionary`` (word); null without words.
+
+    Each text's words are counted before they are joined; ids are unique.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]+"), F.lit(0))
+    each = texts.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    told = each.join(dictionary.select("word", F.lit(1).alias("known")).distinct(), "word", "left").groupBy("id").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"))
+    return texts.select(F.col(id_col).alias("id")).join(told, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n"), "ratio")
+
+
+def cursor(pattern: str, scope: Mapping, last: Sequence) -> str:
+    """An opaque mark of where a page of a scan ended, good for the same pattern and scope only."""
+    told = {"print": _print(pattern, scope), "last": list(last)}
+    return base64.urlsafe_b64encode(json.dumps(told).encode()).decode()
+
+
+def _print(pattern: str, scope: Mapping) -> str:
+    return hashlib.sha256(json.dumps([pattern, sorted((k, v) for k, v in scope.items())]).encode()).hexdigest()[:16]
+
+
+def after_cursor(rows: DataFrame, mark: str | None, pattern: str, scope: Mapping, keys: Sequence[str], limit: int) -> DataFrame:
+    """The next page of ``rows`` by ``keys``, at most 200 rows; a mark of another pattern or scope, or none at all, is an error."""
+    if mark is not None:
+        try:
+            told = json.loads(base64.urlsafe_b64decode(mark.encode()))
+            same, last = told["print"] == _print(pattern, scope), told["last"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError("not a cursor of this scan") from e
+        if not same or len(last) != len(keys):
+            raise ValueError("the cursor belongs to another pattern or scope")
+        later = F.lit(False)
+        for k, v in reversed(list(zip(keys, last))):
+            later = (F.col(k) > F.lit(v)) | ((F.col(k) == F.lit(v)) & later)
+        rows = rows.where(later)
+    return rows.orderBy(*keys).limit(min(limit, 200))

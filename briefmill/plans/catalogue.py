@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefmill.operators import catalogue as c
+from briefmill.operators import ocr_gate as gate
 from briefmill.sources.tables import table
 
 
@@ -110,7 +113,44 @@ def annotation_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.alias("marker"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers)}
+def tag_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by their tags, one column a predicate: a flag, a number, a date, a reference, a text, and one of another type."""
+    k = F.col("o_orderkey")
+    flag = F.when(k % 4 == 0, F.lit("true")).when(k % 4 == 1, F.lit("false")).when(k % 4 == 2, F.lit('"M"'))
+    whole = F.concat(F.lit('{"a": {"flag": '), F.coalesce(flag, F.lit("null")), F.lit(', "price": '), F.col("o_totalprice").cast("string"), F.lit(', "day": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"}, "by": "@'), F.col("o_custkey").cast("string"), F.lit('", "kind": "'), "o_orderpriority", F.lit('"}'))
+    o = table(spark, d, "orders").select(k, F.when(k % 17 != 0, whole).otherwise("{broken").alias("tags"))
+    t = F.col("tags")
+    asked = {
+        "flagged": c.tag_is(t, "a.flag", "==", True), "unflagged": c.tag_is(t, "a.flag", "!=", True), "dear": c.tag_is(t, "a.price", ">", 250_000), "late": c.tag_is(t, "a.day", ">=", dt.date(1996, 2, 29)),
+        "own": c.tag_is(t, "by", "==", "@7"), "urgent": c.tag_is(t, "kind", "==", "1-URGENT"), "odd": c.tag_is(t, "kind", "<", 5), "none": c.tag_is(t, "absent", "!=", "x"),
+    }
+    return o.select("o_orderkey", *[x.alias(n) for n, x in asked.items()])
+
+
+def slots_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that lack slots, with a label that falls back: a line, a label of the customer, a flag."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("flag"))
+    x = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("mark", F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise("m"))
+    lacks = c.missing_slots({"part": F.col("part"), "flag": F.col("flag"), "mark": F.col("mark")})
+    label = F.coalesce(F.nullif(F.trim("mark"), F.lit("")), "flag", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    return x.select("o_orderkey", F.array_join(lacks, ",").alias("missing"), label.alias("label")).where("missing <> ''")
+
+
+def rulings_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rulings on the order they name, or else on their customer's number; none on itself."""
+    k = F.col("o_orderkey")
+    x = table(spark, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, F.floor(k / 5)).alias("resolves"), F.when(k % 4 != 0, F.col("o_custkey")).alias("motion"))
+    return c.gathered(x, "resolves", "motion", "id").select("parent", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+
+
+def known_words(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each document's words that thirty documents or more have."""
+    docs = table(spark, d, "documents")
+    got = c.dictionary_ratio(docs, gate.common_words(docs, 30))
+    return got.withColumn("ratio", F.round("ratio", 6))
+
+
+QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers, tag_predicates, slots_missing, rulings_of_orders, known_words)}
 
 _PLAIN = r"lower(trim(regexp_replace(regexp_replace({}, '[0-9]+', '#', 'g'), '\s+', ' ', 'g')))"
 
@@ -153,6 +193,17 @@ ORACLE = {
         SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN fault IS NULL THEN -score END, place, id)::INTEGER AS rank, fault FROM o JOIN f USING (query)""",
     "merged_candidates": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE ' ' || replace(p_name, ' ', '  ') END AS name, lower(p_name) AS key, CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS bar, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS email FROM part)
         SELECT key, arg_min(name, k) AS name, count(*) AS n, arg_min(bar, k) FILTER (bar <> '') AS bar, arg_min(email, k) FILTER (email <> '') AS email FROM p GROUP BY key""",
+    "tag_predicates": """SELECT o_orderkey, ok AND o_orderkey % 4 IN (0, 2) AS flagged, NOT (ok AND o_orderkey % 4 IN (0, 2)) AS unflagged, ok AND o_totalprice > 250000 AS dear, ok AND o_orderdate::DATE >= DATE '1996-02-29' AS late,
+        ok AND o_custkey = 7 AS own, ok AND o_orderpriority = '1-URGENT' AS urgent, false AS odd, true AS none FROM (SELECT *, o_orderkey % 17 <> 0 AS ok FROM orders)""",
+    "slots_missing": """WITH l AS (SELECT l_orderkey, min(l_partkey) AS part, max(l_returnflag) FILTER (l_returnflag <> 'N') AS flag FROM lineitem GROUP BY 1),
+        x AS (SELECT o_orderkey, concat_ws(',', CASE WHEN part IS NULL THEN 'part' END, CASE WHEN flag IS NULL THEN 'flag' END, CASE WHEN o_orderkey % 3 = 0 THEN 'mark' END) AS missing, CASE WHEN o_orderkey % 3 <> 0 THEN 'm' ELSE coalesce(flag, 'order ' || o_orderkey) END AS label FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+        SELECT * FROM x WHERE missing <> ''""",
+    "rulings_of_orders": """WITH x AS (SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 5 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END) AS parent FROM orders)
+        SELECT parent, array_to_string(list(id ORDER BY id), ',') AS children FROM x WHERE parent <> id GROUP BY 1""",
+    "known_words": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w, regexp_split_to_array(text, '\\s+') AS tok FROM documents),
+        d AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_transform(list_filter(tok, lambda x: regexp_full_match(x, '[A-Za-z]+')), lambda x: lower(x)))) AS word FROM t) GROUP BY 1 HAVING count(*) >= 30),
+        e AS (SELECT doc_id, unnest(w) AS word FROM t), r AS (SELECT doc_id, count(*) AS n, count(d.word) / count(*) AS ratio FROM e LEFT JOIN d USING (word) GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n, round(ratio, 6) AS ratio FROM t LEFT JOIN r USING (doc_id)""",
     "annotation_markers": """WITH x AS (SELECT p_partkey, p_partkey % 5 AS kind, CASE WHEN p_partkey % 2 = 0 THEN ' by ' || p_brand ELSE '' END AS who, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS said, repeat(p_type, p_partkey % 12) AS t FROM part)
         SELECT p_partkey, CASE WHEN kind = 4 THEN '[COMMENT' || who || '] ' || coalesce(said, '') ELSE '[' || ['STRUCK THROUGH', 'HIGHLIGHTED', 'UNDERLINED', 'SQUIGGLY UNDERLINED'][kind + 1] || who || CASE WHEN said IS NULL THEN '' ELSE ': "' || said || '"' END || '] '
         || CASE WHEN t = '' THEN '' ELSE '"' || substr(t, 1, 100) || CASE WHEN length(t) > 100 THEN '...' ELSE '' END || '"' END END AS marker FROM x""",

@@ -62,3 +62,27 @@ def test_reranking_falls_back(spark):
     for r in c.reranked(df).orderBy("query", "rank").collect():
         got.setdefault(r["query"], (r["fault"], []))[1].append(r["id"])
     assert got == {"ok": (None, [1, 2, 0]), "same": ("identical", [0, 1]), "nan": ("nan", [0, 1]), "null": ("nan", [0, 1]), "neg": ("negative", [0, 1]), "low": ("low", [0, 1]), "even": ("even", [0, 1, 2]), "one": ("identical", [0])}
+
+
+def test_tags_by_the_literals_type(spark):
+    told = ['{"f": true, "n": 5, "s": "x", "d": "2024-01-05"}', '{"f": 1, "n": "5"}', '{"f": "M"}', '{"f": false, "n": null}', "{", None, "{}"]
+    df = spark.createDataFrame(list(enumerate(told)), "i int, t string")
+    ask = lambda *a: [r["i"] for r in df.where(c.tag_is(F.col("t"), *a)).orderBy("i").collect()]
+    assert ask("f", "==", True) == [0, 1, 2] and ask("f", "==", False) == [3] and ask("f", "!=", True) == [3, 4, 5, 6]
+    assert ask("n", ">=", 5) == [0, 1] and ask("n", "<", 5) == [] and ask("s", "==", "x") == [0] and ask("s", "<", 7) == []
+    import datetime as dt
+
+    assert ask("d", "<", dt.date(2024, 2, 1)) == [0] and ask("d", "!=", dt.date(2024, 1, 5)) == [1, 2, 3, 4, 5, 6]
+
+
+def test_cursors_and_children(spark):
+    df = spark.createDataFrame([(i // 3, i % 3) for i in range(10)], "a int, b int")
+    first = c.after_cursor(df, None, "p", {"case": 1}, ["a", "b"], 4).collect()
+    mark = c.cursor("p", {"case": 1}, list(first[-1]))
+    rest = c.after_cursor(df, mark, "p", {"case": 1}, ["a", "b"], 500).collect()
+    assert [tuple(r) for r in first + rest] == [(i // 3, i % 3) for i in range(10)]
+    for bad in ((mark, "q", {"case": 1}), (mark, "p", {"case": 2}), ("zz", "p", {"case": 1})):
+        with pytest.raises(ValueError):
+            c.after_cursor(df, *bad, ["a", "b"], 4)
+    kids = spark.createDataFrame([(1, None, 5), (2, 5, 9), (3, 3, 5), (4, None, None), (6, None, 6)], "id int, resolves int, motion int")
+    assert rows(c.gathered(kids, "resolves", "motion", "id")) == [(5, [1, 2])]
