@@ -42,6 +42,14 @@ def line_tolerant_scan(spark: SparkSession, d: str) -> DataFrame:
     return x.crossing_lines(docs, "the of").select("doc_id", "crosses")
 
 
+def crossing_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as numbered pages: which hold a pattern in one line, and which only across a printed line's end."""
+    li = table(spark, d, "lineitem")
+    line = F.struct("l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit("  "), "l_returnflag", F.lit(" "), "l_linestatus").alias("line"))
+    pages = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda y: y["line"]), "\n").alias("text"))
+    return x.crossing_lines(pages, "O N|R F").select("l_orderkey", "crosses")
+
+
 def proven_absence(spark: SparkSession, d: str) -> DataFrame:
     return x.absence(table(spark, d, "documents"), r"software", ["source"])
 
@@ -215,7 +223,7 @@ def nocase_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy(F.lower("p_name"), "p_partkey").limit(30)
 
 
-QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, duplicate_people, link_suggestion, slot_suggestion, slot_verdicts, set_operations, path_values, nocase_order)}
+QUERIES = {f.__name__: f for f in (bool_filter_scan, in_collapse_or, scan_paged, keyset_page, pattern_scan, line_tolerant_scan, crossing_scan, proven_absence, semi_join_relationship, anti_join_relationship, three_hop_predicate, json_marker_filter, json_missing_marker, null_keeping_inequality, polymorphic_roles, hydrate, range_join_narrowest, interval_overlap, folder_survey, prefix_containment, exists_child, sole_document, courts_of_people, oldest_per_parent, grouped_children, coalesce_merge, similar_people, duplicate_people, link_suggestion, slot_suggestion, slot_verdicts, set_operations, path_values, nocase_order)}
 
 _TOK = "' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' '"
 _RANGES = "o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders), r AS (SELECT o_custkey, o_orderkey AS range_id, day AS start, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE day + o_orderkey % 400 END AS stop FROM o)"
@@ -228,6 +236,8 @@ ORACLE = {
     "scan_paged": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 40",
     "keyset_page": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber LIMIT 50",
     "pattern_scan": f"WITH {_PASSAGES}, m AS (SELECT id, text, regexp_extract(text, '(?i)licensed? under the [A-Z]\\w+') AS match FROM p WHERE regexp_matches(text, '(?i)licensed? under the [A-Z]\\w+')) SELECT id, match, instr(text, match)::INTEGER AS at FROM m",
+    "crossing_scan": r"""WITH p AS (SELECT l_orderkey, string_agg(l_linenumber || '  ' || l_returnflag || ' ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_linestatus) AS text FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, NOT regexp_matches(text, '(?i)O N|R F') AS crosses FROM p WHERE regexp_matches(text, '(?i)O\s+(?:\d{1,3}\s+)?N|R\s+(?:\d{1,3}\s+)?F')""",
     "line_tolerant_scan": r"SELECT doc_id, NOT regexp_matches(text, '(?i)the of') AS crosses FROM documents WHERE regexp_matches(text, '(?i)the\s+(?:\d{1,3}\s+)?of')",
     "proven_absence": "SELECT source, count(*) AS searched, count(*) FILTER (regexp_matches(text, '(?i)software')) AS matched, count(*) FILTER (regexp_matches(text, '(?i)software')) = 0 AS absent FROM documents GROUP BY source",
     "semi_join_relationship": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
