@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from briefmill.operators import catalogue as c
 from briefmill.operators import ocr_gate as gate
+from briefmill.sources import files
 from briefmill.sources.tables import table
 
 
@@ -150,7 +151,32 @@ def known_words(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("ratio", F.round("ratio", 6))
 
 
-QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers, tag_predicates, slots_missing, rulings_of_orders, known_words)}
+def enriched_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as they are read: the customer's label and nation, the first line, how many suppliers, tags without references to itself."""
+    o, cu, n, li = (table(spark, d, t) for t in ("orders", "customer", "nation", "lineitem"))
+    lines = li.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"), F.count_distinct("l_suppkey").alias("suppliers"))
+    own = F.col("o_orderkey") % 11 == 0
+    x = o.join(cu, F.col("c_custkey") == F.col("o_custkey"), "left").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    ref = F.when(~own, F.concat(F.lit("@"), F.floor(F.col("o_orderkey") / 2).cast("string")))
+    label = F.coalesce("c_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string")))
+    return x.select("o_orderkey", label.alias("label"), F.col("n_name").alias("nation"), "first_part", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), ref.alias("ref"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+def ensured_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations by name, with those that customers' segments would need and that are not there yet."""
+    n = table(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("key"))
+    wanted = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("NATION_"), (F.col("c_custkey") % 40).cast("string"))).otherwise(F.col("c_mktsegment")).alias("n_name"), F.col("c_custkey").cast("long").alias("key"))
+    return files.ensured(n, wanted, "n_name")
+
+
+def orphan_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Users' errors without any purchase: how many, and the first."""
+    e = table(spark, d, "events")
+    bad = e.where("event_type = 'error'").join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_anti")
+    return bad.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("sample"))
+
+
+QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers, tag_predicates, slots_missing, rulings_of_orders, known_words, enriched_orders, ensured_nations, orphan_errors)}
 
 _PLAIN = r"lower(trim(regexp_replace(regexp_replace({}, '[0-9]+', '#', 'g'), '\s+', ' ', 'g')))"
 
@@ -204,6 +230,12 @@ ORACLE = {
         d AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_transform(list_filter(tok, lambda x: regexp_full_match(x, '[A-Za-z]+')), lambda x: lower(x)))) AS word FROM t) GROUP BY 1 HAVING count(*) >= 30),
         e AS (SELECT doc_id, unnest(w) AS word FROM t), r AS (SELECT doc_id, count(*) AS n, count(d.word) / count(*) AS ratio FROM e LEFT JOIN d USING (word) GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n, round(ratio, 6) AS ratio FROM t LEFT JOIN r USING (doc_id)""",
+    "enriched_orders": """WITH l AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1)
+        SELECT o_orderkey, coalesce(c_name, 'customer ' || o_custkey) AS label, n_name AS nation, first_part, coalesce(suppliers, 0) AS suppliers, CASE WHEN o_orderkey % 11 <> 0 THEN '@' || (o_orderkey // 2) END AS ref, strftime(o_orderdate, '%Y-%m-%d') AS day
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l ON l_orderkey = o_orderkey""",
+    "ensured_nations": """WITH w AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || (c_custkey % 40) ELSE c_mktsegment END AS n_name, c_custkey AS key FROM customer)
+        SELECT n_name, n_nationkey::BIGINT AS key FROM nation UNION ALL SELECT n_name, min(key) FROM w WHERE n_name NOT IN (SELECT n_name FROM nation) GROUP BY 1""",
+    "orphan_errors": "SELECT user_id, count(*) AS n, min(event_id) AS sample FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase') GROUP BY 1",
     "annotation_markers": """WITH x AS (SELECT p_partkey, p_partkey % 5 AS kind, CASE WHEN p_partkey % 2 = 0 THEN ' by ' || p_brand ELSE '' END AS who, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS said, repeat(p_type, p_partkey % 12) AS t FROM part)
         SELECT p_partkey, CASE WHEN kind = 4 THEN '[COMMENT' || who || '] ' || coalesce(said, '') ELSE '[' || ['STRUCK THROUGH', 'HIGHLIGHTED', 'UNDERLINED', 'SQUIGGLY UNDERLINED'][kind + 1] || who || CASE WHEN said IS NULL THEN '' ELSE ': "' || said || '"' END || '] '
         || CASE WHEN t = '' THEN '' ELSE '"' || substr(t, 1, 100) || CASE WHEN length(t) > 100 THEN '...' ELSE '' END || '"' END END AS marker FROM x""",
