@@ -281,3 +281,38 @@ def after_cursor(rows: DataFrame, mark: str | None, pattern: str, scope: Mapping
             later = (F.col(k) > F.lit(v)) | ((F.col(k) == F.lit(v)) & later)
         rows = rows.where(later)
     return rows.orderBy(*keys).limit(min(limit, 200))
+
+
+#: attempts after which a page is given up
+MOST_ATTEMPTS = 3
+
+
+def repair_code() -> Column:
+    """Why a page that was tried is still not there, from the columns error, rejected, inked and empty; the first that tells."""
+    return (
+        F.when(F.lower("error").contains("dimension"), "dimension-mismatch").when(F.col("error") != "", "reindex-request-failed").when(F.col("rejected"), "ocr-quality-rejected")
+        .when(F.col("inked"), "image-only").when(F.col("empty"), "ocr-empty").otherwise("unknown")
+    )
+
+
+def repaired(state: DataFrame, tried: DataFrame) -> DataFrame:
+    """The state (doc, page, attempts, code, terminal) of pages after a round of repairs.
+
+    ``tried`` has doc, page, still (missing), error, rejected, inked and empty, one row a page. Pages that are there now
+    leave the state; those still missing count an attempt, unless the request or the recognition failed, which is not the page's
+    fault. Wrong dimensions and image-only pages are terminal at once, others at the third attempt. Other pages stay.
+    """
+    now = tried.select("doc", "page", "still", repair_code().alias("_code"))
+    both = state.withColumn("_had", F.lit(True)).join(now, ["doc", "page"], "full")
+    infra = F.col("_code").isin("reindex-request-failed", "ocr-quality-rejected")
+    attempts = F.coalesce("attempts", F.lit(0)) + F.when(infra, 0).otherwise(1)
+    terminal = ~infra & (F.col("_code").isin("dimension-mismatch", "image-only") | (attempts >= MOST_ATTEMPTS))
+    kept = both.where(F.col("still").isNull() | F.col("still"))
+    new = lambda value, old: F.when(F.col("still").isNull(), F.col(old)).otherwise(value).alias(old)
+    return kept.select("doc", "page", new(attempts, "attempts"), new(F.col("_code"), "code"), new(terminal, "terminal"))
+
+
+def to_repair(missing: DataFrame, state: DataFrame) -> DataFrame:
+    """(doc, page, eligible) of ``missing`` pages (doc, page): all but those that the state gives up."""
+    gone = state.where("terminal").select("doc", "page", F.lit(True).alias("_t")).distinct()
+    return missing.join(gone, ["doc", "page"], "left").select("doc", "page", F.col("_t").isNull().alias("eligible"))

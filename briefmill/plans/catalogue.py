@@ -176,7 +176,16 @@ def orphan_errors(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("sample"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers, tag_predicates, slots_missing, rulings_of_orders, known_words, enriched_orders, ensured_nations, orphan_errors)}
+def repair_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Pages (order, line) after a round of repairs, with which of the missing ones may be tried again."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    state = li.where("p % 3 = 0").select("doc", "page", (F.col("p") % 4).cast("int").alias("attempts"), F.lit("ocr-empty").alias("code"), (F.col("p") % 4 == 3).alias("terminal"))
+    tried = li.where("s % 4 <> 0").select("doc", "page", (F.col("s") % 5 != 0).alias("still"), F.when(F.col("s") % 7 == 0, "bad Dimension").when(F.col("s") % 7 == 1, "timeout").otherwise("").alias("error"), (F.col("s") % 7 == 2).alias("rejected"), (F.col("s") % 7 == 3).alias("inked"), (F.col("s") % 7 < 6).alias("empty"))
+    after = c.repaired(state, tried)
+    return c.to_repair(after.select("doc", "page"), after).join(after, ["doc", "page"])
+
+
+QUERIES = {f.__name__: f for f in (metadata_filters, unfiled_page, source_documents, committed_patches, tag_check, origins, repeated_pages, printed_page_lines, rerank_fallback, merged_candidates, annotation_markers, tag_predicates, slots_missing, rulings_of_orders, known_words, enriched_orders, ensured_nations, orphan_errors, repair_rounds)}
 
 _PLAIN = r"lower(trim(regexp_replace(regexp_replace({}, '[0-9]+', '#', 'g'), '\s+', ' ', 'g')))"
 
@@ -236,6 +245,12 @@ ORACLE = {
     "ensured_nations": """WITH w AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || (c_custkey % 40) ELSE c_mktsegment END AS n_name, c_custkey AS key FROM customer)
         SELECT n_name, n_nationkey::BIGINT AS key FROM nation UNION ALL SELECT n_name, min(key) FROM w WHERE n_name NOT IN (SELECT n_name FROM nation) GROUP BY 1""",
     "orphan_errors": "SELECT user_id, count(*) AS n, min(event_id) AS sample FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase') GROUP BY 1",
+    "repair_rounds": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS page, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+        x AS (SELECT doc, page, CASE WHEN p % 3 = 0 THEN p % 4 END AS had, s % 4 <> 0 AS tried, s % 5 <> 0 AS still, s % 7 AS k FROM l WHERE p % 3 = 0 OR s % 4 <> 0),
+        y AS (SELECT *, CASE WHEN NOT tried THEN 'ocr-empty' ELSE ['dimension-mismatch', 'reindex-request-failed', 'ocr-quality-rejected', 'image-only', 'ocr-empty', 'ocr-empty', 'unknown'][(k + 1)::INTEGER] END AS code,
+              (coalesce(had, 0) + CASE WHEN tried AND k NOT IN (1, 2) THEN 1 ELSE 0 END)::INTEGER AS attempts FROM x WHERE NOT tried OR still),
+        z AS (SELECT *, CASE WHEN NOT tried THEN had = 3 ELSE k IN (0, 3) OR (k NOT IN (1, 2) AND attempts >= 3) END AS terminal FROM y)
+        SELECT doc, page, NOT terminal AS eligible, attempts, code, terminal FROM z""",
     "annotation_markers": """WITH x AS (SELECT p_partkey, p_partkey % 5 AS kind, CASE WHEN p_partkey % 2 = 0 THEN ' by ' || p_brand ELSE '' END AS who, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS said, repeat(p_type, p_partkey % 12) AS t FROM part)
         SELECT p_partkey, CASE WHEN kind = 4 THEN '[COMMENT' || who || '] ' || coalesce(said, '') ELSE '[' || ['STRUCK THROUGH', 'HIGHLIGHTED', 'UNDERLINED', 'SQUIGGLY UNDERLINED'][kind + 1] || who || CASE WHEN said IS NULL THEN '' ELSE ': "' || said || '"' END || '] '
         || CASE WHEN t = '' THEN '' ELSE '"' || substr(t, 1, 100) || CASE WHEN length(t) > 100 THEN '...' ELSE '' END || '"' END END AS marker FROM x""",
