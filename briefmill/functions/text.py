@@ -6,15 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def citation(kind: Column, volume: Column, volumes: Column, page: Column, first: Column, last: Column, supplement: Column | None = None) -> Column:
-    """'3 RR 12:4-9' style: the volume if there are several, page and lines; supplements by ordinal first."""
-    lines = F.when(first.isNull(), F.lit("")).when(last.isNull() | (last == first), F.concat(F.lit(":"), first.cast("string"))).otherwise(F.concat(F.lit(":"), first.cast("string"), F.lit("-"), last.cast("string")))
-    vol = F.when(volumes > 1, F.concat(volume.cast("string"), F.lit(" "))).otherwise("")
-    head = F.lit("")
-    if supplement is not None:
-        end = F.when(supplement % 100 == 11, "th").when(supplement % 100 == 12, "th").when(supplement % 100 == 13, "th").when(supplement % 10 == 1, "st").when(supplement % 10 == 2, "nd").when(supplement % 10 == 3, "rd").otherwise("th")
-        head = F.when(supplement == 1, "Supp. ").when(supplement > 1, F.concat(supplement.cast("string"), end, F.lit(" Supp. "))).otherwise("")
-    return F.concat(head, vol, kind, F.lit(" "), page.cast("string"), lines)
+def citation(kind: Column, volume: Column, volumes: Column, page: Column, first: Column, last: Column, supplement: Column, case: Column) -> Column:
+    """(full, short, type) of a page: '3 2nd Supp. RR 12:4-9' for a reporter's record, '3 CR 12' for a clerk's, which has no
+    lines, and 'Exhibit Vol. 3, p. 12' for others; the full one begins with the case's number.
+
+    The volume, 1 where it is null, is shown if there are several, for others only where it is known. ``supplement`` is
+    null or 0 for none; other kinds than the records do not tell it.
+    """
+    plain = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    clerk = plain.contains("clerk") | (plain == "cr")
+    reporter = ~clerk & (plain.contains("reporter") | (plain == "rr"))
+    teen = (supplement % 100).between(11, 13)
+    end = F.when(teen, "th").when(supplement % 10 == 1, "st").when(supplement % 10 == 2, "nd").when(supplement % 10 == 3, "rd").otherwise("th")
+    supp = F.when(supplement > 1, F.concat(supplement.cast("string"), end, F.lit(" Supp. "))).when(supplement == 1, "Supp. ").otherwise("")
+    several = F.coalesce(volumes, F.lit(0)) > 1
+    vol = F.when(several, F.concat(F.coalesce(volume, F.lit(1)).cast("string"), F.lit(" "))).otherwise("")
+    lines = F.when(first.isNull(), "").when(last.isNull() | (last == first), F.concat(F.lit(":"), first.cast("string"))).otherwise(F.concat(F.lit(":"), first.cast("string"), F.lit("-"), last.cast("string")))
+    number = page.cast("string")
+    name = F.when(clerk, "CR").when(reporter, "RR")
+    record = F.concat(vol, supp, name, F.lit(" "), number, F.when(reporter, lines).otherwise(""))
+    label = F.coalesce(F.nullif(kind, F.lit("")), F.lit("Doc"))
+    other = F.concat(label, F.when(several & (volume > 0), F.concat(F.lit(" Vol. "), volume.cast("string"), F.lit(","))).otherwise(""), F.lit(" p. "), number)
+    short = F.when(clerk | reporter, record).otherwise(other)
+    full = F.when(F.coalesce(case, F.lit("")) != "", F.concat(case, F.lit(" "), short)).otherwise(short)
+    return F.struct(full.alias("full"), short.alias("short"), F.when(name.isNull(), "generic").when(supp != "", F.concat(F.lit("Supp. "), name)).otherwise(name).alias("type"))
 
 
 def truncate_middle(text: Column, limit: int) -> Column:

@@ -189,10 +189,12 @@ def selection_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_format(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as pages of records, with volumes, lines, supplements and case numbers that some lack."""
     x = table(spark, d, "lineitem")
-    kind = F.when(F.col("l_returnflag") == "N", "CR").when(F.col("l_returnflag") == "R", "RR").otherwise("Rec.")
-    c = t.citation(kind, F.col("l_linenumber"), F.col("l_orderkey") % 3, F.col("l_quantity").cast("int"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_partkey") % 25 + 1), F.col("l_suppkey") % 25 + 1, F.col("l_orderkey") % 14)
-    return x.select("l_orderkey", "l_linenumber", c.alias("citation"))
+    k, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    kind = F.when(F.col("l_returnflag") == "N", "Clerk's Record").when(F.col("l_returnflag") == "R", "rr").when(p % 2 == 0, "Exhibit")
+    made = t.citation(kind, F.when(n < 6, n), k % 3, F.col("l_quantity").cast("int"), F.when(p % 4 != 0, p % 25 + 1), F.when(p % 3 != 0, F.col("l_suppkey") % 25 + 1), F.when(k % 14 != 0, k % 14), F.when(p % 5 != 0, F.concat(F.lit("D-1-"), k.cast("string"))))
+    return x.select("l_orderkey", "l_linenumber", made.alias("c")).select("l_orderkey", "l_linenumber", "c.full", "c.short", "c.type")
 
 
 def truncate_and_snippet(spark: SparkSession, d: str) -> DataFrame:
@@ -336,9 +338,11 @@ ORACLE = {
     "related_entities": "WITH m AS (SELECT DISTINCT l_orderkey, 1 AS why, l_suppkey AS class FROM lineitem UNION SELECT DISTINCT l_orderkey, 2, l_partkey FROM lineitem) SELECT l_orderkey, why, class, count(*) OVER (PARTITION BY why, class) - 1 AS others FROM m",
     "unconnected": f"WITH {_EDGES} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
     "selection_state": "SELECT l_orderkey, CASE count(*) FILTER (l_returnflag = 'N') WHEN 0 THEN 'none' WHEN count(*) THEN 'all' ELSE 'some' END AS state FROM lineitem GROUP BY 1",
-    "citation_format": """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 14 = 0 THEN '' WHEN l_orderkey % 14 = 1 THEN 'Supp. ' ELSE (l_orderkey % 14) || CASE l_orderkey % 14 WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || ' Supp. ' END
-        || CASE WHEN l_orderkey % 3 > 1 THEN l_linenumber || ' ' ELSE '' END || CASE l_returnflag WHEN 'N' THEN 'CR' WHEN 'R' THEN 'RR' ELSE 'Rec.' END || ' ' || floor(l_quantity)::INTEGER
-        || CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 25 = l_suppkey % 25 THEN ':' || (l_partkey % 25 + 1) ELSE ':' || (l_partkey % 25 + 1) || '-' || (l_suppkey % 25 + 1) END AS citation FROM lineitem""",
+    "citation_format": """WITH x AS (SELECT *, floor(l_quantity)::INTEGER AS page, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS vol, l_orderkey % 3 > 1 AS many, CASE l_orderkey % 14 WHEN 0 THEN '' WHEN 1 THEN 'Supp. ' WHEN 2 THEN '2nd Supp. ' WHEN 3 THEN '3rd Supp. ' ELSE (l_orderkey % 14) || 'th Supp. ' END AS supp FROM lineitem),
+        y AS (SELECT *, CASE l_returnflag WHEN 'N' THEN CASE WHEN many THEN coalesce(vol, 1) || ' ' ELSE '' END || supp || 'CR ' || page
+            WHEN 'R' THEN CASE WHEN many THEN coalesce(vol, 1) || ' ' ELSE '' END || supp || 'RR ' || page || CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 3 = 0 OR l_partkey % 25 = l_suppkey % 25 THEN ':' || (l_partkey % 25 + 1) ELSE ':' || (l_partkey % 25 + 1) || '-' || (l_suppkey % 25 + 1) END
+            ELSE CASE WHEN l_partkey % 2 = 0 THEN 'Exhibit' ELSE 'Doc' END || CASE WHEN many AND vol IS NOT NULL THEN ' Vol. ' || vol || ',' ELSE '' END || ' p. ' || page END AS short FROM x)
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 <> 0 THEN 'D-1-' || l_orderkey || ' ' ELSE '' END || short AS "full", short, CASE WHEN l_returnflag = 'A' THEN 'generic' ELSE CASE WHEN supp <> '' THEN 'Supp. ' ELSE '' END || CASE l_returnflag WHEN 'N' THEN 'CR' ELSE 'RR' END END AS type FROM y""",
     "truncate_and_snippet": "WITH x AS (SELECT doc_id, text, instr(lower(text), 'license') AS pos FROM documents) SELECT doc_id, CASE WHEN length(text) <= 105 THEN text ELSE substr(text, 1, 50) || ' ... ' || right(text, 50) END AS short, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 60), pos - greatest(1, pos - 60) + 140) END AS snippet FROM x",
     "line_tests": f"WITH {_PASSAGES} SELECT id, length(text) <= 120 AND (regexp_matches(text, '^[A-Z][A-Z0-9 ,.''&-]{{3,}}$') OR regexp_matches(text, '^(?:[IVXLC]+|[A-Z]|\\d{{1,3}})\\.\\s+\\S')) AS heading, length(text)::INTEGER AS n FROM p",
     "draft_detection": "SELECT doc_id, round(greatest(0.0, least(1.0, CASE WHEN regexp_matches(text, '(?i)\\bdraft\\b') THEN 0.5 ELSE 0 END + least(0.3, 0.1 * len(regexp_extract_all(text, '_{4,}|\\[[^\\]]{0,40}\\]|(?i:\\btbd\\b)'))) + CASE WHEN regexp_matches(text, '(?i)\\b(?:filed|received|e-filed)\\b') THEN -0.4 ELSE 0.1 END + CASE WHEN regexp_matches(source, '(?i)final|filed') THEN -0.2 ELSE 0 END)), 6)::DOUBLE AS draft FROM documents",

@@ -66,7 +66,16 @@ def test_packing_skips_what_does_not_fit(spark):
     assert got == {("a", 0, 5), ("a", 2, 4), ("a", 3, 1), ("b", 1, 10), (None, 3, 4)}
 
 
-def test_ordinals_of_supplements(spark):
-    c = lambda n: citation(F.lit("RR"), F.lit(2), F.lit(3), F.lit(12), F.lit(4), F.lit(9), F.lit(n))
-    got = spark.range(1).select(*[c(n).alias(f"c{n}") for n in (0, 1, 2, 3, 4, 11, 12, 13, 21, 22)]).first()
-    assert list(got) == [f"{p}2 RR 12:4-9" for p in ("", "Supp. ", "2nd Supp. ", "3rd Supp. ", "4th Supp. ", "11th Supp. ", "12th Supp. ", "13th Supp. ", "21st Supp. ", "22nd Supp. ")]
+def test_citations(spark):
+    no = F.lit(None)
+    c = lambda n: citation(F.lit("RR"), F.lit(2), F.lit(3), F.lit(12), F.lit(4), F.lit(9), F.lit(n), no)
+    got = spark.range(1).select(*[c(n)["short"].alias(f"c{n}") for n in (0, 1, 2, 3, 4, 11, 12, 13, 21, 22)]).first()
+    assert list(got) == [f"2 {p}RR 12:4-9" for p in ("", "Supp. ", "2nd Supp. ", "3rd Supp. ", "4th Supp. ", "11th Supp. ", "12th Supp. ", "13th Supp. ", "21st Supp. ", "22nd Supp. ")]
+    i = lambda x: F.lit(x).cast("int")
+    odd = [
+        citation(F.lit("Clerk's Record"), i(None), i(2), i(5), i(3), i(4), i(1), F.lit("D-1")),
+        citation(F.lit("Reporter's Record Vol"), i(3), i(1), i(5), i(3), i(3), i(None), F.lit("")),
+        citation(F.lit("Exhibit"), i(None), i(2), i(5), i(3), i(4), i(1), no),
+        citation(F.lit(None).cast("string"), i(2), i(2), i(5), i(3), i(4), i(1), F.lit("D-1")),
+    ]
+    assert [tuple(x) for x in spark.range(1).select(*odd).first()] == [("D-1 1 Supp. CR 5", "1 Supp. CR 5", "Supp. CR"), ("RR 5:3", "RR 5:3", "RR"), ("Exhibit p. 5", "Exhibit p. 5", "generic"), ("D-1 Doc Vol. 2, p. 5", "Doc Vol. 2, p. 5", "generic")]
