@@ -117,3 +117,33 @@ def test_queries(spark):
     want = {p: slow_page(rows, "[Filing]\n\n") for p, rows in blocks.items()}
     assert {p: x for p, x in got.items() if x[0][0] != "page_fallback"} == {p: x for p, x in want.items() if x}
     assert re.search("Filing", next(iter(got.values()))[0][4])
+
+
+@given(st.lists(st.sampled_from(["\n\n", "\n", ". ", "; ", ", ", " ", "word", "x" * 40]), max_size=40).map("".join), st.integers(3, 60))
+@settings(max_examples=300, deadline=None)
+def test_recursive_pieces_join_to_the_text(text, limit):
+    pieces = chunking.recursive(text, limit)
+    assert "".join(pieces) == text and all(0 < len(p) <= limit for p in pieces)
+
+
+@given(st.lists(st.sampled_from(["a", "b.", "c!", "\n\n", " ", "d"]), max_size=60).map(" ".join), st.integers(4, 12), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_token_chunks_cover_all_words_with_their_overlap(text, size, overlap):
+    words, at = text.split(), 0
+    for n, chunk in enumerate(chunking.by_tokens(text, size, overlap)):
+        got = chunk.split()
+        back = max(k for k in range(min(overlap, at) + 1) if words[at - k : at - k + len(got)] == got and len(got) > k) if n else 0
+        assert len(got) <= size and words[at - back : at - back + len(got)] == got
+        at += len(got) - back
+    assert at == len(words)
+
+
+def test_plain_chunk_queries(spark):
+    from briefmill.plans import analytics
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for query, split in ((analytics.chunk_recursive, chunking.recursive), (analytics.chunk_tokens, chunking.by_tokens)):
+        made = {}
+        for r in query(spark, SF).collect():
+            made.setdefault(r["doc_id"], []).append((r["chunk_index"], r["text"]))
+        assert {d: [t for _, t in sorted(x)] for d, x in made.items()} == {d: split(t) for d, t in docs.items() if t and split(t)}
