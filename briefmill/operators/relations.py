@@ -142,19 +142,20 @@ def resolve(asked: DataFrame, fields: DataFrame, limit: int = 5, gap: float = 0.
     second of all candidates is within ``gap`` of the first, also where ``limit`` cuts it off. Case and outer blanks do
     not count; texts and values that are null or blank match nothing; repeated texts are answered once.
 
-    A text of three letters or more can only stand in values that hold its rarest three-letter part, so it meets these
-    and no others (parts of one or two letters for shorter texts); all its parts must occur somewhere.
+    A text can only stand in values that hold its rarest part of 1, 2, 3, 4 or 6 letters, the longest such size that it
+    has, so it meets these and no others; all its parts must occur somewhere. A value has many parts, which its file's
+    size does not tell; so they are joined by shuffles and never broadcast.
     """
     q = asked.select("text", F.lower(F.trim("text")).alias("q")).where("q <> ''").distinct()
     v = fields.withColumn("v", F.lower(F.trim("value"))).where("v <> ''")
-    parts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    whole = lambda n: F.filter(parts(F.col("v"), n), lambda g: F.length(g) == n)
-    sized = F.flatten(F.array(*map(whole, (1, 2, 3))))
-    index = v.select("kind", "id", "field", "priority", "v", "exact", "prefix", "substring", F.explode(sized).alias("part"))
+    parts = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+    whole = lambda n: F.when(F.length("v") >= n, parts(F.col("v"), n)).otherwise(F.array().cast("array<string>"))
+    index = v.select("kind", "id", "field", "priority", "v", "exact", "prefix", "substring", F.explode(F.flatten(F.array(*map(whole, PART_SIZES)))).alias("part"))
     df = index.groupBy("part").agg(F.count("*").alias("n"))
-    mine = q.select("text", "q", F.explode(F.when(F.length("q") >= 3, parts(F.col("q"), 3)).otherwise(F.array("q"))).alias("part"))
-    rarest = mine.join(df, "part", "left").groupBy("text", "q").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.count("n").alias("known"), F.count("*").alias("all")).where(F.col("known") == F.col("all"))
-    hit = rarest.join(index, "part").where(F.contains("v", F.col("q")))
+    own = F.coalesce(*[F.when(F.length("q") >= n, parts(F.col("q"), n)) for n in reversed(PART_SIZES)])
+    mine = q.select("text", "q", F.explode(own).alias("part"))
+    rarest = mine.join(df.hint("merge"), "part", "left").groupBy("text", "q").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.count("n").alias("known"), F.count("*").alias("all")).where(F.col("known") == F.col("all"))
+    hit = rarest.join(index.hint("merge"), "part").where(F.contains("v", F.col("q")))
     sure = F.when(F.col("v") == F.col("q"), F.col("exact")).when(F.startswith("v", F.col("q")), F.col("prefix")).otherwise(F.col("substring"))
     by_record = hit.withColumn("confidence", sure).groupBy("text", "kind", "id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "priority", "field")).alias("best"))
     told = by_record.select("text", "kind", "id", F.col("best.field").alias("matched_on"), (-F.col("best.minus")).alias("confidence"))

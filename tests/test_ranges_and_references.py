@@ -41,3 +41,23 @@ def test_references(spark):
     }
     assert j.resolve(asked, fields, limit=1).where("text = 'SMITH '").first()["ambiguous"]
     assert j.resolve(asked.limit(0), fields).count() == 0 and j.resolve(asked, fields.limit(0)).count() == 0
+
+
+def test_exploded_cells_and_parts_are_not_broadcast(spark, tmp_path):
+    """A small file of points or values makes many rows, which must not pass through the driver."""
+    o = spark.range(1000).selectExpr("id as key", "id % 50 as scope", "cast(id as int) as at", "concat('value ', id) as value")
+    o.write.parquet(str(tmp_path / "o"))
+    o = spark.read.parquet(str(tmp_path / "o"))
+    ranges = o.selectExpr("scope", "at as start", "at + 9 as stop", "key as place", "key as label")
+    fields = o.selectExpr("'k' as kind", "key as id", "'value' as field", "1 as priority", "value", "0.9 as exact", "0.8 as prefix", "0.7 as substring")
+    for got in (j.first_range(o.select("key", "scope", "at"), ranges), j.resolve(o.selectExpr("cast(key as string) as text"), fields)):
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert not any(f"BroadcastHashJoin [{key}" in plan for key in ("scope", "part")) and plan.count("SortMergeJoin [") >= 1
+
+
+def test_references_by_parts_of_each_size(spark):
+    words = ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "xabcdefghij", "\u00e9\U0001f600z", "bcdxbcde"]
+    fields = spark.createDataFrame([("k", i, "f", w, 1, 0.9, 0.8, 0.7) for i, w in enumerate(words)], "kind string, id int, field string, value string, priority int, exact double, prefix double, substring double")
+    texts = {w[a:b] for w in words for a in range(len(w)) for b in range(a + 1, len(w) + 1)} | {"bcdef bc", "cba"}
+    got = j.resolve(spark.createDataFrame([(t,) for t in texts], "text string"), fields, limit=20)
+    assert {(r["text"], r["id"]) for r in got.collect()} == {(t, i) for t in texts for i, w in enumerate(words) if t in w}
