@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefmill.sources.tables import spread
+
 
 def related(rows: DataFrame, key: str, others: DataFrame, other_key: str, where: Column, negate: bool = False) -> DataFrame:
     """Rows with (or, negated, without) a related row for which ``where`` holds; null keys have no relation."""
@@ -57,36 +59,106 @@ def survey(files: DataFrame, known: DataFrame, ignored: DataFrame) -> DataFrame:
     return told.unionByName(orphans.select(F.col("doc_path").alias("path"), F.col("doc_hash").alias("hash"), F.lit("orphaned").alias("state"), "id"))
 
 
+#: names of more words than these are compared by their rarest words, not by sets of words
+MOST_WORDS = 8
+
+
+def _key(*parts: Column | str | int) -> Column:
+    """96 bits that stand for a group's name."""
+    told = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.struct(F.xxhash64(*told).alias("k"), F.hash(*told).alias("l"))
+
+
+def _each(rows: DataFrame, *keys: Column, where: Column | None = None) -> DataFrame:
+    rows = rows if where is None else rows.where(where)
+    return rows.select("id", F.explode(F.array_compact(F.array(*keys))).alias("key")).select("id", "key.k", "key.l")
+
+
+def _shorter(rows: DataFrame, text: str, at: str, to: str) -> DataFrame:
+    """``rows`` with ``to``, their ``text`` without its letter ``at``, for each of its letters; ``first`` marks the first of
+    equal neighbours, since without any of these the text is the same."""
+    each = rows.where(F.length(text) > 0).withColumn(at, F.explode(F.sequence(F.lit(1), F.length(text))))
+    c, i = F.col(text), F.col(at)
+    letter = lambda n: F.substring(c, n, F.lit(1))
+    return each.withColumns({to: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))), f"{at}_first": (i == 1) | (letter(i) != letter(i - 1))})
+
+
+def _words(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of what is found, and of what is asked, by sets of words: the words that two names share, and the other's number of words."""
+    few = rows.select("id", F.array_sort("toks").alias("t"), F.size("toks").alias("n")).where(F.col("n").between(1, MOST_WORDS))
+    masks = few.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("cast(shiftleft(1, n) - 1 as int)"))))
+    shared = masks.withColumns({"s": F.expr("array_join(filter(t, (x, i) -> (shiftright(mask, i) & 1) = 1), ' ')"), "c": F.bit_count("mask").cast("int")}).where(F.col("c") * 100 >= F.col("n") * percent)
+    most = F.floor(F.col("c") * 100 / percent).cast("int") + F.col("c") - F.col("n")
+    asked = shared.withColumn("m", F.explode(F.sequence("c", F.greatest(F.col("c"), F.least(most, F.lit(MOST_WORDS))))))
+    return _each(shared, _key("t", F.col("n"), F.col("s"))), _each(asked, _key("t", F.col("m"), F.col("s")))
+
+
+def _many_words(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, other) that may be near, of which one at least has more than ``MOST_WORDS`` words: they share one of their rarest words."""
+    least = -(-(MOST_WORDS + 1) * percent // 100)
+    each = rows.where(F.size("toks") >= least).select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    often = each.groupBy("tok").agg(F.count("*").alias("k"))
+    ordered = each.join(often.hint("merge"), "tok").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("k", "tok"))).alias("order"))
+    first = ordered.select("id", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))["tok"]).alias("tok"))
+    met = first.where(F.col("n") > MOST_WORDS).join(first.select(F.col("id").alias("other"), F.col("n").alias("m"), "tok").hint("merge"), "tok")
+    met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return met.select("id", "other").unionByName(met.select(F.col("other").alias("id"), F.col("id").alias("other")))
+
+
 def similar_names(people: DataFrame, percent: int = 50, top: int = 3) -> DataFrame:
     """Each person's up to ``top`` likely duplicates (id, other, score): equal bar number 1, equal e-mail .95, edit distance of at most 2, or
     a token Jaccard of ``percent``. ``people`` has id, name and email, and may have bar;
     a null or blank number or e-mail is equal to none.
 
-    Candidates share an e-mail, a name token, or a deletion neighbourhood of their names' halves: two names within two
-    edits have an equal third of their characters, aligned within two places. No person is compared with all others.
+    No person is compared with all others, nor with all of a group. Candidates come from groups whose members score at least
+    what made the group: equal numbers, e-mails or names; names that are equal but for letters at the same
+    one or two places, or once one or two letters are left out; names of so many words that have the same words in common. Of equal scores the
+    smaller id leads, so of each group only the ``top`` smallest others count. Groups of two edits are asked only for those who have
+    fewer than ``top`` better duplicates.
     """
     name = F.lower(F.trim("name"))
     filled = lambda c: F.nullif(F.trim(F.lower(c)), F.lit(""))
     bar = filled("bar") if "bar" in people.columns else F.lit(None).cast("string")
     rows = people.select("id", name.alias("name"), filled("email").alias("email"), bar.alias("bar"), F.array_distinct(F.split(name, r"\s+")).alias("toks"))
-    n = F.length("name")
-    third = F.greatest(F.lit(1), F.ceil(n / 3).cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("part"), n.alias("n"), F.substring("name", i.cast("int") * third + 1, third).alias("s")))
-    keyed = rows.select("id", F.explode(F.concat(F.transform("toks", lambda t: F.concat(F.lit("t:"), t)), F.array_compact(F.array(F.concat(F.lit("e:"), "email"), F.concat(F.lit("b:"), "bar"))), F.transform(own, lambda s: F.concat_ws(":", F.lit("p"), s["part"], s["n"], s["s"])))).alias("key"))
-    shifted = F.explode(F.flatten(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda dn: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(dn.alias("dn"), i.alias("part"))))))
-    probe = rows.select("id", "name", shifted.alias("w")).withColumn("n", F.length("name") + F.col("w.dn")).where("n > 0")
-    size = F.greatest(F.lit(1), F.ceil(F.col("n") / 3).cast("int"))
-    probes = probe.select("id", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda o: F.concat_ws(":", F.lit("p"), F.col("w.part"), F.col("n"), F.substring("name", F.greatest(F.lit(1), F.col("w.part").cast("int") * size + 1 + o.cast("int")), size)))).alias("key"))
-    asked = keyed.where(~F.col("key").startswith("p:")).unionByName(probes)
-    pairs = keyed.withColumnRenamed("id", "other").join(asked, "key").where("id <> other").select("id", "other").distinct()
+    rows = spread(rows)
+    whole, when = F.col("name"), F.when
+    some = [when(F.col(c).isNotNull(), _key(c[0], F.col(c))) for c in ("bar", "email", "name")]
+    i, j, d, dd, first = F.col("i"), F.col("j"), F.col("d"), F.col("dd"), F.col("i_first")
+
+    def once(of: DataFrame) -> DataFrame:
+        return _shorter(of.select("id", "name"), "name", "i", "d")
+
+    def twice(of: DataFrame) -> DataFrame:
+        return _shorter(once(of), "d", "j", "dd").where(first | (j >= i))
+
+    def meet(asked: DataFrame, held: DataFrame) -> DataFrame:
+        near = held.withColumn("rank", F.dense_rank().over(Window.partitionBy("k", "l").orderBy("id"))).where(F.col("rank") <= top + 1)
+        return asked.distinct().join(near.select("k", "l", F.col("id").alias("other")).hint("merge"), ["k", "l"]).where("id <> other").select("id", "other").distinct()
+
     a, b = rows.select("id", F.col("name").alias("an"), F.col("email").alias("ae"), F.col("bar").alias("ab"), F.col("toks").alias("at")), rows.select(F.col("id").alias("other"), F.col("name").alias("bn"), F.col("email").alias("be"), F.col("bar").alias("bb"), F.col("toks").alias("bt"))
-    held = pairs.join(a, "id").join(b, "other")
     jac = F.size(F.array_intersect("at", "bt")) / F.size(F.array_union("at", "bt"))
     near = F.levenshtein(F.col("an"), F.col("bn"))
     score = F.greatest(F.when(F.col("ab") == F.col("bb"), 1.0), F.when(F.col("ae") == F.col("be"), 0.95), F.when(near <= 2, 0.9 - near * 0.1), F.when(jac * 100 >= percent, jac * 0.8))
-    scored = held.withColumn("score", score).where("score is not null")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a.hint("merge"), "id").join(b.hint("merge"), "other").withColumn("score", score).where("score is not null").select("id", "other", "score")
+
+    # at the same place another letter (w), without a letter (d)
+    one = _each(once(rows), _key("w", i, d), when(first, _key("d", d)))
+    of_words, asked_words = _words(rows, percent)
+    held = _each(rows, *some).unionByName(of_words).unionByName(one)
+    asked = _each(rows, *some, when(whole.isNotNull(), _key("d", whole))).unionByName(asked_words).unionByName(_each(once(rows), _key("w", i, d), when(first, _key("n", d))))
+    found = meet(asked, held).unionByName(_many_words(rows, percent).where("id <> other")).distinct()
+    sure = scored(found).where("score > 0.71").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= top).select("id")
+    unsure = spread(rows.join(sure.hint("merge"), "id", "left_anti"))
+    # two other letters (s), without two (y), without one and another letter (x)
+    same, out = j >= i, first & (j >= i)
+    held = _each(twice(rows), when(first, _key("x", j, dd)), when(same, _key("s", i, j, dd)), when(out, _key("y", dd))).unionByName(one).unionByName(_each(rows, when(whole.isNotNull(), _key("n", whole))))
+    asked = _each(twice(unsure), when(first, _key("w", j, dd)), when(same, _key("s", i, j, dd)), when(out, _key("n", dd)))
+    asked = asked.unionByName(_each(once(unsure), _key("x", i, d), when(first, _key("d", d)))).unionByName(_each(unsure, when(whole.isNotNull(), _key("y", whole))))
+    every = scored(found.unionByName(meet(asked, held)).distinct())
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("id", "other", "score", "rank")
+    return every.withColumn("rank", rank).where(F.col("rank") <= top).select("id", "other", "score", "rank")
 
 
 def overlapping_labels(spans: DataFrame, turns: DataFrame, width: int = 8) -> DataFrame:
