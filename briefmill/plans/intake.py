@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from briefmill.functions import chunking
 from briefmill.operators import blocks, dates, filings, tables
 from briefmill.operators import ocr_gate as gate
-from briefmill.sources.tables import table
+from briefmill.sources.tables import spread, table
 from briefmill.streaming import folders, moves
 
 
@@ -26,7 +26,7 @@ def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
 
 def _order_html(spark: SparkSession, d: str) -> DataFrame:
     """Each order's lines as an HTML table: a heading over two rows, and the flag over the rows of lines that share it."""
-    lines = table(spark, d, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
+    lines = spread(table(spark, d, "lineitem"), "l_orderkey").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
     flag = Window.partitionBy("l_orderkey", "l_returnflag")
     lines = lines.withColumns({"tall": F.count("*").over(flag), "first": F.col("rn") == F.min("rn").over(flag)})
     own = F.when(F.col("first"), F.concat(F.lit('<td rowspan="'), F.col("tall"), F.lit('">'), "l_returnflag")).otherwise("")
@@ -49,7 +49,7 @@ def _order_texts(spark: SparkSession, d: str) -> DataFrame:
         F.lit(" and answered between "), F.date_format(F.date_add(day, 30), "M/d/yyyy"), F.lit(" and "), F.date_format(F.date_add(day, 40), "MMM d yyyy"),
         F.lit(". Heard since "), F.date_format(F.date_add(day, 50), "M/d/yy"), F.lit(". Order no. "), F.col("o_orderkey").cast("string"), F.lit(" of 31/31/1999 was read last week."),
     )
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", text.alias("text"))
 
 
 def date_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ _KINDS = ["MOTION", "Affidavit", "Order", "BRIEF", "Notice", "Reply", "Subpoena"
 
 def _filings(spark: SparkSession, d: str) -> DataFrame:
     """A file name, a folder and a header for each order: the kinds by key, number prefixes for all, some without a kind."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     kind, other = (F.element_at(F.array(*map(F.lit, _KINDS)), (x % len(_KINDS) + 1).cast("int")) for x in (k, F.floor(k / 7)))
     form = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))

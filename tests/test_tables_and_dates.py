@@ -1,10 +1,13 @@
 import datetime as dt
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from briefmill.operators import dates, tables
+from briefmill.plans import intake
+from tests.conftest import SF
 
 DAY = dt.date(2026, 3, 11)  # a Wednesday
 
@@ -81,3 +84,22 @@ def test_rows_of_dates(spark):
     got = sorted((str(r["doc_id"]), r["start"], str(r["first_day"])) for r in dates.mentions(docs, "2026-03-11").collect())
     assert got == [("1", 2, "2024-01-05"), ("1", 2, "2024-01-05"), ("5", 400_000, "2020-01-02"), ("None", 0, "2026-03-11")]
     assert dates.mentions(docs.limit(0), "2026-03-11").count() == 0
+
+
+def test_plain_html_needs_no_parser_and_tells_the_same(monkeypatch):
+    rng = random.Random(5)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", '<td rowspan="2">', "<TD colspan=3 rowspan=0>", "<p>", "a", " b\n", "&amp;", "&lt", "x > y", "&#233;", "</p>", "<br>", '<td colspan="2"rowspan=2>', "<td class=x>", "<!-- < -->", "<script><td></script>", "< td>", "</td rowspan=2>"]
+    texts = ["<table>" + "".join(rng.choices(bits[: rng.choice([17, 24])], k=rng.randrange(20))) for _ in range(3000)]
+    plain = [tables.tables_of(t)[1] for t in texts]
+    monkeypatch.setattr(tables, "_PLAIN", re.compile("(x^)()()"))
+    assert [tables.tables_of(t)[1] for t in texts] == plain
+
+
+def test_plain_html_is_not_parsed(monkeypatch):
+    monkeypatch.setattr(tables._Html, "feed", lambda *_: 1 / 0)
+    assert tables.tables_of("<p>x<table><tr><th rowspan=2>a &amp; b</tr></table>") == ("html", [[[("a & b", 1, 2, True)]]])
+
+
+def test_few_bytes_are_dealt_to_all_cores(spark):
+    for query in (intake.date_mentions, intake.filing_types, intake.html_tables):
+        assert "REPARTITION_BY_NUM" in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
