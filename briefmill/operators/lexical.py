@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.functions.stems import STOPWORDS, stem
+from briefmill.functions.stems import _SPECIAL, STOPWORDS, stem
 from briefmill.operators.scan import folded
 
 BUCKETS = 256
@@ -22,12 +23,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(folded(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def _begins(asked: str) -> str:
+    """What a word of this stem begins with: all but the last three letters, since a stem is a word's beginning with at most
+    "le" behind it; words that have a stem of their own begin with the same letter, as all do."""
+    return asked[:-3] if len(asked) > 3 and asked not in _SPECIAL.values() else asked[:1]
+
+
+def postings(rows: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(id, n, stem, positions) from (id, text): where each stem stands, and the number of words that are no stopwords.
 
     Positions count all words from 0, so that stopwords keep their places in phrases. Null, empty and stopword texts
-    have no postings; ids are unique; other columns are ignored.
+    have no postings; ids are unique; other columns are ignored. With ``only``, just the postings of these stems: words
+    that begin otherwise are not stemmed.
     """
+    if only is not None:
+        return _postings_of(rows, only)
     stop = frozenset(STOPWORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +61,31 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), words(F.col("text")).alias("w")).mapInArrow(run, SCHEMA)
 
 
+def _postings_of(rows: DataFrame, only: list[str]) -> DataFrame:
+    stems = frozenset(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                made = []
+                for i, n, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    found: dict[str, list[int]] = {}
+                    for x in text:
+                        s = stem(x["w"]) if x["w"].isascii() else x["w"]
+                        if s in stems:
+                            found.setdefault(s, []).append(x["p"])
+                    made += [(i, n, s, places) for s, places in found.items()]
+                cols = list(zip(*made)) or [()] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())))], names=["id", "n", "stem", "positions"])
+
+    told = rows.select(F.col("id").cast("long").alias("id"), words(F.col("text")).alias("w"))
+    begins = sorted({_begins(s) for s in stems})
+    might = lambda w: reduce(Column.__or__, [F.startswith(w, F.lit(b)) for b in begins], F.lit(False)) & ~w.isin(STOPWORDS)
+    mine = F.filter(F.transform("w", lambda w, p: F.struct(p.alias("p"), w.alias("w"))), lambda x: might(x["w"]))
+    n = F.size(F.filter("w", lambda w: ~w.isin(STOPWORDS)))
+    return told.select("id", n.alias("n"), mine.alias("x")).where(F.size("x") > 0).mapInArrow(run, SCHEMA)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add new rows to the index at ``path``: postings in their buckets' folders, and each row's length. Two plain appends: a
     failure between them leaves postings of rows without a length, which searches ignore until they are added again."""
@@ -68,6 +103,11 @@ def _asked(text: str) -> list[tuple[int, str]]:
     return [(i, stem(w) if w.isascii() else w) for i, w in enumerate(re.findall(r"[^\W_]+", plain)) if w not in STOPWORDS]
 
 
+def asked_stems(text: str) -> list[str]:
+    """The stems that a query asks for."""
+    return sorted({s for _, s in _asked(text)})
+
+
 def _read(index: DataFrame, stems: list[str]) -> DataFrame:
     """The postings of ``stems``; of a stored index, from their buckets alone."""
     hit = index.where(F.col("stem").isin(stems))

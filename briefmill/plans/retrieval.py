@@ -40,14 +40,15 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over stems and positions, as a stored index holds them: every form of the words counts, stopwords do not."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     stop = F.size(F.filter(lexical.words(F.col("text")), lambda w: ~w.isin(lexical.STOPWORDS)))
-    got = lexical.search(lexical.postings(docs), docs.select("id", F.greatest(stop, F.lit(0)).alias("n")), "The Licensing of Apache softwares")
+    text = "The Licensing of Apache softwares"
+    got = lexical.search(lexical.postings(docs, lexical.asked_stems(text)), docs.select("id", F.greatest(stop, F.lit(0)).alias("n")), text)
     return got.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(25)
 
 
 def lexical_phrase(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the words 'licensed under' in whatever form, and how often."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return lexical.phrase(lexical.postings(docs), "licenses under")
+    return lexical.phrase(lexical.postings(docs, lexical.asked_stems("licenses under")), "licenses under")
 
 
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,20 @@ def test_phrases_by_positions(spark):
     assert got("motion granted") == {1: 1, 3: 1} and got("motion of granting") == {1: 1, 6: 3} and got("court motion") == {1: 1}
     assert got("the") == {} and got("nothing here") == {}
     assert lx.postings(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_postings_of_some_stems_are_those_of_all(spark):
+    import random
+
+    from briefmill.functions import stems as st
+
+    rng = random.Random(3)
+    ends = ["", "s", "es", "ies", "ied", "ed", "ing", "edly", "ly", "y", "e", "le", *st._STEP2, *st._STEP3, *st._STEP4, *st._DOUBLE]
+    made = sorted({"".join(rng.choice("aeiouybcdlstz") for _ in range(rng.randrange(6))) + rng.choice(ends) + rng.choice(ends) for _ in range(100_000)} | set(st._SPECIAL) | set(st._AFTER_1A))
+    assert all(w.startswith(lx._begins(st.stem(w))) for w in made if w)
+    texts = [(i, " ".join(rng.choices([*made[:300], *st._SPECIAL, "the", "\u00e9t\u00e9s", "\u03bb", "x1"], k=rng.randrange(40)))) for i in range(60)] + [(99, None), (98, "")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    every = {tuple(map(str, r)) for r in lx.postings(rows).collect()}
+    some = sorted({r[2] for r in every})[::3] + ["none"]
+    assert {tuple(map(str, r)) for r in lx.postings(rows, some).collect()} == {r for r in every if r[2] in some}
+    assert lx.postings(rows, []).count() == 0
