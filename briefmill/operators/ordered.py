@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefmill.sources.tables import spread
+
 
 def neighbours(rows: DataFrame, group: list[str], order: list[str], text: str, before: int, after: int) -> DataFrame:
     """Each row with the texts around it in its group, whether it is the first or the last, and whether its place is
@@ -48,14 +50,15 @@ def lineage(edges: DataFrame, seeds: DataFrame, hops: int = 4, most: int | None
     With ``most``, each seed keeps that many nodes, the nearest and of equal depth the smallest; they are cut after each
     hop, so a hub does not multiply, and none that is cut could have led to one that stays. A hop is one join and one
     aggregation of what was reached so far, which takes the smaller depth: the plan grows with the hops and does not double.
+    Hops are dealt by seed once for the aggregation and the cut, and joined by shuffles, to as many tasks as keep a task small.
     """
     both = edges.select(F.col("src").alias("_src"), "dst").unionByName(edges.select(F.col("dst").alias("_src"), F.col("src").alias("dst"))).where("_src is not null and dst is not null").distinct()
     reached = seeds.where("id is not null").select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     near = Window.partitionBy("seed").orderBy("depth", "node")
     for _ in range(hops):
         stay, go = F.struct("node", "depth"), F.struct(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
-        told = reached.join(both, F.col("node") == F.col("_src"), "left").select("seed", F.explode(F.when(F.col("dst").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("n"))
-        reached = told.groupBy("seed", F.col("n.node").alias("node")).agg(F.min("n.depth").alias("depth"))
+        told = reached.join(both.hint("merge"), F.col("node") == F.col("_src"), "left").select("seed", F.explode(F.when(F.col("dst").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("n"))
+        reached = spread(told.select("seed", "n.node", "n.depth"), "seed").groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         if most is not None:
             reached = reached.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= most).drop("_rank")
     return reached
@@ -68,7 +71,7 @@ def lineage_in_scope(edges: DataFrame, nodes: DataFrame, hops: int = 4, most: in
     all that is reached, the seed too. A node without a scope is in no one's.
     """
     found = lineage(edges, nodes.select("id"), hops, most).where("depth > 0")
-    side = lambda c: nodes.select(F.col("id").alias(c), F.col("scope").alias(f"_{c}"))
-    told = found.join(side("seed"), "seed").join(side("node"), "node").where(F.col("_seed") == F.col("_node"))
+    side = lambda c, *more: nodes.select(F.col("id").alias(c), F.col("scope").alias(f"_{c}"), *more).hint("merge")
+    told = found.join(side("seed"), "seed").join(side("node", "revision"), "node").where(F.col("_seed") == F.col("_node"))
     order = Window.partitionBy("seed").orderBy(F.coalesce("revision", F.lit(0)), "node")
-    return told.join(nodes.select(F.col("id").alias("node"), "revision"), "node").select("seed", "node", "depth", F.row_number().over(order).alias("place"))
+    return told.select("seed", "node", "depth", F.row_number().over(order).alias("place"))

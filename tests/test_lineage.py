@@ -1,4 +1,5 @@
 import random
+import re
 
 from briefmill.operators import ordered as o
 
@@ -23,3 +24,11 @@ def test_lineage_with_hubs_and_caps(spark):
         assert {tuple(r) for r in o.lineage(df, seeds, most=most).collect()} == want
     plan = o.lineage(df, seeds)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 4
+
+
+def test_hops_are_dealt_by_seed_once_and_not_broadcast(spark, tmp_path):
+    spark.range(500).selectExpr("id", "id % 3 as scope", "id % 5 as revision", "id as src", "(id + 1) % 500 as dst").write.parquet(str(tmp_path / "n"))
+    rows = spark.read.parquet(str(tmp_path / "n"))
+    plan = o.lineage_in_scope(rows.select("src", "dst"), rows.select("id", "scope", "revision"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Broadcast") == 0 and plan.count("SortMergeJoin") == 6
+    assert plan.count("REPARTITION_BY_NUM") == 4 and not re.search(r"hashpartitioning\(seed#\w+, node#\w+, \d+\)", plan)
