@@ -5,7 +5,7 @@ The tests are columns; only the cut points of looping texts are found in Arrow b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,13 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+|\s+\z", "")
 
 
+def _once(made: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a column that is made once, however often it is named there."""
+    return F.get(F.transform(F.array(made), of), F.lit(0))
+
+
 def _few(parts: Column, least: int, ratio: float) -> Column:
-    return (F.size(parts) >= least) & (F.size(F.array_distinct(parts)) < ratio * F.size(parts))
+    return _once(parts, lambda x: (F.size(x) >= least) & (F.size(F.array_distinct(x)) < ratio * F.size(x)))
 
 
 def _windows_repeat(text: Column) -> Column:
@@ -69,8 +74,8 @@ def _letters(text: Column) -> Column:
 
 def _unpronounceable(text: Column) -> Column:
     """Eight or more words of letters, under half of them with a vowel and without five consonants in a row."""
-    like = F.filter(_letters(text), lambda t: F.regexp_like(t, F.lit("(?i)[aeiouy]")) & ~F.regexp_like(t, F.lit("(?i)[bcdfghjklmnpqrstvwxz]{5,}")))
-    return (F.length(text) >= 60) & (F.size(_letters(text)) >= 8) & (F.size(like) < 0.5 * F.size(_letters(text)))
+    like = lambda t: F.regexp_like(t, F.lit("(?i)[aeiouy]")) & ~F.regexp_like(t, F.lit("(?i)[bcdfghjklmnpqrstvwxz]{5,}"))
+    return (F.length(text) >= 60) & _once(_letters(text), lambda x: (F.size(x) >= 8) & (F.size(F.filter(x, like)) < 0.5 * F.size(x)))
 
 
 def with_reasons(rows: DataFrame, text_col: str, keep: list[str], dictionary: DataFrame, task: str = "ocr") -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from briefmill.operators import ocr_gate as gate
 
@@ -77,3 +78,9 @@ def test_empty_and_repeated(spark):
     words = spark.createDataFrame([], "word string")
     docs = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, None)], "doc_id int, text string")
     assert gate.assess(docs, words).count() == 3 and gate.assess(docs.limit(0), words).count() == 0
+
+
+def test_a_texts_words_are_split_once_for_a_test(spark):
+    df = spark.createDataFrame([("x y",)], "t string")
+    plan = df.select(gate._unpronounceable(F.col("t")).alias("u"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
