@@ -3,7 +3,13 @@
 Within a bucket no pairs are enumerated: its members meet one pivot a round, and only members that are still in other
 components than the pivot. Random pivots over many buckets join a family after a few rounds. What remains are buckets
 that hold several components. The members of small ones meet each other; those of all others go through an exact
-similarity join by their rarest items, which loses no link and whose work does not grow with the bucket's size squared.
+similarity join by their rarest items, which loses no link.
+
+No two rows meet, in any of these joins, unless their sizes and sketches leave a link possible. A sketch has a bit for
+each of its places, set if an odd number of a set's items fall there. Two sketches differ in as many places as the items
+outside both sets' common ones fall an odd number of times on, so in no more than there are such items: the bound holds
+for any hash, and members of a family of texts that are nearly but not quite similar enough are told apart before they
+make a row.
 """
 
 from __future__ import annotations
@@ -57,7 +63,7 @@ def shared_buckets(bands: DataFrame, one_shuffle: bool = False) -> DataFrame:
     return bands.join(many, "key", "left_semi")
 
 
-def jaccard_at_least(x: str, y: str, percent: int) -> Column:
+def jaccard_at_least(x: Column | str, y: Column | str, percent: int) -> Column:
     common = F.size(F.array_intersect(x, y))
     return common * 100 >= (F.size(x) + F.size(y) - common) * percent
 
@@ -76,20 +82,17 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
     first in the buckets, then in the finer keys of those that still hold several components; there, at last, all pairs
     across components are decided.
     """
-    edges: list[DataFrame] = []
     found: DataFrame | None = None
+    fits = _may_be_near(percent)
 
     def add(new: DataFrame) -> None:
         nonlocal found
         new = settle(new)
         if new.isEmpty() and found is not None:
             return
-        edges.append(new)
-        before, every = found, edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
+        before, every = found, new if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
         found = settle(components(every))
-        discard(before)
+        discard(before, new)
 
     def labelled(rows: DataFrame) -> DataFrame:
         """The ``rows`` of keys with several components, with the component ``c`` of each."""
@@ -99,66 +102,85 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
         return told.join(mixed, "key", "left_semi")
 
     def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        left, right = _no_nulls(left), _no_nulls(right)
         right = right.select("key", *[F.col(c).alias(f"_{c}") for c in right.columns if c != "key"])
         met = left.join(right, (left["key"] == right["key"]) & more)
         return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
-    def meet_pivots(rows: DataFrame, fits: Column, times: int) -> None:
-        for n in range(times):
-            told = labelled(rows)
-            every = F.struct(*[c for c in told.columns if c != "key"])
-            pivots = told.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
-            add(confirm(pairs(told, pivots, (F.col("c") != F.col("_c")) & fits)))
+    def meet_pivots(rows: DataFrame, n: int, more: Column) -> None:
+        every = F.struct(*[c for c in rows.columns if c != "key"])
+        pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
+        add(confirm(pairs(rows, pivots, (F.col("c") != F.col("_c")) & more)))
 
     if known is not None:
         add(known)
-    meet_pivots(buckets, F.lit(True), rounds)
-    finer = settle(finer_keys(labelled(buckets), items, percent, few))
-    fits = _may_be_near(percent)
-    meet_pivots(finer, fits, rounds)
-    last = labelled(finer)
-    add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits)))
-    discard(finer, *edges)
+    if rounds:
+        meet_pivots(labelled(buckets), 0, F.lit(True))
+    # most ids are done with by now; only those of keys with several components get sketches
+    mixed = settle(labelled(buckets).select("key", "id"))
+    ids = settle(mixed.select("id").distinct())
+    sketches = settle(_sketches(items(ids)))
+    with_sketches = lambda told: told.join(broadcast_if_small(sketches, SKETCHES), "id")
+    for n in range(1, rounds):
+        meet_pivots(with_sketches(labelled(mixed).withColumn("at", F.lit(0))), n, fits)
+    finer = settle(finer_keys(labelled(mixed), items, percent, few))
+    for n in range(min(rounds, 1)):
+        meet_pivots(with_sketches(labelled(finer.drop("before"))), n, fits)
+    last = with_sketches(labelled(finer))
+    # a pair meets where no common item stands before: it has met there
+    add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits & ~F.arrays_overlap("before", "_before"))))
+    discard(mixed, ids, sketches, finer)
     return found
 
 
-#: words of 64 bits in a set's map
-MAP_WORDS = 8
+#: words of 64 bits in a sketch
+WORDS = 16
+#: so many sketches may be broadcast: about 40 MB
+SKETCHES = 200_000
+#: so many items that stand before a common one are looked at
+BEFORE = 8
 
 
-def _may_be_near(percent: int) -> Column:
-    """What the common item's places and the maps of two rows of ``finer_keys`` leave possible; rows without a size pass.
+def _no_nulls(rows: DataFrame) -> DataFrame:
+    """The same ``rows`` with columns that Spark knows to hold no nulls, which makes code for a condition short enough to be compiled."""
+    none = {"bigint": F.lit(0).cast("long"), "int": F.lit(0), "array<bigint>": F.array().cast("array<long>")}
+    return rows.select(*[F.coalesce(c, none[kind]).alias(c) for c, kind in rows.dtypes])
 
-    A set has at least as many items outside the other as bits outside the other's map, whatever the hashes.
-    """
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(id, size, map0, ...): the sizes and sketches of the ``sets`` (id, items)."""
+    each = sets.select("id", F.explode("items").alias("item")).withColumn("place", F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int"))
+    each = each.select("id", F.expr("place div 64").cast("int").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"))
+    maps = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"map{w}") for w in range(WORDS)]
+    return each.groupBy("id").agg(F.count("*").cast("int").alias("size"), *maps)
+
+
+def _may_be_near(percent: int) -> Column:
+    """What the common item's places and the sketches of two rows leave possible."""
+    both = F.col("size") + F.col("_size")
+    odd = reduce(Column.__add__, [F.bit_count(F.col(f"map{w}").bitwiseXOR(F.col(f"_map{w}"))) for w in range(WORDS)])
     behind = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
-    outside = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in range(MAP_WORDS)])
-    common = F.least(behind, F.col("size") - outside("map", "_map"), F.col("_size") - outside("_map", "map"))
-    return F.coalesce(common * (100 + percent) >= (F.col("size") + F.col("_size")) * percent, F.lit(True))
+    return (behind * (100 + percent) >= both * percent) & (odd * (100 + percent) <= both * (100 - percent))
 
 
 def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, few: int = FEW) -> DataFrame:
-    """(key, id, size, at, map0, ...): keys of which two ids of ``rows`` (key, id, c) share one if they share a key there and are linked.
+    """(key, id, at, before): keys of which two ids of ``rows`` share one if they share a key there and are linked.
 
-    Rows of keys with up to ``few`` rows stay as they are, without size. The ids of the other rows are keyed by items:
-    these are ordered by their number of sets, and of two similar sets each has a common item among its first
+    Rows of keys with up to ``few`` rows stay as they are. The ids of the other rows are keyed by items: these are
+    ordered by their number of sets, and of two similar sets each has a common item among its first
     n - ceil(n * percent / 100) + 1. So sets meet by those alone, and ``at`` bounds how similar they can be: what is
-    left behind the common item; so does the map of all its items. Long common passages lie behind, and bring no sets together.
+    left behind the common item. ``before`` has the items that stand next before it.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     told = settle(rows.join(sizes, "key"))
-    small = told.where(F.col("n") <= few).select("key", "id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("at"), *[F.lit(None).cast("long").alias(f"map{w}") for w in range(MAP_WORDS)])
+    small = told.where(F.col("n") <= few).select("key", "id", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
     many = settle(told.where(F.col("n") > few).select("id").distinct())
     if many.isEmpty():
         return small
-    sets = settle(items(many))
-    each = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
+    each = settle(items(many)).select("id", F.explode("items").alias("item"))
     often = broadcast_if_small(settle(each.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")))
-    place = F.pmod(F.xxhash64("item"), F.lit(64 * MAP_WORDS)).cast("int")
-    maps = [F.bit_or(F.when(F.expr(f"place div 64 = {w}"), F.expr("shiftleft(1L, place % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"map{w}") for w in range(MAP_WORDS)]
-    by_id = each.withColumn("place", place).join(often, "item", "left").groupBy("id", "size")
-    ordered = by_id.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"), *maps)
-    first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int"))
-    names = [f"map{w}" for w in range(MAP_WORDS)]
-    rare = ordered.select("id", "size", *names, F.posexplode(first).alias("at", "x")).where("x.k > 1")
-    return small.unionByName(rare.select(F.col("x.item").alias("key"), "id", "size", "at", *names))
+    ordered = each.join(often, "item", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"))
+    first = F.slice("order", F.lit(1), (F.size("order") - F.ceil(F.size("order") * percent / 100) + 1).cast("int"))
+    first = ordered.select("id", first.alias("first")).select("id", F.col("first.item").alias("items"), F.posexplode("first").alias("at", "x")).where("x.k > 1")
+    before = F.slice("items", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BEFORE)))
+    return small.unionByName(first.select("id", F.col("x.item").alias("key"), "at", before.alias("before")))

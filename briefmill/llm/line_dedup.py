@@ -49,10 +49,9 @@ def shingles(line: Column) -> Column:
 
 
 def _near(u: str, v: str, percent: int) -> Column:
-    """Whether two structures (line, n), n the number of shingles, are near; a pair's sets are built from its lines, which are an eighth of them in size."""
-    common = F.size(F.array_intersect(shingles(F.col(u)["line"]), shingles(F.col(v)["line"])))
-    m, n = F.col(u)["n"], F.col(v)["n"]
-    return F.when(F.least(m, n) * 100 >= F.greatest(m, n) * percent, common * F.lit(100 + percent) >= (m + n) * percent).otherwise(False)
+    """Whether two lines are near; their sets are built here from the lines, which are an eighth of them in size."""
+    both = F.array(F.struct(shingles(F.col(u)).alias("x"), shingles(F.col(v)).alias("y")))
+    return F.get(F.transform(both, lambda s: clusters.jaccard_at_least(s["x"], s["y"], percent)), F.lit(0))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,18 +79,18 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = settle(bands.join(broadcast_if_small(many), "key", "left_semi"))
     ids = settle(buckets.select("id").distinct())
     texts = lines.select(F.col("k1").alias("id"), "line").join(broadcast_if_small(ids), "id", "left_semi")
-    sets = settle(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", F.struct("line", F.size(shingles(F.col("line"))).cast("long").alias("n")).alias("x")))
-    held = lambda end, to: sets.select(F.col("id").alias(end), F.col("x").alias(to))
+    texts = settle(texts.groupBy("id").agg(F.min("line").alias("line")))
+    held = lambda end, to: texts.select(F.col("id").alias(end), F.col("line").alias(to))
     linked = clusters.link(
         buckets,
         lambda pairs: pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(_near("u", "v", percent)).select("a", "b"),
-        lambda some: sets.join(broadcast_if_small(some.select("id")), "id", "left_semi").select("id", shingles(F.col("x.line")).alias("items")),
+        lambda some: texts.join(broadcast_if_small(some), "id", "left_semi").select("id", shingles(F.col("line")).alias("items")),
         percent,
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")
     seen = settle(seen.select("k1", "k2", "first", F.coalesce("component", "k1").alias("comp"), F.col("component").isNull().alias("alone")))
-    discard(known, many, buckets, ids, sets)
+    discard(known, many, buckets, ids, texts)
     # a line without near lines is a component by both its hashes; the others go by the component's label
     own = seen.where("alone").select("k1", "k2", F.xxhash64("k1", "k2").alias("comp"), F.col("first").alias("keeper"))
     group = seen.where("not alone").select("k1", "k2", "comp", "first")
