@@ -64,8 +64,10 @@ def shared_buckets(bands: DataFrame, one_shuffle: bool = False) -> DataFrame:
 
 
 def jaccard_at_least(x: Column | str, y: Column | str, percent: int) -> Column:
-    common = F.size(F.array_intersect(x, y))
-    return common * 100 >= (F.size(x) + F.size(y) - common) * percent
+    """Each side is named once more than it is intersected: the sets meet only if their sizes allow it, and only once."""
+    both, least = F.size(x) + F.size(y), F.least(F.size(x), F.size(y))
+    # 100 * common >= percent * (both - common)
+    return F.when(least * (100 + percent) >= both * percent, F.size(F.array_intersect(x, y)) * (100 + percent) >= both * percent).otherwise(False)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -74,12 +76,13 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None) -> DataFrame:
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None, at_once: int = 0) -> DataFrame:
     """A settled table (id, component) of all ids that have a link; ``buckets`` is a settled table (key, id).
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``items`` takes a table (id) and
-    returns (id, items) with the sets of its ids. ``known`` are links (a, b) that need no confirmation. Pivots meet
-    first in the buckets, then in the finer keys of those that still hold several components; there, at last, all pairs
+    returns (id, items) with the sets of its ids. ``known`` are links (a, b) that need no confirmation. With ``at_once``,
+    ``buckets`` also has ``n``, the number of a key's rows; all ids get sketches at first, and all rows of keys with up to
+    so many meet in the first round, which spares them the later ones. Pivots meet first in the other buckets, then in the finer keys of those that still hold several components; there, at last, all pairs
     across components are decided.
     """
     found: DataFrame | None = None
@@ -107,19 +110,37 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
         met = left.join(right, (left["key"] == right["key"]) & more)
         return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
-    def meet_pivots(rows: DataFrame, n: int, more: Column) -> None:
+    def pivots_of(rows: DataFrame, n: int) -> DataFrame:
         every = F.struct(*[c for c in rows.columns if c != "key"])
-        pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
-        add(confirm(pairs(rows, pivots, (F.col("c") != F.col("_c")) & more)))
+        return rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
+
+    def meet_pivots(rows: DataFrame, n: int, more: Column) -> None:
+        add(confirm(pairs(rows, pivots_of(rows, n), (F.col("c") != F.col("_c")) & more)))
+
+    def may_be_near(some: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their sketches leave possible."""
+        one = _no_nulls(sketches).withColumn("at", F.lit(0))
+        other = one.select(*[F.col(c).alias(f"_{c}") for c in one.columns])
+        return some.join(one.withColumnRenamed("id", "a"), "a").join(other.withColumnRenamed("_id", "b"), "b").where(fits).select("a", "b")
 
     if known is not None:
         add(known)
-    if rounds:
+    if at_once:
+        ids = settle(buckets.select("id").distinct())
+        sketches = settle(_sketches(items(ids)))
+        small, buckets = buckets.where(F.col("n") <= at_once).select("key", "id"), buckets.where(F.col("n") > at_once).select("key", "id")
+        small, large = labelled(small), labelled(buckets)
+        first = pairs(small, small, (F.col("id") < F.col("_id")) & (F.col("c") != F.col("_c")))
+        if rounds:
+            first = first.unionByName(pairs(large, pivots_of(large, 0), F.col("c") != F.col("_c"))).distinct()
+        add(confirm(may_be_near(first)))
+    elif rounds:
         meet_pivots(labelled(buckets), 0, F.lit(True))
-    # most ids are done with by now; only those of keys with several components get sketches
     mixed = settle(labelled(buckets).select("key", "id"))
-    ids = settle(mixed.select("id").distinct())
-    sketches = settle(_sketches(items(ids)))
+    if not at_once:
+        # most ids are done with by now; only those of keys with several components get sketches
+        ids = settle(mixed.select("id").distinct())
+        sketches = settle(_sketches(items(ids)))
     with_sketches = lambda told: told.join(broadcast_if_small(sketches, SKETCHES), "id")
     for n in range(1, rounds):
         meet_pivots(with_sketches(labelled(mixed).withColumn("at", F.lit(0))), n, fits)
@@ -135,6 +156,8 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
 
 #: words of 64 bits in a sketch
 WORDS = 16
+#: items that one exploded row takes
+_STEP = 8
 #: so many sketches may be broadcast: about 40 MB
 SKETCHES = 200_000
 #: so many items that stand before a common one are looked at
@@ -149,10 +172,17 @@ def _no_nulls(rows: DataFrame) -> DataFrame:
 
 def _sketches(sets: DataFrame) -> DataFrame:
     """(id, size, map0, ...): the sizes and sketches of the ``sets`` (id, items)."""
-    each = sets.select("id", F.explode("items").alias("item")).withColumn("place", F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int"))
-    each = each.select("id", F.expr("place div 64").cast("int").alias("word"), F.expr("shiftleft(1L, place % 64)").alias("bit"))
-    maps = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"map{w}") for w in range(WORDS)]
-    return each.groupBy("id").agg(F.count("*").cast("int").alias("size"), *maps)
+    each = sets.select("id", "items", F.explode(F.sequence(F.lit(0), F.greatest(F.size("items") - 1, F.lit(0)), F.lit(_STEP))).alias("from"))
+    at = lambda j: F.when(F.col("from") + j < F.size("items"), F.pmod(F.xxhash64(F.get("items", F.col("from") + j)), F.lit(64 * WORDS)).cast("int"))
+    places = [at(j).alias(f"p{j}") for j in range(_STEP)]
+    each = each.select("id", F.size("items").alias("size"), *places)
+    # places beyond the last item are null
+    word, bit = (lambda j: F.coalesce(F.shiftright(f"p{j}", 6), F.lit(-1))), (lambda j: F.expr(f"shiftleft(1L, coalesce(p{j}, 0) % 64)"))
+    each = each.select("id", "size", *[word(j).alias(f"w{j}") for j in range(_STEP)], *[bit(j).alias(f"b{j}") for j in range(_STEP)])
+    none = F.lit(0).cast("long")
+    odd = lambda w: reduce(Column.bitwiseXOR, [F.when(F.col(f"w{j}") == w, F.col(f"b{j}")).otherwise(none) for j in range(_STEP)])
+    maps = [F.bit_xor(odd(w)).alias(f"map{w}") for w in range(WORDS)]
+    return each.groupBy("id").agg(F.max("size").alias("size"), *maps)
 
 
 def _may_be_near(percent: int) -> Column:

@@ -25,7 +25,9 @@ ORDERS = [(_rng.getrandbits(32), _rng.getrandbits(31) | 1) for _ in range(12)]
 #: any two bands share at most one minimum
 BANDS = [[(b + r) % 12 for r in (0, 1, 3)] for b in range(12)]
 #: positions that one exploded row takes
-_STEP = 4
+_STEP = 8
+#: keys of so many lines at most are compared in full under the bounds of sketches; larger ones go by their rarest items
+MEET = 200
 
 
 def _codes(line: Column) -> Column:
@@ -44,14 +46,18 @@ def _shingle(codes: Column, at: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The 64-bit hashes of a line's distinct shingles."""
-    of = lambda codes: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(codes)), lambda i: F.xxhash64(_shingle(codes, i))))
-    return F.get(F.transform(F.array(_codes(line)), of), F.lit(0))  # the codes are made once
+    starts = lambda codes: F.sequence(F.lit(1), 4 * _last(codes) + 1, F.lit(4))
+    of = lambda codes: F.transform(starts(codes), lambda i: F.xxhash64(F.substring(codes, i, F.lit(4 * WIDTH))))
+    return F.array_distinct(F.get(F.transform(F.array(_codes(line)), of), F.lit(0)))  # the codes are made once
 
 
-def _near(u: str, v: str, percent: int) -> Column:
-    """Whether two lines are near; their sets are built here from the lines, which are an eighth of them in size."""
-    both = F.array(F.struct(shingles(F.col(u)).alias("x"), shingles(F.col(v)).alias("y")))
-    return F.get(F.transform(both, lambda s: clusters.jaccard_at_least(s["x"], s["y"], percent)), F.lit(0))
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose lines are near; their sets are built here from the lines, which are an eighth of them in size."""
+    held = lambda end, to: texts.select(F.col("id").alias(end), F.col("line").alias(to))
+    sets = F.struct(shingles(F.col("u")).alias("x"), shingles(F.col("v")).alias("y"))
+    # exploded, the two sets are columns; a filter that names them directly would make them anew for each mention
+    met = pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").select("a", "b", F.explode(F.array(sets)).alias("s"))
+    return met.where(clusters.jaccard_at_least("s.x", "s.y", percent)).select("a", "b")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,17 +81,18 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
     bands = known.select(F.explode(keys).alias("key"), F.col("k1").alias("id"))
-    many = settle(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"))
-    buckets = settle(bands.join(broadcast_if_small(many), "key", "left_semi"))
+    many = settle(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    buckets = settle(bands.join(broadcast_if_small(many), "key"))
     ids = settle(buckets.select("id").distinct())
     texts = lines.select(F.col("k1").alias("id"), "line").join(broadcast_if_small(ids), "id", "left_semi")
     texts = settle(texts.groupBy("id").agg(F.min("line").alias("line")))
-    held = lambda end, to: texts.select(F.col("id").alias(end), F.col("line").alias(to))
     linked = clusters.link(
         buckets,
-        lambda pairs: pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").where(_near("u", "v", percent)).select("a", "b"),
+        lambda pairs: _near(pairs, texts, percent),
         lambda some: texts.join(broadcast_if_small(some), "id", "left_semi").select("id", shingles(F.col("line")).alias("items")),
         percent,
+        few=MEET,
+        at_once=clusters.FEW,
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")

@@ -28,3 +28,30 @@ def test_a_family_below_the_threshold_makes_few_pairs(spark):
     got = clusters.link(buckets, confirm, lambda some: items.join(some, "id", "left_semi"), 80)
     assert {i: i for i in sets} | {r["id"]: r["component"] for r in got.collect()} == joined(sets, 80)
     assert sum(asked) < 3 * len(sets), asked
+
+
+def test_small_keys_meet_once_and_their_sketches_come_first(spark):
+    rng = random.Random(13)
+    sets, rows = {}, []
+    for key in range(30):  # families of which two neighbours are linked or nearly so, in small keys and in one larger
+        base = [rng.getrandbits(63) for _ in range(200)]
+        for m in range(20 if key == 0 else 5):
+            i = len(sets)
+            sets[i] = set(base[: 200 - 8 * (m % 4)]) | {rng.getrandbits(63) for _ in range(16 * (m % 2))}
+            sets[i] = sets[i] if m < 4 else {rng.getrandbits(63) for _ in range(60)} | set(base[:140])
+            rows += [(key, i), (100 + key, i)]
+    n = {k: sum(key == k for key, _ in rows) for k, _ in rows}
+    items = settle(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, items array<long>"))
+    buckets = settle(spark.createDataFrame([(k, i, n[k]) for k, i in rows], "key long, id long, n long"))
+    asked = []
+
+    def confirm(pairs):
+        pairs = settle(pairs)
+        asked.append(pairs.collect())
+        return clusters.similar(pairs, items, 80)
+
+    got = clusters.link(buckets, confirm, lambda some: items.join(some, "id", "left_semi"), 80, at_once=12)
+    assert {i: i for i in sets} | {r["id"]: r["component"] for r in got.collect()} == joined(sets, 80)
+    # no pair of the small keys is asked for again, and none whose sets are far from a link
+    assert not [r for pairs in asked[1:] for r in pairs if r["a"] >= 20]
+    assert not [r for pairs in asked for r in pairs if 100 * len(sets[r["a"]] & sets[r["b"]]) < 60 * len(sets[r["a"]] | sets[r["b"]])]
