@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from briefmill.llm.scratch import broadcast_if_small, discard, settle
 
@@ -76,7 +77,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(jaccard_at_least("x", "y", percent)).select("a", "b")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None, at_once: int = 0) -> DataFrame:
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, few: int = FEW, known: DataFrame | None = None, at_once: int = 0, ids: DataFrame | None = None) -> DataFrame:
     """A settled table (id, component) of all ids that have a link; ``buckets`` is a settled table (key, id).
 
     ``confirm`` takes distinct pairs (a, b) and returns those that are links. ``items`` takes a table (id) and
@@ -89,33 +90,60 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
     fits = _may_be_near(percent)
 
     def add(new: DataFrame) -> None:
+        """Later links join components, so only these are looked at: a table of components that changed, not of all ids."""
         nonlocal found
         new = settle(new)
-        if new.isEmpty() and found is not None:
-            return
-        before, every = found, new if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        found = settle(components(every))
-        discard(before, new)
+        if found is None:
+            found = settle(components(new))
+        elif not new.isEmpty():
+            before, known_ones = found, broadcast_if_small(found)
+            label = lambda end: known_ones.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+            ends = new.join(label("a"), "a", "left").join(label("b"), "b", "left")
+            ends = settle(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+            if not ends.isEmpty():
+                moved = settle(components(ends))
+                to = broadcast_if_small(moved.select(F.col("id").alias("component"), F.col("component").alias("to")))
+                same = before.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                found = settle(same.unionByName(moved.join(known_ones.select("id"), "id", "left_anti")))
+                discard(before, moved)
+            discard(ends)
+        discard(new)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        """The ``rows`` of keys with several components, with the component ``c`` of each."""
-        told = rows.withColumn("c", F.col("id")) if found is None else rows.join(broadcast_if_small(found), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        told = settle(told)
-        mixed = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        return told.join(mixed, "key", "left_semi")
+        """``rows`` with the component ``c`` of each ``id``."""
+        if found is None:
+            return rows.withColumn("c", F.col("id"))
+        return rows.join(broadcast_if_small(found), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def mixed_of(rows: DataFrame) -> DataFrame:
+        """The ``rows`` of keys with several components."""
+        many = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(many, "key", "left_semi")
+
+    def by_id(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
+
+    def spread(told: DataFrame) -> DataFrame:
+        """A settled table of the rows (key, id, c, ...) of ``told``, which has one row an id, so that labels and sketches are joined once an id."""
+        rows = labelled(told)
+        rest = [c for c in rows.columns if c != "keys"]
+        rows = rows.select(*rest, F.explode("keys").alias("key"))
+        if isinstance(told.schema["keys"].dataType.elementType, StructType):
+            rows = rows.select("key.*", *rest)
+        return settle(mixed_of(rows))
 
     def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
         left, right = _no_nulls(left), _no_nulls(right)
         right = right.select("key", *[F.col(c).alias(f"_{c}") for c in right.columns if c != "key"])
         met = left.join(right, (left["key"] == right["key"]) & more)
-        return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+        return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
 
     def pivots_of(rows: DataFrame, n: int) -> DataFrame:
         every = F.struct(*[c for c in rows.columns if c != "key"])
         return rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), every.alias("p"))).alias("m")).select("key", "m.p.*")
 
     def meet_pivots(rows: DataFrame, n: int, more: Column) -> None:
-        add(confirm(pairs(rows, pivots_of(rows, n), (F.col("c") != F.col("_c")) & more)))
+        add(confirm(pairs(rows, pivots_of(rows, n), (F.col("c") != F.col("_c")) & more).distinct()))
 
     def may_be_near(some: DataFrame) -> DataFrame:
         """The pairs (a, b) that their sketches leave possible."""
@@ -126,31 +154,44 @@ def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], items: C
     if known is not None:
         add(known)
     if at_once:
-        ids = settle(buckets.select("id").distinct())
+        ids = ids or settle(buckets.select("id").distinct())
         sketches = settle(_sketches(items(ids)))
         small, buckets = buckets.where(F.col("n") <= at_once).select("key", "id"), buckets.where(F.col("n") > at_once).select("key", "id")
-        small, large = labelled(small), labelled(buckets)
-        first = pairs(small, small, (F.col("id") < F.col("_id")) & (F.col("c") != F.col("_c")))
+        first = pairs(small, small, F.col("id") < F.col("_id"))
         if rounds:
-            first = first.unionByName(pairs(large, pivots_of(large, 0), F.col("c") != F.col("_c"))).distinct()
-        add(confirm(may_be_near(first)))
+            first = first.unionByName(pairs(buckets, pivots_of(buckets, 0), F.col("id") != F.col("_id")))
+        add(confirm(may_be_near(first.distinct())))
     elif rounds:
-        meet_pivots(labelled(buckets), 0, F.lit(True))
-    mixed = settle(labelled(buckets).select("key", "id"))
+        meet_pivots(mixed_of(labelled(buckets)), 0, F.lit(True))
+    mixed = spread(by_id(buckets))
     if not at_once:
         # most ids are done with by now; only those of keys with several components get sketches
         ids = settle(mixed.select("id").distinct())
         sketches = settle(_sketches(items(ids)))
-    with_sketches = lambda told: told.join(broadcast_if_small(sketches, SKETCHES), "id")
+    told = settle(by_id(mixed).join(broadcast_if_small(sketches, SKETCHES), "id").withColumn("at", F.lit(0)))
     for n in range(1, rounds):
-        meet_pivots(with_sketches(labelled(mixed).withColumn("at", F.lit(0))), n, fits)
-    finer = settle(finer_keys(labelled(mixed), items, percent, few))
-    for n in range(min(rounds, 1)):
-        meet_pivots(with_sketches(labelled(finer.drop("before"))), n, fits)
-    last = with_sketches(labelled(finer))
-    # a pair meets where no common item stands before: it has met there
-    add(confirm(pairs(last, last, (F.col("c") < F.col("_c")) & fits & ~F.arrays_overlap("before", "_before"))))
-    discard(mixed, ids, sketches, finer)
+        rows = spread(told)
+        meet_pivots(rows, n, fits)
+        discard(rows)
+    rows = spread(told)
+    sizes = settle(rows.groupBy("key").agg(F.count("*").alias("n")))
+    small = rows.join(sizes.where(F.col("n") <= few), "key", "left_semi")
+    met = pairs(small, small, (F.col("c") < F.col("_c")) & fits)
+    many = settle(rows.join(sizes.where(F.col("n") > few), "key", "left_semi").select("id").distinct())
+    if not many.isEmpty():
+        finer = settle(finer_keys(many, items, percent).join(broadcast_if_small(sketches, SKETCHES), "id"))
+        for n in range(min(rounds, 1)):
+            item_rows = spread(finer)
+            meet_pivots(item_rows.drop("before"), n, fits)
+            discard(item_rows)
+        item_rows = spread(finer)
+        # a pair meets where no common item stands before: it has met there
+        met = met.unionByName(pairs(item_rows, item_rows, (F.col("c") < F.col("_c")) & fits & ~F.arrays_overlap("before", "_before")))
+        add(confirm(met.distinct()))
+        discard(finer, item_rows)
+    else:
+        add(confirm(met.distinct()))
+    discard(mixed, ids, sketches, told, rows, sizes, many)
     return found
 
 
@@ -193,24 +234,17 @@ def _may_be_near(percent: int) -> Column:
     return (behind * (100 + percent) >= both * percent) & (odd * (100 + percent) <= both * (100 - percent))
 
 
-def finer_keys(rows: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int, few: int = FEW) -> DataFrame:
-    """(key, id, at, before): keys of which two ids of ``rows`` share one if they share a key there and are linked.
+def finer_keys(ids: DataFrame, items: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(id, keys): the sets of the settled ``ids`` by items; ``keys`` has a struct (key, at, before) for each item that it meets others by.
 
-    Rows of keys with up to ``few`` rows stay as they are. The ids of the other rows are keyed by items: these are
-    ordered by their number of sets, and of two similar sets each has a common item among its first
+    Items are ordered by their number of sets, and of two similar sets each has a common item among its first
     n - ceil(n * percent / 100) + 1. So sets meet by those alone, and ``at`` bounds how similar they can be: what is
     left behind the common item. ``before`` has the items that stand next before it.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    told = settle(rows.join(sizes, "key"))
-    small = told.where(F.col("n") <= few).select("key", "id", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
-    many = settle(told.where(F.col("n") > few).select("id").distinct())
-    if many.isEmpty():
-        return small
-    each = settle(items(many)).select("id", F.explode("items").alias("item"))
+    each = settle(items(ids)).select("id", F.explode("items").alias("item"))
     often = broadcast_if_small(settle(each.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")))
     ordered = each.join(often, "item", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "item"))).alias("order"))
     first = F.slice("order", F.lit(1), (F.size("order") - F.ceil(F.size("order") * percent / 100) + 1).cast("int"))
-    first = ordered.select("id", first.alias("first")).select("id", F.col("first.item").alias("items"), F.posexplode("first").alias("at", "x")).where("x.k > 1")
-    before = F.slice("items", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BEFORE)))
-    return small.unionByName(first.select("id", F.col("x.item").alias("key"), "at", before.alias("before")))
+    before = lambda at: F.slice("first", F.greatest(at - BEFORE, F.lit(0)) + 1, F.least(at, F.lit(BEFORE))).getField("item")
+    keyed = F.transform("first", lambda x, at: F.when(x["k"] > 1, F.struct(x["item"].alias("key"), at.alias("at"), before(at).alias("before"))))
+    return ordered.select("id", first.alias("first")).select("id", F.filter(keyed, lambda x: x.isNotNull()).alias("keys"))

@@ -27,7 +27,7 @@ BANDS = [[(b + r) % 12 for r in (0, 1, 3)] for b in range(12)]
 #: positions that one exploded row takes
 _STEP = 8
 #: keys of so many lines at most are compared in full under the bounds of sketches; larger ones go by their rarest items
-MEET = 200
+MEET = 1000
 
 
 def _codes(line: Column) -> Column:
@@ -56,6 +56,10 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     held = lambda end, to: texts.select(F.col("id").alias(end), F.col("line").alias(to))
     sets = F.struct(shingles(F.col("u")).alias("x"), shingles(F.col("v")).alias("y"))
     # exploded, the two sets are columns; a filter that names them directly would make them anew for each mention
+    # only the lines of pairs are shuffled
+    pairs = settle(pairs)
+    ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = texts.join(broadcast_if_small(ends), "id", "left_semi")
     met = pairs.join(held("a", "u"), "a").join(held("b", "v"), "b").select("a", "b", F.explode(F.array(sets)).alias("s"))
     return met.where(clusters.jaccard_at_least("s.x", "s.y", percent)).select("a", "b")
 
@@ -81,7 +85,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)])
     bands = known.select(F.explode(keys).alias("key"), F.col("k1").alias("id"))
-    many = settle(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    # a line is one row of ``known``, so a key of several rows has several lines
+    many = settle(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = settle(bands.join(broadcast_if_small(many), "key"))
     ids = settle(buckets.select("id").distinct())
     texts = lines.select(F.col("k1").alias("id"), "line").join(broadcast_if_small(ids), "id", "left_semi")
@@ -93,6 +98,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         percent,
         few=MEET,
         at_once=clusters.FEW,
+        ids=ids,
     )
 
     seen = known.select("k1", "k2", "first", "times").join(linked, known["k1"] == linked["id"], "left").where("times > 1 or component is not null")

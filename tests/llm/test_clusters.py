@@ -55,3 +55,23 @@ def test_small_keys_meet_once_and_their_sketches_come_first(spark):
     # no pair of the small keys is asked for again, and none whose sets are far from a link
     assert not [r for pairs in asked[1:] for r in pairs if r["a"] >= 20]
     assert not [r for pairs in asked for r in pairs if 100 * len(sets[r["a"]] & sets[r["b"]]) < 60 * len(sets[r["a"]] | sets[r["b"]])]
+
+
+def test_labels_and_sketches_are_joined_once_an_id_and_only_changed_components_are_united(spark, monkeypatch):
+    rng = random.Random(14)
+    base, sets = [rng.getrandbits(63) for _ in range(200)], {}
+    for i in range(24):  # a large key: neighbours are linked, all others nearly so
+        sets[i] = set(base[8 * i :] + base[: 8 * i - 30 if 8 * i > 30 else 0]) | {rng.getrandbits(63) for _ in range(10)}
+    for i in range(100, 140):  # small keys, linked in the first round
+        sets[i] = set(sets[i - 1]) ^ {rng.getrandbits(63)} if i % 2 else {rng.getrandbits(63) for _ in range(40)}
+    items = settle(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, items array<long>"))
+    rows = [(1, i, 24) for i in range(24)] + [(i // 2, i, 2) for i in range(100, 140)]
+    buckets = settle(spark.createDataFrame(rows, "key long, id long, n long"))
+    keyed = clusters.finer_keys(settle(items.where("id < 24").select("id")), lambda some: items.join(some, "id", "left_semi"), 80)
+    assert keyed.count() == 24  # not one row an item
+    united, real = [], clusters.components
+    monkeypatch.setattr(clusters, "components", lambda edges: (united.append(edges.count()), real(edges))[1])
+    got = clusters.link(buckets, lambda pairs: clusters.similar(pairs, items, 80), lambda some: items.join(some, "id", "left_semi"), 80, at_once=12)
+    assert {i: i for i in sets} | {r["id"]: r["component"] for r in got.collect()} == joined(sets, 80)
+    assert united[0] >= 20 and all(n < 24 * 23 // 2 for n in united[1:]), united
+    assert got.count() == got.select("id").distinct().count()
