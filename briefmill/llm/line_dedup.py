@@ -66,14 +66,15 @@ def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, n, line, k1, k2): document, hash of its text, line number from 0, trimmed line and the line's two hashes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("n", "raw"))
-    rows = rows.select("d", "t", "n", F.trim("raw").alias("line")).where("line rlike '\\\\S'")
+    # the text is hashed before its lines are dealt out, once a document
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    rows = rows.select("d", "t", F.posexplode("lines").alias("n", "raw")).where(F.ltrim("raw", F.lit(" \t\n\x0b\f\r")) != "")
+    rows = rows.select("d", "t", "n", F.trim("raw").alias("line"))
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """A settled table (k1, k2, comp, keeper) of the lines that have an equal or a near line; ``keeper`` is the document that keeps its first."""
-    lines = _lines(docs, id_col, text_col)
+def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
+    """A settled table (k1, k2, comp, keeper) of the ``lines`` (a settled table, as ``_lines`` makes it) that have an equal or a near line; ``keeper`` is the document that keeps its first."""
     codes = lines.select("d", "k1", "k2", _codes(F.col("line")).alias("codes")).withColumn("last", _last(F.col("codes")))
     each = codes.select("d", "k1", "k2", "codes", "last", F.explode(F.sequence(F.lit(0), F.expr(f"cast(last div {_STEP} as int)"))).alias("at"))
     # positions beyond the last are the last once more, which changes no minimum
@@ -123,11 +124,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines has an empty text; a null text stays null. Rows that repeat a document id with the same text are one document
     and get the same result; a null id orders last. Other columns are passed on as they are, whatever their names.
     """
-    lines = _lines(docs, id_col, text_col).select("d", "t", "n", "k1", "k2")
-    parts = line_components(docs, id_col, text_col, percent)
-    at = lines.join(broadcast_if_small(parts), ["k1", "k2"]).withColumn("r", F.rank().over(Window.partitionBy("comp", "d").orderBy("t", "n")))
+    lines = settle(_lines(docs, id_col, text_col))
+    parts = line_components(lines, percent)
+    at = lines.select("d", "t", "n", "k1", "k2").join(broadcast_if_small(parts), ["k1", "k2"]).withColumn("r", F.rank().over(Window.partitionBy("comp", "d").orderBy("t", "n")))
     drops = settle(at.where(~F.col("d").eqNullSafe(F.col("keeper")) | (F.col("r") > 1)).groupBy("d", "t").agg(F.collect_set("n").alias("gone")))
-    discard(parts)
+    discard(lines, parts)
     size = drops.agg(F.sum(F.size("gone"))).first()[0] or 0
     taken = [*docs.columns, *(counts or ())]
     of_doc, of_text, gone, split, hashed = (spare(taken, f"_{c}") for c in ("d", "t", "gone", "lines", "hash"))
